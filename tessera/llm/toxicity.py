@@ -1,8 +1,8 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Two states, clean and toxic. A token's potential sums hashed weights of the token and its two
-neighbours; a 2 x 2 table scores moves between states. Token labels for training come from the
-labelled documents: in toxic ones, the few words that tell them from the clean ones (greedy cover).
+Two states, clean and toxic. A token's potential sums hashed weights of the word, of its first 4, 5 and 6
+letters, and of its two neighbours; a 2 x 2 table scores moves between states. Token labels for training come
+from the labelled documents: in toxic ones, the few words or stems that tell them from the clean ones (greedy cover).
 Forward-backward marginals give spans (runs above `span_threshold`) and, through a logistic layer on
 their sum and maximum, a document score.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,40 @@ from pyspark.sql import functions as F
 from tessera.llm.common import by_size, map_rows, sampled
 
 TOKEN = re.compile(r"[^\W\d_]+")
-BITS = 17
+BITS = 18
+#: The features of a token: the word, then its stems.
+STEMS = (4, 5, 6)
+UNITS = 1 + len(STEMS)
 
 
-class TokenIds(dict):
-    """Token -> hash of its lower-case form; keeps at most a fixed number of entries."""
+def units(token: str) -> list[int]:
+    """Hashes of the lower-case word and of its stems; a shorter word has the word's own hash there."""
+    word = token.lower()
+    whole = zlib.crc32(word.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+    return [whole, *(zlib.crc32(f"{n}{word[:n]}".encode("utf-8", "surrogatepass")) >> (32 - BITS) if len(word) > n else whole for n in STEMS)]
+
+
+class Tokens(dict):
+    """Token -> row of `rows`, its units. reset() drops all once there are many."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[int]] = []
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = found = zlib.crc32(token.lower().encode("utf-8", "surrogatepass")) >> (32 - BITS)
+        self[token] = found = len(self.rows)
+        self.rows.append(units(token))
         return found
 
+    def reset(self, most: int = 150_000) -> bool:
+        if full := len(self) > most:
+            self.clear()
+            self.rows.clear()
+        return full
+
 
 @dataclass
 class CrfModel:
-    """word, before, after: weights by hashed token; move[i, j]: from state i to j; first: the start."""
+    """word, before, after: weights by hashed unit; move[i, j]: from state i to j; first: the start."""
 
     word: np.ndarray
     before: np.ndarray
@@ -48,24 +67,29 @@ class CrfModel:
     first: np.ndarray
     scale: tuple[float, float, float]
 
-    def evidence(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log odds of the toxic state by token; starts: where documents begin in ids."""
-        out = self.word[ids] + np.float32(self.bias)
-        if len(ids) > 1:
-            left, right = self.before[ids[:-1]], self.after[ids[1:]]
-            inner = starts[(starts > 0) & (starts < len(ids))]
-            left[inner - 1] = 0
-            right[inner - 1] = 0
-            out[1:] += left
-            out[:-1] += right
-        return out
+    def evidence(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log odds of the toxic state by token; rows: the tokens' units; starts: where documents begin."""
+        return chained(self.word[rows].sum(axis=1) + np.float32(self.bias), self.before[rows[:, 0]], self.after[rows[:, 0]], starts)
 
     def score(self, total: np.ndarray, top: np.ndarray) -> np.ndarray:
         a, b, c = self.scale
         return 1 / (1 + np.exp(-np.clip(a + b * np.log1p(total) + c * top, -35, 35)))
 
 
-def marginals(evidence: np.ndarray, starts: np.ndarray, move: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def chained(own: np.ndarray, before: np.ndarray, after: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each token's own evidence and what its neighbours in the document give."""
+    out, n = own.copy(), len(own)
+    if n > 1:
+        inner = starts[(starts > 0) & (starts < n)]
+        left, right = before[:-1].copy(), after[1:].copy()
+        left[inner - 1] = 0
+        right[inner - 1] = 0
+        out[1:] += left
+        out[:-1] += right
+    return out
+
+
+def marginals(evidence: np.ndarray, starts: np.ndarray, move: np.ndarray, first: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Probability of the toxic state by token, and expected moves (2 x 2), for documents laid end to end.
 
     A document's first step has equal rows, which cuts the chain there. Blocks of the chain are
@@ -118,6 +142,8 @@ def marginals(evidence: np.ndarray, starts: np.ndarray, move: np.ndarray, first:
         now /= now[0] + now[1]
     both = forward * backward
     toxic = (both[:, 1] / (both[:, 0] + both[:, 1])).T.ravel()[:n]
+    if not pairs:
+        return toxic, np.zeros((2, 2))
     past = forward.transpose(2, 0, 1).reshape(-1, 2)[: n - 1]
     future = backward.transpose(2, 0, 1).reshape(-1, 2)[1:n]
     pair = past[:, :, None] * steps[1:n] * future[:, None, :]
@@ -127,56 +153,71 @@ def marginals(evidence: np.ndarray, starts: np.ndarray, move: np.ndarray, first:
     return toxic, pair.sum(axis=0)
 
 
-def telling_words(docs: list[np.ndarray], toxic: np.ndarray, cover: int = 2, least_share: float = 0.02, least_odds: float = 3.0) -> set[int]:
-    """Hashed words that mark toxic documents: the greedy choice until each has `cover` of them or none adds enough."""
-    sets = [np.unique(x) for x in docs]
-    hits = [np.bincount(np.concatenate([s for s, t in zip(sets, toxic, strict=True) if t == k] or [np.zeros(0, int)]), minlength=1 << BITS) for k in (0, 1)]
+def telling_units(docs: list[np.ndarray], toxic: np.ndarray, cover: int = 6, least_docs: float = 2, least_share: float = 0.005, least_odds: float = 3.0) -> np.ndarray:
+    """Mask of the units that mark toxic documents: greedily, the one that most of them still lack, until each has
+    `cover` marked words or no unit adds enough. Toxic documents that share most such units (copies) count as one."""
+    size = 1 << BITS
+    kinds = [np.unique(x, axis=0) for x in docs]
+    hits = [np.bincount(np.concatenate([np.unique(x) for x, t in zip(kinds, toxic, strict=True) if t == k] or [np.zeros(0, int)]), minlength=size) for k in (0, 1)]
     n = np.bincount(toxic, minlength=2)
-    odds = np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1))
-    able = odds > least_odds
-    left = [(s[able[s]], cover) for s, t in zip(sets, toxic, strict=True) if t]
-    chosen: set[int] = set()
-    while left:
-        gain = np.bincount(np.concatenate([s for s, _ in left]), minlength=1 << BITS)
+    able = (np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1)) > least_odds) & (hits[1] >= least_docs)
+    chosen = np.zeros(size, bool)
+    rows = [x[able[x].any(axis=1)] for x, t in zip(kinds, toxic, strict=True) if t]
+    rows = [x for x in rows if len(x)]
+    if not rows:
+        return chosen
+    marks = np.zeros((len(rows), 4096), np.float32)
+    for k, x in enumerate(rows):
+        marks[k, x[able[x]] & 4095] = 1
+    marks /= np.sqrt(marks.sum(axis=1, keepdims=True))
+    weight = 1 / (marks @ marks.T > 0.7).sum(axis=1)
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    flat, need = np.concatenate(rows), np.full(len(rows), cover)
+    least = max(least_docs, least_share * weight.sum())
+    while len(flat):
+        pairs = np.unique((doc[:, None] * size + flat)[able[flat]])
+        gain = np.bincount(pairs % size, weight[pairs // size], size)
         best = int(gain.argmax())
-        if gain[best] < max(2, least_share * n[1]):
+        if gain[best] < least:
             break
-        chosen.add(best)
-        able[best] = False
-        left = [(s[s != best], need - (best in s)) for s, need in left]
-        left = [(s, need) for s, need in left if need > 0 and len(s)]
+        chosen[best] = True
+        hit = (flat == best).any(axis=1)
+        need = need - np.bincount(doc[hit], minlength=len(rows))
+        left = ~hit & (need[doc] > 0)
+        flat, doc = flat[left], doc[left]
     return chosen
 
 
-def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, epochs: int = 6, rate: float = 0.5, l2: float = 1e-4, seed: int = 7) -> CrfModel:
-    """Adagrad on the chain's log likelihood, then a logistic layer; share: toxic documents among all labelled ones."""
+def fit(docs: list[np.ndarray], toxic: np.ndarray, share: float, updates: int = 120, rate: float = 0.5, l2: float = 1e-4, seed: int = 7) -> CrfModel:
+    """Adagrad on the chain's log likelihood, then a logistic layer. docs: units by token; share: toxic documents
+    among all labelled ones."""
     size = 1 << BITS
     model = CrfModel(np.zeros(size, np.float32), np.zeros(size, np.float32), np.zeros(size, np.float32), -2.0, np.zeros((2, 2)), np.zeros((2, 2)), (0.0, 0.0, 0.0))
-    words = np.zeros(size, bool)
-    words[list(telling_words(docs, toxic))] = True
-    seen = [np.zeros(size, np.float32) + 1e-3 for _ in range(3)]
-    seen_bias, seen_move = 1e-3, np.zeros((2, 2)) + 1e-3
+    marked = telling_units(docs, toxic)
+    seen = [np.full(size, 1e-3, np.float32) for _ in range(3)]
+    seen_bias, seen_move = 1e-3, np.full((2, 2), 1e-3)
     order = np.random.default_rng(seed)
-    filled = [k for k in range(len(docs)) if len(docs[k])]
-    for _ in range(epochs):
-        for part in np.array_split(order.permutation(filled), max(1, min(12, len(filled) // 20))):
-            if not len(part):
-                continue
-            ids = np.concatenate([docs[k] for k in part])
-            starts = np.cumsum([0, *(len(docs[k]) for k in part[:-1])])
-            truth = (words[ids] & np.repeat(toxic[part] == 1, [len(docs[k]) for k in part])).astype(float)
-            p, moves = marginals(model.evidence(ids, starts), starts, model.move, model.first)
+    filled = np.array([k for k in range(len(docs)) if len(docs[k])], int)
+    batches = max(1, min(40, len(filled) // 20))
+    for _ in range(-(-updates // batches) if len(filled) else 0):
+        for part in np.array_split(order.permutation(filled), batches):
+            rows = np.concatenate([docs[k] for k in part])
+            sizes = np.array([len(docs[k]) for k in part])
+            starts = np.cumsum(sizes) - sizes
+            truth = (marked[rows].any(axis=1) & np.repeat(toxic[part] == 1, sizes)).astype(float)
+            p, moves = marginals(model.evidence(rows, starts), starts, model.move, model.first)
             miss = (truth - p).astype(np.float32)
-            inner = np.ones(len(ids), bool)
+            inner = np.ones(len(rows), bool)
             inner[starts] = False
             now, then = truth[1:][inner[1:]].astype(int), truth[:-1][inner[1:]].astype(int)
             wanted = np.bincount(then * 2 + now, minlength=4).reshape(2, 2)
             per = np.float32(len(part))
-            grads = [np.bincount(ids, miss, size) / per, np.bincount(ids[:-1], miss[1:] * inner[1:], size) / per, np.bincount(ids[1:], miss[:-1] * inner[1:], size) / per]
-            for w, g, s in zip((model.word, model.before, model.after), grads, seen, strict=True):
-                g = (g - l2 * w).astype(np.float32)
+            word = np.bincount(rows.ravel(), np.repeat(miss, UNITS), size)
+            before, after = np.bincount(rows[:-1, 0], miss[1:] * inner[1:], size), np.bincount(rows[1:, 0], miss[:-1] * inner[1:], size)
+            for w, g, s, r in zip((model.word, model.before, model.after), (word, before, after), seen, (rate, rate / 8, rate / 8), strict=True):
+                g = (g / per - l2 * w).astype(np.float32)
                 s += g * g
-                w += rate * g / np.sqrt(s)
+                w += r * g / np.sqrt(s)
             g = miss.sum() / per
             seen_bias += g * g
             model.bias += rate * g / seen_bias**0.5
@@ -191,9 +232,10 @@ def calibrate(model: CrfModel, docs: list[np.ndarray], toxic: np.ndarray, share:
     """Newton steps for the document layer; rows weigh as their class does among all labelled documents."""
     x = np.zeros((len(docs), 3))
     x[:, 0] = 1
-    for k, ids in enumerate(docs):
-        if len(ids):
-            p, _ = marginals(model.evidence(ids, np.zeros(1, int)), np.zeros(1, int), model.move, model.first)
+    zero = np.zeros(1, int)
+    for k, rows in enumerate(docs):
+        if len(rows):
+            p, _ = marginals(model.evidence(rows, zero), zero, model.move, model.first, pairs=False)
             x[k, 1:] = np.log1p(p.sum()), p.max()
     n = np.bincount(toxic, minlength=2)
     weight = np.where(toxic == 1, share / max(n[1], 1), (1 - share) / max(n[0], 1)) * len(docs)
@@ -205,7 +247,7 @@ def calibrate(model: CrfModel, docs: list[np.ndarray], toxic: np.ndarray, share:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, seed: int = 11) -> CrfModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, seed: int = 11) -> CrfModel:
     """Fit on a hash sample of about `max_docs` documents of each class; labels: doc_id, toxic.
 
     Ids labelled more than once count as toxic if any row says so. Rows with a null id, label or text are left out.
@@ -218,19 +260,17 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1500, seed: int =
     texts = docs.select("doc_id", "text").dropna().join(F.broadcast(picked), "doc_id").drop("doc_id")
 
     def make():
-        ids = TokenIds()
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [[ids[w] for w in TOKEN.findall(t)] for t in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "ids"])
+            known = Tokens()
+            found = [[u for w in TOKEN.findall(t) for u in known.rows[known[w]]] for t in batch.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "units"])
 
         return work
 
-    rows = map_rows(texts.select("toxic", "text"), "toxic int, ids array<int>", make).orderBy(F.xxhash64("ids"), "toxic").toArrow()
-    flat = rows.column("ids").combine_chunks()
-    parts = np.split(flat.flatten().to_numpy(), np.asarray(flat.offsets)[1:-1] - np.asarray(flat.offsets)[0]) if len(flat) else []
+    rows = map_rows(texts.select("toxic", "text"), "toxic int, units array<int>", make, 64).orderBy(F.xxhash64("units"), "toxic").toArrow()
+    found = [np.asarray(x.values).astype(int).reshape(-1, UNITS) for x in rows.column("units")]
     toxic = rows.column("toxic").to_numpy().astype(int)
-    return fit([np.asarray(p) for p in parts], toxic, n.get(1, 0) / max(1, sum(n.values())))
+    return fit(found, toxic, n.get(1, 0) / max(1, sum(n.values())))
 
 
 def score(docs: DataFrame, model: CrfModel, span_threshold: float = 0.5) -> DataFrame:
@@ -238,17 +278,24 @@ def score(docs: DataFrame, model: CrfModel, span_threshold: float = 0.5) -> Data
     schema = "doc_id long, score double, spans array<struct<start:int,end:int,weight:double>>"
 
     def make():
-        ids = TokenIds()
+        known, have = Tokens(), [np.zeros(0, np.float32)] * 3
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal have
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, spans = np.zeros(len(texts)), [[] for _ in texts]
             for a, b in by_size(texts):
-                found = [[ids[w] for w in TOKEN.findall(t)] for t in texts[a:b]]
+                if known.reset():
+                    have = [np.zeros(0, np.float32)] * 3
+                found = [list(map(known.__getitem__, TOKEN.findall(t))) for t in texts[a:b]]
+                if new := known.rows[len(have[0]) :]:
+                    new = np.array(new)
+                    have = [np.concatenate(x) for x in zip(have, (model.word[new].sum(axis=1) + np.float32(model.bias), model.before[new[:, 0]], model.after[new[:, 0]]), strict=True)]
                 sizes = np.array([len(x) for x in found])
                 starts = np.cumsum(sizes) - sizes
-                flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
-                p, _ = marginals(model.evidence(flat, starts[sizes > 0]), starts[sizes > 0], model.move, model.first)
+                flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+                begin = starts[sizes > 0]
+                p, _ = marginals(chained(have[0][flat], have[1][flat], have[2][flat], begin), begin, model.move, model.first, pairs=False)
                 total, top = np.zeros(b - a), np.zeros(b - a)
                 if len(p):
                     total[sizes > 0] = np.add.reduceat(p, starts[sizes > 0])
