@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The words of the shingle and language-model contracts: runs of anything but ASCII white space.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
-#: A-Z only, so that other letters keep their case.
-ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+from tessera.sources.storage import stored
+
+__all__ = ["by_size", "crc_mod", "map_rows", "sampled", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return found
-    own = tempfile.mkdtemp(prefix="tessera-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str | Column, n: int) -> Column:
     """crc32 of the column's text, modulo n; null stays null."""
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % n

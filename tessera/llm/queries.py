@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, toxicity, urls
+from tessera.llm import bpe, language, simhash, topk, toxicity, urls
 from tessera.llm.common import crc_mod, table
 
 TOXIC_AT = 0.7
@@ -46,6 +46,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), 3))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v"))
+    return topk.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
+OP10_SQL = """
+WITH w AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 OP4_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -64,5 +86,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter)}
-SQL = {"op4_url_filter": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op8_simhash, op10_topk)}
+SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
