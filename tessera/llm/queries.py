@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, simhash, topk, toxicity, urls
+from tessera.llm import bpe, language, multiset, simhash, topk, toxicity, urls
 from tessera.llm.common import crc_mod, table
 
 TOXIC_AT = 0.7
@@ -46,6 +46,28 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("lanes", multiset.lanes(F.col("text")))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    rows = (
+        multiset.with_next(docs, "doc_id", ["text", "lanes"], parts)
+        .withColumn("n_chars", F.length("text").cast("long"))
+        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
+        .withColumn("edited_lanes", multiset.lanes(F.col("edited")))
+    )
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        multiset.as_hex(F.col("lanes")).alias("fingerprint"),
+        multiset.as_hex(F.col("edited_lanes")).alias("edited_fingerprint"),
+        multiset.likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
+        multiset.likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), 3))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,5 +108,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op8_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op6_fingerprint, op8_simhash, op10_topk)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
