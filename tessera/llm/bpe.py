@@ -11,9 +11,10 @@ the split leaves them out. A lone surrogate is encoded as U+FFFD.
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from tessera.llm.common import by_size, map_rows
 
-KEPT = 250_000
+KEPT = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -85,60 +86,90 @@ class PerfectHash:
         return np.where(self.check[place] == h, self.value[place], -1)
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the neighbouring pair of lowest rank, leftmost first, until no pair has a rank."""
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; after[k] is also its end
-    get = ranks.get
-    heap = [(r, k, k + 2) for k in range(n - 1) if (r := get(piece[k : k + 2])) is not None]
+    n, get = len(piece), ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; after is also its end
+    pair = [get(piece[k : k + 2], -1) for k in range(n - 1)]  # rank of a part with the next one
+    pair.append(-1)
+    heap = [r * n + k for k, r in enumerate(pair) if r >= 0]
     heapify(heap)
     while heap:
-        _, k, end = heappop(heap)
-        mid = after[k]
-        if mid < 0 or mid >= n or after[mid] != end:
+        r, k = divmod(heappop(heap), n)
+        if pair[k] != r:
             continue  # one of the two parts has changed since
-        after[k], after[mid] = end, -1
+        mid = after[k]
+        end = after[k] = after[mid]
+        pair[mid] = -1
+        pair[k] = r = get(piece[k : after[end]], -1) if end < n else -1
+        if r >= 0:
+            heappush(heap, r * n + k)
         if end < n:
             before[end] = k
-            if (r := get(piece[k : after[end]])) is not None:
-                heappush(heap, (r, k, after[end]))
         left = before[k]
-        if left >= 0 and (r := get(piece[left:end])) is not None:
-            heappush(heap, (r, left, end))
+        if left >= 0:
+            pair[left] = r = get(piece[left:end], -1)
+            if r >= 0:
+                heappush(heap, r * n + left)
     out, k = [], 0
     while k < n:
         out.append(ranks[piece[k : after[k]]])
         k = after[k]
-    return tuple(out)
+    return out
 
 
 class Tokenizer:
-    """encode and decode lists of texts; ranks must hold all 256 single bytes."""
+    """Texts to ids, as bytes of 32-bit integers; ranks must hold all 256 single bytes.
+
+    A text is cut before each space that follows something else than white space. No match of the split patterns in
+    use spans such a cut or looks beyond it, so that a chunk, as a rule a word with what is attached to it,
+    is split and encoded once and then kept, as is each pre-token.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash):
         self.ranks, self.whole, self.split = ranks, whole, regex.compile(pattern).findall
         self.parts = {v: k for k, v in ranks.items()}
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        raw = [p.encode("utf-8", "replace") if p.isascii() else p.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode() for p in pieces]
-        for piece, key, rank in zip(pieces, raw, self.whole.find(raw).tolist(), strict=True):
-            # the hash finds the entry, its bytes confirm it
-            self.kept[piece] = (rank,) if rank >= 0 and self.parts[rank] == key else merge(key, self.ranks)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def learn(self, chunks: list[str]) -> None:
+        found = [self.split(c) for c in chunks]
+        if new := list(set().union(*found).difference(self.pieces)):
+            raw = [p.encode("utf-8", "surrogatepass") for p in new]
+            for piece, key, rank in zip(new, raw, self.whole.find(raw).tolist(), strict=True):
+                # the hash finds the entry, its bytes confirm it
+                ids = [rank] if rank >= 0 and self.parts[rank] == key else merge(key, self.ranks)
+                self.pieces[piece] = array("i", ids).tobytes()
+        get = self.pieces.__getitem__
+        for chunk, own in zip(chunks, found, strict=True):
+            self.chunks[chunk] = b"".join(map(get, own))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         out = []
-        for a, b in by_size(texts, 500_000):
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            found = [self.split(t) for t in texts[a:b]]
-            if new := set().union(*found).difference(self.kept):
+        for a, b in by_size(texts, 400_000):
+            if len(self.pieces) + len(self.chunks) > KEPT:
+                self.pieces.clear()
+                self.chunks.clear()
+            cut = [chunked(t) for t in texts[a:b]]
+            if new := set().union(*cut).difference(self.chunks):
                 self.learn(list(new))
-            get = self.kept.__getitem__
-            out += [list(chain.from_iterable(map(get, x))) for x in found]
+            get = self.chunks.__getitem__
+            out += [b"".join(map(get, x)) for x in cut]
         return out
 
 
+def chunked(text: str) -> list[str]:
+    """Chunks that give the text end to end."""
+    if SPACES(text):
+        return CUT(text)
+    first, *rest = text.split(" ")
+    return [first, *(" " + x for x in rest)]
+
+
+SPACES = re.compile(r"\s ").search
+CUT = re.compile(r"(?<=\S)(?= )").split
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", whole_texts: int = 256) -> DataFrame:
     """df with a column of token ids (array<int>) for each text."""
     whole = PerfectHash.build(list(ranks), list(ranks.values()))
@@ -150,8 +181,8 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = tokenizer.encode([t or "" for t in batch.column(text).to_pylist()])
-            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+            offsets = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
+            flat = np.frombuffer(b"".join(found), np.int32)
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, ids])
 
         return work
@@ -164,13 +195,23 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
     names = [c for c in df.columns if c != out]
     schema = StructType([*df.select(*names).schema, StructField(out, BinaryType())])
 
+    size = max(ranks.values(), default=-1) + 1
+
     def make():
-        get = {v: k for k, v in ranks.items()}.__getitem__
+        length = np.full(size, -1)
+        for piece, rank in ranks.items():
+            length[rank] = len(piece)
+        begin = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
+        letters = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
+
+        def bytes_of(part: np.ndarray) -> bytes:
+            n = length[part]
+            if len(part) and (part.min() < 0 or n.min() < 0):
+                raise ValueError("an id has no entry")
+            return letters[np.arange(n.sum()) + np.repeat(begin[part] - np.cumsum(n) + n, n)].tobytes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column(ids)
-            flat, at = column.values.to_numpy(zero_copy_only=False).tolist(), np.asarray(column.offsets).tolist()
-            raw = [b"".join(map(get, flat[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)]
+            raw = [bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in batch.column(ids)]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], [*names, out])
 
         return work
