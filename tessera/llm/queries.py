@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, multiset, simhash, topk, toxicity, urls
-from tessera.llm.common import crc_mod, table
+from tessera.llm import bpe, language, lm, multiset, simhash, topk, toxicity, urls
+from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -46,6 +46,23 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = docs.filter(crc_mod("doc_id", 7) != 2)
+    counts = stored(lm.count_words(learned))
+    vocabulary = lm.vocabulary(counts)
+    found = lm.score(docs, counts, vocabulary, lm.train(learned, vocabulary))
+    return found.select(
+        "doc_id",
+        (crc_mod("doc_id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(vocabulary.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("lanes", multiset.lanes(F.col("text")))
@@ -108,5 +125,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op6_fingerprint, op8_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op8_simhash, op10_topk)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
