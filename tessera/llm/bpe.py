@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from tessera.llm.common import by_size, map_rows
 
-KEPT = 600_000
+KEPT = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -89,28 +89,35 @@ class PerfectHash:
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Merge the neighbouring pair of lowest rank, leftmost first, until no pair has a rank."""
     n, get = len(piece), ranks.get
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; after is also its end
-    pair = [get(piece[k : k + 2], -1) for k in range(n - 1)]  # rank of a part with the next one
+    pair = [-1 if (r := get(piece[k : k + 2])) is None else r << shift | k for k in range(n - 1)]  # rank and place of a part with the next one
+    heap = [x for x in pair if x >= 0]
     pair.append(-1)
-    heap = [r * n + k for k, r in enumerate(pair) if r >= 0]
     heapify(heap)
     while heap:
-        r, k = divmod(heappop(heap), n)
-        if pair[k] != r:
+        x = heappop(heap)
+        k = x & mask
+        if pair[k] != x:
             continue  # one of the two parts has changed since
         mid = after[k]
-        end = after[k] = after[mid]
-        pair[mid] = -1
-        pair[k] = r = get(piece[k : after[end]], -1) if end < n else -1
-        if r >= 0:
-            heappush(heap, r * n + k)
+        after[k] = end = after[mid]
+        pair[mid] = pair[k] = -1
         if end < n:
             before[end] = k
+            r = get(piece[k : after[end]])
+            if r is not None:
+                pair[k] = x = r << shift | k
+                heappush(heap, x)
         left = before[k]
         if left >= 0:
-            pair[left] = r = get(piece[left:end], -1)
-            if r >= 0:
-                heappush(heap, r * n + left)
+            r = get(piece[left:end])
+            if r is None:
+                pair[left] = -1
+            else:
+                pair[left] = x = r << shift | left
+                heappush(heap, x)
     out, k = [], 0
     while k < n:
         out.append(ranks[piece[k : after[k]]])
@@ -123,17 +130,19 @@ class Tokenizer:
 
     A text is cut before each space that follows something else than white space. No match of the split patterns in
     use spans such a cut or looks beyond it, so that a chunk, as a rule a word with what is attached to it,
-    is split and encoded once and then kept, as is each pre-token.
+    is split and encoded once and then kept, as is each pre-token. words: the pattern takes letters, with one space
+    before them or none, as one match, so that such a chunk needs no split.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash, words: bool = True):
         self.ranks, self.whole, self.split = ranks, whole, regex.compile(pattern).findall
-        self.parts = {v: k for k, v in ranks.items()}
+        self.words, self.parts = words, {v: k for k, v in ranks.items()}
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        found = [self.split(c) for c in chunks]
+        split, words = self.split, self.words
+        found = [(c,) if words and (c.isalpha() or c[:1] == " " and c[1:].isalpha()) else split(c) for c in chunks]
         if new := list(set().union(*found).difference(self.pieces)):
             raw = [p.encode("utf-8", "surrogatepass") for p in new]
             for piece, key, rank in zip(new, raw, self.whole.find(raw).tolist(), strict=True):

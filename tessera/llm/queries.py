@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, lm, multiset, simhash, topk, toxicity, urls
+from tessera.llm import bpe, language, lm, mixing, multiset, simhash, topk, toxicity, urls
 from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
@@ -85,6 +85,23 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Share of the words by domain: quality and toxicity as `labels` marks them.
+MIX = {"good": 0.75, "poor": 0.2, "toxic": 0.05}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.fit(docs, domain_labels(spark, sf_dir))
+    rated = mixing.mixed(docs, model, {d: MIX[d] for d in model.domains})
+    p = F.col("posterior")
+    return rated.select("doc_id", "n_words", *(p[k].alias(f"p_{d}") for k, d in enumerate(model.domains)), "rate")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(simhash.fingerprints(table(spark, sf_dir, "documents"), 3))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -125,5 +142,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op8_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op10_topk)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
