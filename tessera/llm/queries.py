@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, lm, mixing, multiset, simhash, topk, toxicity, urls
+from tessera.llm import bpe, language, licences, lm, mixing, multiset, simhash, topk, toxicity, urls
 from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
@@ -107,6 +107,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id; one that is a licence sentence for a tenth of its length speaks for its directory."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = licences.inherited(files, licences.stated(files), speaks=F.col("share") >= 0.1)
+    return found.withColumn("doc_id", F.regexp_extract("path", "([^/]*)$", 1).try_cast("long"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v"))
     return topk.search(rows, rows.filter("vec_id % 100 = 0"))
@@ -142,5 +150,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
