@@ -21,9 +21,8 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from tessera.llm.common import by_size, map_rows
+from tessera.llm.common import by_size, with_columns
 
 KEPT = 500_000
 
@@ -182,28 +181,22 @@ CUT = re.compile(r"(?<=\S)(?= )").split
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", whole_texts: int = 256) -> DataFrame:
     """df with a column of token ids (array<int>) for each text."""
     whole = PerfectHash.build(list(ranks), list(ranks.values()))
-    names = [c for c in df.columns if c != ids]
-    schema = StructType([*df.select(*names).schema, StructField(ids, ArrayType(IntegerType()))])
-
     def make():
         tokenizer = Tokenizer(ranks, pattern, whole)
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
             found = tokenizer.encode([t or "" for t in batch.column(text).to_pylist()])
             offsets = (np.cumsum([0, *map(len, found)]) // 4).astype(np.int32)
             flat = np.frombuffer(b"".join(found), np.int32)
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, ids])
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
 
         return work
 
-    return map_rows(df, schema, make, whole_texts)
+    return with_columns(df, f"`{ids}` array<int>", make, whole_texts)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with a binary column: the bytes of the ids, end to end. Null ids give no bytes; an unknown id is an error."""
-    names = [c for c in df.columns if c != out]
-    schema = StructType([*df.select(*names).schema, StructField(out, BinaryType())])
-
     size = max(ranks.values(), default=-1) + 1
 
     def make():
@@ -219,10 +212,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
                 raise ValueError("an id has no entry")
             return letters[np.arange(n.sum()) + np.repeat(begin[part] - np.cumsum(n) + n, n)].tobytes()
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = [bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in batch.column(ids)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(raw, pa.binary())], [*names, out])
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array([bytes_of(x.values.to_numpy()) if x.is_valid else b"" for x in batch.column(ids)], pa.binary())]
 
         return work
 
-    return map_rows(df, schema, make, 256)
+    return with_columns(df, f"`{out}` binary", make, 256)

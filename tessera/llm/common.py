@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.sources.storage import stored
 
-__all__ = ["by_size", "crc_mod", "map_rows", "sampled", "stored", "table"]
+__all__ = ["by_size", "crc_mod", "map_rows", "with_columns", "sampled", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def sampled(key: Column, share: Column | float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], step: int = 512) -> DataFrame:
+def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], step: int = 512) -> DataFrame:
     """Apply make()'s function to slices of at most `step` rows of each Arrow batch; make runs once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,6 +40,19 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordB
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], step: int = 512) -> DataFrame:
+    """df and new columns; a column of df that has the name of a new one is replaced."""
+    added = StructType.fromDDL(fields)
+    names = [c for c in df.columns if c not in added.fieldNames()]
+    schema = StructType([*df.select(*names).schema, *added])
+
+    def whole():
+        work = make()
+        return lambda batch: pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *work(batch)], schema.fieldNames())
+
+    return map_rows(df, schema, whole, step)
+
+
 def by_size(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts that hold at most `limit` characters, or one longer text."""
     start = size = 0

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_size, map_rows, sampled
+from tessera.llm.common import by_size, map_rows, sampled, with_columns
 
 DIM = 4096
 UNKNOWN = "und"
@@ -156,13 +156,13 @@ def train(docs: DataFrame, clusters: int = 4, max_docs: int = 500, seed: int = 5
 
 
 def predict(docs: DataFrame, model: CentroidModel) -> DataFrame:
-    """doc_id, lang_pred, score (cosine), rejected."""
+    """docs (with a text column) and lang_pred, score (cosine), rejected."""
 
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
             names, best, far = model.predict(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(names, pa.string()), pa.array(best), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
+            return [pa.array(names, pa.string()), pa.array(best), pa.array(far)]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, lang_pred string, score double, rejected boolean", make)
+    return with_columns(docs, "lang_pred string, score double, rejected boolean", make)

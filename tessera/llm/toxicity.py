@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_size, map_rows, sampled
+from tessera.llm.common import by_size, map_rows, sampled, with_columns
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -274,13 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, seed: int =
 
 
 def score(docs: DataFrame, model: CrfModel, span_threshold: float = 0.5) -> DataFrame:
-    """doc_id, score, and spans: array of (start, end) in code points and the mean marginal."""
-    schema = "doc_id long, score double, spans array<struct<start:int,end:int,weight:double>>"
+    """docs (with a text column) and score, and spans: array of (start, end) in code points and the mean marginal."""
+    schema = "score double, spans array<struct<start:int,end:int,weight:double>>"
 
     def make():
         known, have = Tokens(), [np.zeros(0, np.float32)] * 3
 
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def work(batch: pa.RecordBatch) -> list[pa.Array]:
             nonlocal have
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, spans = np.zeros(len(texts)), [[] for _ in texts]
@@ -304,11 +304,11 @@ def score(docs: DataFrame, model: CrfModel, span_threshold: float = 0.5) -> Data
                 for k in np.flatnonzero(top > span_threshold):
                     spans[a + k] = runs(texts[a + k], p[starts[k] : starts[k] + sizes[k]], span_threshold)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(scores), pa.array(spans, kind)], ["doc_id", "score", "spans"])
+            return [pa.array(scores), pa.array(spans, kind)]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), schema, make)
+    return with_columns(docs, schema, make)
 
 
 def runs(text: str, p: np.ndarray, threshold: float) -> list[dict]:
