@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import stored
+
 
 def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average rank of value (ties share it), from 1; nulls have none.
@@ -13,7 +15,7 @@ def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     range, one over the ranges' totals), so that no window holds the table.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()).persist()
+    placed = stored(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
     before = placed.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     running = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
     ranks = placed.join(F.broadcast(before.select("_p", "_before")), "_p").select("_v", (F.col("_before") + running - (F.col("_n") - 1) / 2).alias(out))
@@ -23,7 +25,8 @@ def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: the correlation of the average ranks; null if either has no variance."""
     ranked = value_ranks(value_ranks(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), a, "_ra"), b, "_rb")
-    return ranked.agg(F.corr("_ra", "_rb").alias("rho")).select(F.when(~F.isnan("rho"), F.col("rho")).alias("rho"))
+    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
+    return ranked.agg(F.try_divide(F.covar_pop("_ra", "_rb"), spread).alias("rho"))
 
 
 def roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
