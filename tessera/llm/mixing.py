@@ -4,14 +4,15 @@ A naive-Bayes classifier over hashed words, fitted on a bounded sample of the la
 posterior over the domains. Document i of n_i words then brings r_i p_id n_i words of domain d, and the rates r >= low
 are fitted so that the expected totals match the targets: projected gradient steps on
 
-    1/2 (A r - t)' M (A r - t),   A[d, i] = p_id n_i,   M = (A A' + ridge)^-1,
+    1/2 (A r - t)' M (A r - t),   A[d, i] = p_id n_i,   M = (B B' + ridge)^-1,
 
-for which a step of 1 is safe. A step needs one sum over the documents for each domain; the rates are a function of
-the few residual vectors so far, so that no state is kept by document. All of it is DataFrame expressions and
+B being the columns of A whose rates a step can still move (a step of 1 would solve the problem if no bound were met).
+A step needs sums over the documents by domain and pair of domains; the rates are a function of the few steps so far, so that no state is kept by document. All of it is DataFrame expressions and
 plain arithmetic on matrices of domains x domains.
 
 Null and empty texts have no words: their posterior is the prior, their rate is 1 (or the nearer bound). A domain
-without labelled rows can't be fitted and must not have a target.
+without labelled rows can't be fitted and must not have a target; without any labelled row, posteriors are empty and all
+rates 1.
 """
 
 from __future__ import annotations
@@ -47,9 +48,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, smooth: float
     the prior is over all labels. An id with several domains has the smallest; null ids and domains are left out."""
     marks = labels.select("doc_id", "domain").dropna().groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = {r["domain"]: r["n"] for r in marks.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if not n:
-        raise ValueError("no row is labelled")
     domains = sorted(n)
+    if not domains:
+        return DomainModel([], [], [])
     share = F.element_at(F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(max_docs / n[d]))]), F.col("domain"))
     picked = F.broadcast(marks.filter(sampled(F.col("doc_id"), share, seed)))  # about max_docs ids a domain
     words = docs.select("doc_id", "text").join(picked, "doc_id").select("domain", F.explode(F.array_distinct(features(F.col("text")))).alias("f"))
@@ -68,6 +69,8 @@ def memberships(docs: DataFrame, model: DomainModel, strength: float = 50.0) ->
     k = len(model.domains)
     wide = docs.withColumn("_f", features(F.col("text"))).withColumn("n_words", F.size("_f").cast("long")).withColumn("_d", F.array_distinct("_f"))
     n = F.greatest(F.size("_d"), F.lit(1))
+    if not k:
+        return wide.withColumn("posterior", F.array().cast("array<double>")).drop("_f", "_d")
 
     def log_likelihood(d: int) -> Column:
         # a constant array of FEATURES numbers, folded when the plan is made
@@ -103,15 +106,20 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
     k = len(model.domains)
     if unknown := set(target) - set(model.domains):
         raise ValueError(f"no labelled row of {sorted(unknown)}")
+    if not k:
+        return F.lit(min(max(1.0, low), high))
     weights = [target.get(d, 0.0) / sum(target.values()) for d in model.domains]
     a = [F.col("posterior")[d] * F.col("n_words") for d in range(k)]
     sums = members.select(*(F.sum(x).alias(f"t{d}") for d, x in enumerate(a)), *(F.sum(a[d] * a[e]).alias(f"m{d}_{e}") for d in range(k) for e in range(k))).first()
     have = [float(sums[f"t{d}"] or 0.0) for d in range(k)]
     total = total_words or (max((h / w for h, w in zip(have, weights, strict=True) if w > 0), default=0.0) if low >= 1 else sum(have))
     goal = [w * total for w in weights]
-    gram = [[float(sums[f"m{d}_{e}"] or 0.0) for e in range(k)] for d in range(k)]
-    ridge = 1e-9 * max(gram[d][d] for d in range(k)) + 1e-12
-    gram = [[v + ridge * (d == e) for e, v in enumerate(row)] for d, row in enumerate(gram)]
+
+    def curvature(row) -> list[list[float]]:
+        ridge = 1e-9 * max(float(row[f"m{d}_{d}"] or 0.0) for d in range(k)) + 1e-12
+        return [[float(row[f"m{d}_{e}"] or 0.0) + ridge * (d == e) for e in range(k)] for d in range(k)]
+
+    gram = curvature(sums)
     moves: list[list[float]] = []
 
     def rate() -> Column:
@@ -126,10 +134,14 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
         return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), start, step)
 
     for _ in range(steps):
-        now = members.select(rate().alias("r"), *(x.alias(f"a{d}") for d, x in enumerate(a))).agg(*(F.sum(F.col("r") * F.col(f"a{d}")).alias(f"t{d}") for d in range(k))).first()
+        rows = members.select(rate().alias("r"), *(x.alias(f"a{d}") for d, x in enumerate(a)))
+        now = rows.agg(*(F.sum(F.col("r") * F.col(f"a{d}")).alias(f"t{d}") for d in range(k))).first()
         miss = [float(now[f"t{d}"] or 0.0) - goal[d] for d in range(k)]
         if max(map(abs, miss)) <= tolerance * max(total, 1e-300):
             break
+        down = sum((F.col(f"a{d}") * F.lit(m) for d, m in enumerate(solved(gram, miss))), F.lit(0.0))
+        free = ~(((F.col("r") <= low) & (down > 0)) | ((F.col("r") >= high) & (down < 0)))
+        gram = curvature(rows.filter(free).agg(*(F.sum(F.col(f"a{d}") * F.col(f"a{e}")).alias(f"m{d}_{e}") for d in range(k) for e in range(k))).first())
         moves.append(solved(gram, miss))
     return rate()
 

@@ -6,7 +6,8 @@ from the labelled documents: in toxic ones, the few words or stems that tell the
 Forward-backward marginals give spans (runs above `span_threshold`) and, through a logistic layer on
 their sum and maximum, a document score.
 
-Null and empty texts have no token: they get the score of a document without evidence.
+Null and empty texts have no token: they get the score of a document without evidence. Without any labelled row every
+score is 0.5.
 """
 
 from __future__ import annotations
@@ -155,22 +156,25 @@ def marginals(evidence: np.ndarray, starts: np.ndarray, move: np.ndarray, first:
 
 def telling_units(docs: list[np.ndarray], toxic: np.ndarray, cover: int = 6, least_docs: float = 2, least_share: float = 0.005, least_odds: float = 3.0) -> np.ndarray:
     """Mask of the units that mark toxic documents: greedily, the one that most of them still lack, until each has
-    `cover` marked words or no unit adds enough. Toxic documents that share most such units (copies) count as one."""
+    `cover` marked words or no unit adds enough. Toxic documents that share most of their words (copies) count as one."""
     size = 1 << BITS
     kinds = [np.unique(x, axis=0) for x in docs]
     hits = [np.bincount(np.concatenate([np.unique(x) for x, t in zip(kinds, toxic, strict=True) if t == k] or [np.zeros(0, int)]), minlength=size) for k in (0, 1)]
     n = np.bincount(toxic, minlength=2)
     able = (np.log((hits[1] + 0.5) / (n[1] + 1)) - np.log((hits[0] + 0.5) / (n[0] + 1)) > least_odds) & (hits[1] >= least_docs)
     chosen = np.zeros(size, bool)
-    rows = [x[able[x].any(axis=1)] for x, t in zip(kinds, toxic, strict=True) if t]
-    rows = [x for x in rows if len(x)]
+    rows = [(x, x[able[x].any(axis=1)]) for x, t in zip(kinds, toxic, strict=True) if t]
+    rows = [(x, marked) for x, marked in rows if len(marked)]
     if not rows:
         return chosen
-    marks = np.zeros((len(rows), 4096), np.float32)
-    for k, x in enumerate(rows):
-        marks[k, x[able[x]] & 4095] = 1
-    marks /= np.sqrt(marks.sum(axis=1, keepdims=True))
-    weight = 1 / (marks @ marks.T > 0.7).sum(axis=1)
+    words = np.zeros((len(rows), 4096), np.float32)
+    for k, (x, _) in enumerate(rows):
+        words[k, x[:, 0] & 4095] = 1
+    words /= np.sqrt(words.sum(axis=1, keepdims=True))
+    weight = 1 / (words @ words.T > 0.8).sum(axis=1)
+    if weight.sum() < len(rows) / 5:  # so few different words that texts can't be told from copies
+        weight = np.ones(len(rows))
+    rows = [marked for _, marked in rows]
     doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     flat, need = np.concatenate(rows), np.full(len(rows), cover)
     least = max(least_docs, least_share * weight.sum())
