@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import pixels as P
 from tessera.operators import clusters as C
-from tessera.operators import features, frames, histograms, ranking, sampling, scores
+from tessera.operators import features, frames, histograms, models, ranking, sampling, scores
 from tessera.operators import tiles as T
 from tessera.operators import truth as H
 from tessera.plans import views as V
+from tessera.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -613,3 +614,26 @@ def bg_sample_cap(spark, d):
 @query("SELECT CAST((row_number() OVER (ORDER BY event_id) - 1) // 128 AS BIGINT) AS batch_id, event_id FROM events")
 def batches(spark, d):
     return sampling.batches(V.table(spark, d, "events").select("event_id"), "event_id").select("batch_id", "event_id")
+
+
+# models and streams: no SQL
+
+
+@query(None)
+def ae_forward_score(spark, d):
+    images = V.images(spark, d).select("vec_id", F.transform("px", lambda v: v / 100).alias("px"))
+    return models.autoencoder_scores(images, models.initial_weights(8, 8), (8, 8), "vec_id")
+
+
+@query(None)
+def pca_recon_score(spark, d):
+    images = V.images(spark, d)
+    found = models.linear_scores(models.linear_autoencoder(images, 8), images)
+    return found.select("vec_id", "raw", "code")
+
+
+@query("""SELECT w AS window_start, event_type AS kind, count(*) AS n, count(*) FILTER (WHERE value > 3) AS n_over, round(avg(value), 6) AS mean FROM (
+  SELECT *, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2""")
+def score_rates(spark, d):
+    rows = V.table(spark, d, "events").select("ts", F.col("event_type").alias("kind"), F.col("value").alias("score"))
+    return rounded(monitor.score_rates(rows).select(F.col("window.start").alias("window_start"), "kind", "n", "n_over", "mean"), "mean")
