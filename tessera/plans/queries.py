@@ -13,7 +13,9 @@ from tessera.operators import clusters as C
 from tessera.operators import features, frames, histograms, models, ranking, sampling, scores
 from tessera.operators import tiles as T
 from tessera.operators import truth as H
+from tessera.plans import truth_table as full
 from tessera.plans import views as V
+from tessera.sources.storage import stored
 from tessera.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +386,45 @@ def neutrino_vs_cosmic_tiles(spark, d):
     return V.true_hits(spark, d).groupBy("event_id", index).agg(F.max((F.col("class") != 0).cast("int")).alias("is_nu_tile"))
 
 
+@query("SELECT k.row, class, count(*) AS n_hits, CAST(sum(charge) AS BIGINT) AS charge FROM kc k JOIN thits h ON h.event_id = k.event_id AND wire >= wire_lo AND wire < wire_hi AND t >= time_lo AND t < time_hi GROUP BY 1, 2")
+def hit_tally(spark, d):
+    return full.hit_tally(V.kept_clusters(spark, d), V.true_hits(spark, d))
+
+
+@query(f"""SELECT w.row, crop_w, crop_h, frame_w, frame_h, was_cropped, g.* EXCLUDE (row), n_hits, hit_charge, nu_charge, percent_nu, dominant_class FROM wins w LEFT JOIN ({_padded_sql(50)}) g ON g.row = w.row
+  LEFT JOIN (SELECT w.row, CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(n, 0) END AS n_hits, CAST(coalesce(q, 0) AS BIGINT) AS hit_charge, round(coalesce(nu, 0), 2) AS nu_charge,
+    round(CASE WHEN q > 0 THEN 100 * nu / q END, 6) AS percent_nu, CASE WHEN n > 0 THEN CASE greatest(c0, c1, c2, c3, c4) WHEN c0 THEN 0 WHEN c1 THEN 1 WHEN c2 THEN 2 WHEN c3 THEN 3 ELSE 4 END ELSE -1 END AS dominant_class
+    FROM kc w LEFT JOIN (SELECT DISTINCT event_id FROM thits) e ON e.event_id = w.event_id LEFT JOIN (
+    SELECT k.row, count(*) AS n, sum(charge) AS q, sum(charge * share) AS nu, count(*) FILTER (WHERE class = 0) AS c0, count(*) FILTER (WHERE class = 1) AS c1, count(*) FILTER (WHERE class = 2) AS c2,
+      count(*) FILTER (WHERE class = 3) AS c3, count(*) FILTER (WHERE class = 4) AS c4 FROM wins k JOIN thits h ON pct = 50 AND h.event_id = k.event_id AND wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi
+      AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi GROUP BY 1) x ON x.row = w.row) u ON u.row = w.row WHERE pct = 50""")
+def truth_table_padded_50(spark, d):
+    rows = _full(_inputs(spark, d), 50)
+    shape = ["n_points", "total_charge", "bbox_w", "bbox_h", "linearity", "charge_conc", "hit_density", "charge_mean", "charge_max", "charge_std", "n_saturated", "pca_len1", "centroid_wire", "centroid_time"]
+    out = rows.select("row", "crop_w", "crop_h", "frame_w", "frame_h", "was_cropped", *shape, "n_hits", "hit_charge", "nu_charge", "percent_nu", "dominant_class")
+    out = rounded(out, "linearity", "charge_conc", "hit_density", "charge_mean", "charge_std", "centroid_wire", "centroid_time", "percent_nu")
+    return rounded(rounded(out, "pca_len1", places=4), "nu_charge", places=2)
+
+
+def _inputs(spark, d) -> tuple[DataFrame, ...]:
+    """Clusters, pixels, hits and events, written once: each is read several times."""
+    return stored(V.kept_clusters(spark, d)), stored(V.cut_pixels(spark, d).filter("adc > 0")), stored(V.true_hits(spark, d)), V.neutrinos(spark, d)
+
+
+def _full(inputs: tuple[DataFrame, ...], pct: int | None) -> DataFrame:
+    found = inputs[0]
+    targets = None if pct is None else frames.pad_targets(found).filter(F.col("pct") == pct)
+    return full.truth_table(*inputs, targets)
+
+
+@query(None)
+def truth_table_all(spark, d):
+    """All columns of the three variants: raw, and padded to the 50 % and 75 % targets."""
+    inputs = _inputs(spark, d)
+    parts = [_full(inputs, pct).withColumn("variant", F.lit(name)) for name, pct in (("raw", None), ("padded_50", 50), ("padded_75", 75))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # scores
 
 
@@ -522,6 +563,30 @@ def binned_efficiency(spark, d):
     return rounded(histograms.efficiency(V.scored(spark, d), "inten", F.col("positive"), EDGES), "eff", "err")
 
 
+@query("""SELECT bin, count(*) AS n, round(quantile_cont(raw, 0.25), 6) AS q25, round(quantile_cont(raw, 0.5), 6) AS q50, round(quantile_cont(raw, 0.75), 6) AS q75, round(avg(CAST(raw > 3 AS DOUBLE)), 6) AS pass_share FROM (
+  SELECT raw, CAST(least(floor((log10(inten) - 1.0::DOUBLE) / (3.0::DOUBLE / 12)), 11) AS INTEGER) AS bin FROM sc WHERE inten BETWEEN 10 AND 10000) GROUP BY 1""")
+def binned_quartiles(spark, d):
+    return rounded(histograms.binned_quartiles(V.scored(spark, d), "inten", "raw", 1, 4, 12, F.col("raw") > 3), "q25", "q50", "q75", "pass_share")
+
+
+@query("SELECT n_clusters, count(*) AS n FROM (SELECT e.event_id, count(k.row) AS n_clusters FROM (SELECT DISTINCT event_id FROM hits) e LEFT JOIN kc k ON k.event_id = e.event_id GROUP BY 1) GROUP BY 1")
+def clusters_per_event_histogram(spark, d):
+    return histograms.integer(C.per_event(V.clusters(spark, d), V.hits(spark, d)), "n_clusters")
+
+
+@query("SELECT max(abs(a - b)) AS max_diff FROM (SELECT event_id, sum(charge) AS a FROM tiles GROUP BY 1) x JOIN (SELECT event_id, sum(adc) AS b FROM cut GROUP BY 1) y USING (event_id)")
+def charge_cross_check(spark, d):
+    a = V.tiles(spark, d).groupBy("event_id").agg(F.sum("charge").alias("a"))
+    b = V.cut_pixels(spark, d).groupBy("event_id").agg(F.sum("adc").alias("b"))
+    return scores.max_difference(a.join(b, "event_id"), "a", "b")
+
+
+@query("SELECT vec_id, len(list_filter(px, lambda v: v > 100)) / len(px) AS lit, len(list_filter(px, lambda v: v > 100)) >= 8 AS pool FROM images")
+def lit_pools(spark, d):
+    bright = F.transform("px", lambda v: v - 100)
+    return V.images(spark, d).select("vec_id", P.lit_fraction(bright).alias("lit"), (F.size(F.filter(bright, lambda v: v > 0)) >= 8).alias("pool"))
+
+
 @query("SELECT event_type, round(median, 6) AS median, round(median / (max(median) FILTER (WHERE event_type = 'view') OVER ()), 6) AS ratio FROM (SELECT event_type, quantile_cont(raw, 0.5) AS median FROM sc GROUP BY 1)")
 def class_medians(spark, d):
     return rounded(scores.class_medians(V.scored(spark, d), "raw", "event_type", "view"), "median", "ratio")

@@ -87,7 +87,7 @@ def true_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neutrinos(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").filter("o_orderkey < 31")
     return rows.select(
-        F.col("o_orderkey").alias("event_id"), (F.col("o_orderstatus") == "F").alias("is_cc"), (F.col("o_totalprice") / 100000).alias("nu_energy_gev"),
+        F.col("o_orderkey").alias("event_id"), F.lit(14).alias("nu_pdg"), (F.col("o_orderstatus") == "F").alias("is_cc"), (F.col("o_totalprice") / 100000).alias("nu_energy_gev"),
         (F.col("o_custkey") * 37 % 3456).alias("nu_vtx_wire"), P.tick_pixel(F.col("o_custkey") * 61 % 6400).alias("nu_vtx_time"),
     )
 
