@@ -69,7 +69,8 @@ def with_next(df: DataFrame, key: str, columns: list[str], parts: int) -> DataFr
     """df with next_<column>: the values of the next row by descending key; after the last, those of the first.
 
     Equal keys follow each other by `columns`, null keys come last. Rows are dealt to ranges of the key; the first
-    row of each range is also sent to the range before it, so that no window spans the table.
+    row of each range is also sent to the range before it, so that no window spans the table. The `parts` - 1 cuts are
+    part of the plan: some thousands are fine.
     """
     total = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"), F.count(key).alias("n")).first()
     cuts = sorted(set(total["cuts"] or []))

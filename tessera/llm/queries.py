@@ -66,7 +66,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("lanes", multiset.lanes(F.col("text")))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
         multiset.with_next(docs, "doc_id", ["text", "lanes"], parts)
