@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from tessera.sources.storage import stored
 
 
-def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the average rank of value (ties share it), from 1; nulls have none.
+def running(counts: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """counts with running sums (name: column) in this order of its rows, each row's own value included.
 
-    Ranks are made over the distinct values: their counts, summed up by ranges of the value (one window for each
-    range, one over the ranges' totals), so that no window holds the table.
+    Rows are dealt to ranges of the order; a window runs within each range, and one over the ranges' totals, so that
+    no window holds the table. Rows that are equal by the order must not occur.
     """
+    placed = stored(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = placed.groupBy("_p").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    before = totals.select("_p", *(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    within = Window.partitionBy("_p").orderBy(*order)
+    rows = placed.join(F.broadcast(before), "_p")
+    return rows.withColumns({n: F.sum(c).over(within) + F.col(f"_{n}") for n, c in sums.items()}).drop("_p", *(f"_{n}" for n in sums))
+
+
+def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with the average rank of value (ties share it), from 1; nulls have none."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = stored(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()))
-    before = placed.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    running = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    ranks = placed.join(F.broadcast(before.select("_p", "_before")), "_p").select("_v", (F.col("_before") + running - (F.col("_n") - 1) / 2).alias(out))
+    ranks = running(counts, [F.col("_v")], {"_to": "_n"}).select("_v", (F.col("_to") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
@@ -32,20 +40,21 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """threshold, tpr, fpr for each distinct score from the highest down (ties together), after (null, 0, 0)."""
     rows = df.filter(F.col(score).isNotNull() & positive.isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    over = Window.orderBy(F.desc("threshold"))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = rows.withColumns({"tp": F.sum("p").over(over), "fp": F.sum("n").over(over), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
-    points = out.select("threshold", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_n").alias("fpr"))
+    rows = stored(rows)
+    all_p, all_n = rows.agg(F.sum("p"), F.sum("n")).first()
+    out = running(rows, [F.desc("threshold")], {"tp": "p", "fp": "n"})
+    points = out.select("threshold", F.try_divide("tp", F.lit(all_p).cast("long")).alias("tpr"), F.try_divide("fp", F.lit(all_n).cast("long")).alias("fpr"))
     return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")).union(points)
 
 
 def auc(df: DataFrame, score: str, positive: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """by, n_pos, n_neg, auc from rank sums: (sum of positive ranks - n1 (n1 + 1) / 2) / (n1 n0); null without both classes."""
     counts = df.filter(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, F.col(score).alias("v")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy("v")) - F.col("n")
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("n") / 2))
-    total = wins.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("w").alias("w"))
-    return total.select(*by, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+    placed = running(counts, [*(F.col(c) for c in by), F.col("v")], {"upto": "n"})
+    before = F.col("upto") - F.col("n")  # negatives that come before this score, those of earlier groups included
+    total = placed.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (before + F.col("n") / 2)).alias("w"), F.min(before).alias("first"))
+    wins = F.col("w") - F.col("first") * F.col("n_pos")
+    return total.select(*by, "n_pos", "n_neg", F.try_divide(wins, F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
 def nearest_to(df: DataFrame, value: str, key: str, shares: tuple[float, ...]) -> DataFrame:
