@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> Dat
     shared = keyed_.join(chosen, "key").filter(distance(F.col("fp"), F.col("r.fp")) <= FAR).select(F.least("id", "r.id").alias("a"), F.greatest("id", "r.id").alias("b"))
     pairs = stored(same_print.union(links(nodes)).union(shared).filter("a <> b").distinct())
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    one_each = docs.join(ids, "doc_id", "left_semi")
+    one_each = docs.join(ids.hint("merge"), "doc_id", "left_semi")  # as many ids as the data has: never broadcast
     sets = stored(shingle_sets(one_each, k).groupBy("doc_id").agg(F.min("shingles").alias("s")))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -218,6 +218,8 @@ def first_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataF
     """
     groups_ = stored(near_duplicates(docs, k, similarity).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
     kept = groups_.filter("doc_id = c")
-    once = docs.join(kept.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.union(again).union(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    out = docs.join(kept.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        again = docs.join(kept.filter("n > 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
+        out = out.union(again.dropDuplicates(["doc_id"]))
+    return out.union(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
