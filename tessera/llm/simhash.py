@@ -17,10 +17,12 @@ doc_id get the group of their fingerprint, but link nothing themselves.
 
 from __future__ import annotations
 
+from math import ceil
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
@@ -122,52 +124,40 @@ def groups(prints: DataFrame) -> DataFrame:
 
 
 # Near copies. At a shingle similarity of 0.8 the fingerprints of two texts differ in ten bits on average: links of two
-# bits find few of such pairs. So texts are also cut into blocks, and pairs that share a block's fingerprint are verified.
+# bits find few of such pairs. So texts are joined by a prefix filter on their shingles, which loses no pair.
 
-#: A block ends at a shingle whose hash is a multiple of this.
-BLOCK = 16
-#: Blocks of a text that serve as keys: those of smallest hash.
-KEYS = 12
 #: Texts whose fingerprints differ in more bits than this aren't compared. Shingle sets of similarity 0.8 or more differ in
 #: 10 of 64 bits on average, with a standard deviation of 3.
 FAR = 24
 
 
-def block_keys(hashes: np.ndarray, least: int = 4) -> np.ndarray:
-    """SimHash fingerprints of a text's blocks, KEYS at most. Blocks are cut by content, so that an edit changes those
-    around it alone; ones of fewer than `least` shingles don't count, unless the text has no other."""
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct hashes in an order that all texts share. Of two sets of this
+    similarity or more, the prefixes share one at least."""
     n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    starts = np.concatenate(([0], np.flatnonzero(hashes[:-1] % np.uint64(BLOCK) == 0) + 1))
-    sizes = np.diff(np.append(starts, n))
-    bits = np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    found = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-    if (sizes >= least).any():
-        found = found[sizes >= least]
-    found = np.unique(found)
-    order = np.argsort(found * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-    return found[order[:KEYS]].view(np.int64)
-
-
-def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, copy (hash of the words), fp, keys of every row."""
+    return hashes[: n - ceil(similarity * n - 1e-9) + 1] if n else hashes
+
+
+def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """doc_id, copy (hash of the words), fp, size (of the shingle set) and keys (its prefix) of every row."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            copy, fps, keys = [], [], []
+            copy, fps, sizes, keys = [], [], [], []
             for t in batch.column("text").to_pylist():
                 found = words(t)
                 hashes = shingle_hashes(found, k)
                 copy.append(xxhash.xxh3_128_digest(b" ".join(found)))
                 fps.append(fingerprint(hashes))
-                keys.append(block_keys(hashes))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(copy, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "fp", "keys"])
+                hashes = np.unique(hashes)
+                sizes.append(len(hashes))
+                keys.append(prefix(hashes, similarity).view(np.int64))
+            columns = [pa.array(copy, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "copy", "fp", "size", "keys"])
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, copy binary, fp long, keys array<long>", make, 128)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, copy binary, fp long, size int, keys array<long>", make, 128)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -183,30 +173,45 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id long, shingles array<int>", make, 128)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: groups of copies and of texts whose k-word shingle sets have a Jaccard similarity of
-    `similarity` or more, linked through one another.
+def shared_keys(texts: DataFrame) -> DataFrame:
+    """key, id, fp, size, at (the key's place in the prefix), n (texts of the key), for keys of more than one text."""
+    every = texts.select("id", "fp", "size", F.posexplode("keys").alias("at", "key"))
+    return every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
 
-    Copies (equal words) count as one text. Candidates share a fingerprint link of 2 bits, or a block; under a
-    block's key, each text meets two representatives (the smallest id, and that of the smallest hash), not every
-    other text. All candidates are verified by their sets. Rows with a null doc_id are left out.
-    """
-    known = stored(profiles(docs.filter(F.col("doc_id").isNotNull()), k))
-    texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    nodes = stored(texts.groupBy("fp").agg(F.min("id").alias("id")))
-    same_print = texts.select("id", "fp").join(nodes.select("fp", F.col("id").alias("a")), "fp").select("a", F.col("id").alias("b"))
-    keyed_ = texts.select("id", "fp", F.explode("keys").alias("key"))
-    one = F.struct("id", "fp")
-    chosen = stored(keyed_.groupBy("key").agg(F.min(one).alias("x"), F.min_by(one, F.xxhash64("id")).alias("y"), F.count("*").alias("n")).filter("n > 1").select("key", F.explode(F.array_distinct(F.array("x", "y"))).alias("r")))
-    shared = keyed_.join(chosen, "key").filter(distance(F.col("fp"), F.col("r.fp")) <= FAR).select(F.least("id", "r.id").alias("a"), F.greatest("id", "r.id").alias("b"))
-    pairs = stored(same_print.union(links(nodes)).union(shared).filter("a <> b").distinct())
+
+def candidates(left: DataFrame, right: DataFrame, on: list[str], similarity: float) -> DataFrame:
+    """a, b: pairs under a key whose sizes and places in the prefix allow the similarity. The first shingle that two texts
+    share has none before it, so that what follows it bounds all they share; pairs may be found by later ones too."""
+    x, y = left, right.withColumnsRenamed({c: f"{c}_2" for c in right.columns if c not in on})
+    rest = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
+    enough = rest + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2"))
+    close = distance(F.col("fp"), F.col("fp_2")) <= FAR
+    return x.join(y, on).filter((F.col("id") != F.col("id_2")) & enough & close).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """a, b: the pairs whose shingle sets have the similarity."""
+    pairs = stored(pairs)
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     one_each = docs.join(ids.hint("merge"), "doc_id", "left_semi")  # as many ids as the data has: never broadcast
-    sets = stored(shingle_sets(one_each, k).groupBy("doc_id").agg(F.min("shingles").alias("s")))
+    sets = stored(shingle_sets(one_each, k).distinct().withColumnRenamed("shingles", "s"))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.filter((F.size("sa") == 0) & (F.size("sb") == 0) | (common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)))
-    part = connected_components(alike.select("a", "b"))
+    return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: groups of copies and of texts whose k-word shingle sets have a Jaccard similarity of
+    `similarity` or more, linked through one another.
+
+    Copies (equal words) count as one text. Every pair that shares a shingle of both prefixes is a candidate, and all
+    candidates are verified by their sets. Rows with a null doc_id are left out.
+    """
+    known = stored(profiles(docs.filter(F.col("doc_id").isNotNull()), k, similarity))
+    texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    shared = stored(shared_keys(texts))
+    alike = verified(docs, candidates(shared, shared, ["key"], similarity), k, similarity)
+    part = connected_components(alike)
     least = stored(texts.join(part, texts.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
     return known.select("doc_id", "copy").join(least, "copy").select("doc_id", "component_id")
 

@@ -260,6 +260,47 @@ def test_near_copies(spark, docs):
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
+def by_all_pairs(texts, k=5, similarity=0.8):
+    """Smallest id reachable over pairs of this similarity, by comparing all."""
+    sets = {}
+    for d, t in texts.items():
+        w = t.lower().split()
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+    top = {d: d for d in texts}
+
+    def find(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {d: find(d) for d in texts}
+
+
+def components(spark, texts, **options):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, **options).collect()}
+
+
+def test_near_copies_of_short_texts_equal_all_pairs(spark):
+    rng, texts = random.Random(11), {}
+    for k in range(0, 600, 4):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(5, 101))]
+        texts[k] = " ".join(w)
+        texts[k + 1] = " ".join([*w, "new"])
+        texts[k + 2] = " ".join(["new", *w, "more"])
+        edited = list(w)
+        edited[rng.randrange(len(w))] = "other"
+        texts[k + 3] = " ".join(edited)
+    want = by_all_pairs(texts)
+    assert sum(d != c for d, c in want.items()) > 250
+    assert components(spark, texts) == want
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(k, prose("en" if k % 4 else "de", 20 + k % 30)) for k in range(200)], "doc_id long, text string")
     marks = spark.createDataFrame([(k, "a" if k % 4 else "b") for k in range(0, 200, 2)], "doc_id long, domain string")
