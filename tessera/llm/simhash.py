@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import map_rows, stored
+from tessera.llm.common import map_rows, sampled, stored
 from tessera.operators.graph import connected_components
 
 SEED = 42
@@ -129,17 +129,48 @@ def groups(prints: DataFrame) -> DataFrame:
 #: Texts whose fingerprints differ in more bits than this aren't compared. Shingle sets of similarity 0.8 or more differ in
 #: 10 of 64 bits on average, with a standard deviation of 3.
 FAR = 24
+#: Share of the texts that tells which shingles are common: those in COMMON of them or more, COMMONEST at most. Any choice
+#: gives the same groups, it settles the order of the prefixes only.
+SHARE, COMMON, COMMONEST = 1 / 16, 8, 200_000
+#: Keys of more texts than this are joined last, and only between groups that the others left apart.
+MOST = 64
 
 
-def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of n distinct hashes in an order that all texts share. Of two sets of this
-    similarity or more, the prefixes share one at least."""
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n distinct hashes, sorted, in an order that all texts share: the common
+    ones come last, by rank. Of two sets of this similarity or more, the prefixes share one at least."""
     n = len(hashes)
-    return hashes[: n - ceil(similarity * n - 1e-9) + 1] if n else hashes
+    if not n:
+        return hashes
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        known = common[at] == hashes
+        hashes = np.concatenate([hashes[~known], common[at[known]][np.argsort(rank[at[known]])]])
+    return hashes[: n - ceil(similarity * n - 1e-9) + 1]
 
 
-def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+def common_shingles(docs: DataFrame, k: int, share: float = SHARE, least: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that many texts of a sample have, and their ranks, rarest first."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [np.unique(shingle_hashes(words(t), k)) for t in batch.column("text").to_pylist()]
+            kinds, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+
+        return work
+
+    part = docs.filter(sampled(F.col("doc_id"), share, SEED)).select("text")
+    counts = map_rows(part, "key long, n long", make, 1024).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "key").limit(COMMONEST).collect()
+    keys = np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def profiles(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, copy (hash of the words), fp, size (of the shingle set) and keys (its prefix) of every row."""
+    now = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -151,7 +182,7 @@ def profiles(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 fps.append(fingerprint(hashes))
                 hashes = np.unique(hashes)
                 sizes.append(len(hashes))
-                keys.append(prefix(hashes, similarity).view(np.int64))
+                keys.append(prefix(hashes, similarity, *now.value).view(np.int64))
             columns = [pa.array(copy, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "copy", "fp", "size", "keys"])
 
@@ -174,9 +205,12 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, id, fp, size, at (the key's place in the prefix), n (texts of the key), for keys of more than one text."""
+    """key, id, fp, size, at (the key's place in the prefix), n (texts of the key), first and second (texts that stand for
+    the key), for keys of more than one text."""
     every = texts.select("id", "fp", "size", F.posexplode("keys").alias("at", "key"))
-    return every.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    own = Window.partitionBy("key")
+    stand = {"n": F.count("*").over(own), "first": F.min("id").over(own), "second": F.min_by("id", F.xxhash64("id", "key")).over(own)}
+    return every.withColumns(stand).filter("n > 1")
 
 
 def candidates(left: DataFrame, right: DataFrame, on: list[str], similarity: float) -> DataFrame:
@@ -200,20 +234,34 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Da
     return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share: float = SHARE, least: int = COMMON, most: int = MOST) -> DataFrame:
     """doc_id, component_id: groups of copies and of texts whose k-word shingle sets have a Jaccard similarity of
     `similarity` or more, linked through one another.
 
     Copies (equal words) count as one text. Every pair that shares a shingle of both prefixes is a candidate, and all
-    candidates are verified by their sets. Rows with a null doc_id are left out.
+    candidates are verified by their sets. Under keys of more than `most` texts, each meets two of them first; then all
+    pairs that no link connects so far are verified. Rows with a null doc_id are left out.
     """
-    known = stored(profiles(docs.filter(F.col("doc_id").isNotNull()), k, similarity))
+    docs_ = docs.filter(F.col("doc_id").isNotNull())
+    known = stored(profiles(docs_, k, similarity, common_shingles(docs_, k, share, least)))
     texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     shared = stored(shared_keys(texts))
-    alike = verified(docs, candidates(shared, shared, ["key"], similarity), k, similarity)
+    few, hot = shared.filter(F.col("n") <= most), shared.filter(F.col("n") > most)
+    pairs, any_hot = candidates(few, few, ["key"], similarity), not hot.isEmpty()
+    if any_hot:
+        stars = hot.select("id", F.explode(F.array("first", "second")).alias("r")).filter("id <> r")
+        pairs = pairs.union(stars.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b"))).distinct()
+    alike = stored(verified(docs, pairs, k, similarity))
     part = connected_components(alike)
-    least = stored(texts.join(part, texts.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
-    return known.select("doc_id", "copy").join(least, "copy").select("doc_id", "component_id")
+    if any_hot:
+        grouped = stored(hot.join(part, hot.id == part.node, "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component"))
+        kinds = stored(grouped.select("key", "c").distinct())
+        apart = kinds.join(kinds.withColumnRenamed("c", "d"), "key").filter("c < d")
+        left = grouped.join(apart, ["key", "c"])
+        more = verified(docs, candidates(left, grouped.withColumnRenamed("c", "d"), ["key", "d"], similarity), k, similarity)
+        part = connected_components(alike.union(more))
+    least_ = stored(texts.join(part, texts.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
+    return known.select("doc_id", "copy").join(least_, "copy").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -301,6 +301,25 @@ def test_near_copies_of_short_texts_equal_all_pairs(spark):
     assert components(spark, texts) == want
 
 
+@pytest.mark.parametrize("options", [{}, {"share": 1.0, "least": 3}, {"most": 2}])
+def test_near_copies_of_templates_equal_all_pairs(spark, options):
+    """Texts that share most of their words with all others, and have near copies of their own."""
+    rng, texts = random.Random(12), {}
+    shared = [f"t{rng.randrange(3000)}" for _ in range(90)]
+    for k in range(0, 200, 2):
+        own = [f"w{rng.randrange(3000)}" for _ in range(40)]
+        texts[k] = " ".join([*shared, *own])
+        own[rng.randrange(35)] = "new"
+        texts[k + 1] = " ".join([*shared, *own])
+    for k in range(200, 280):  # variants: each of its neighbours, few of the first
+        words = [f"v{j}" for j in range(60)]
+        words[k % 50], words[(7 * k) % 55] = f"x{k // 4}", f"y{k // 3}"
+        texts[k] = " ".join(words)
+    want = by_all_pairs(texts)
+    assert len(set(want.values())) > 40
+    assert components(spark, texts, **options) == want
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(k, prose("en" if k % 4 else "de", 20 + k % 30)) for k in range(200)], "doc_id long, text string")
     marks = spark.createDataFrame([(k, "a" if k % 4 else "b") for k in range(0, 200, 2)], "doc_id long, domain string")
