@@ -126,9 +126,6 @@ def groups(prints: DataFrame) -> DataFrame:
 # Near copies. At a shingle similarity of 0.8 the fingerprints of two texts differ in ten bits on average: links of two
 # bits find few of such pairs. So texts are joined by a prefix filter on their shingles, which loses no pair.
 
-#: Texts whose fingerprints differ in more bits than this aren't compared. Shingle sets of similarity 0.8 or more differ in
-#: 10 of 64 bits on average, with a standard deviation of 3.
-FAR = 24
 #: Share of the texts that tells which shingles are common: those in COMMON of them or more, COMMONEST at most. Any choice
 #: gives the same groups, it settles the order of the prefixes only.
 SHARE, COMMON, COMMONEST = 1 / 16, 8, 200_000
@@ -169,26 +166,24 @@ def common_shingles(docs: DataFrame, k: int, share: float = SHARE, least: int =
 
 
 def profiles(docs: DataFrame, k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, copy (hash of the words), fp, size (of the shingle set) and keys (its prefix) of every row."""
+    """doc_id, copy (hash of the words), size (of the shingle set) and keys (its prefix) of every row."""
     now = docs.sparkSession.sparkContext.broadcast(common)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            copy, fps, sizes, keys = [], [], [], []
+            copy, sizes, keys = [], [], []
             for t in batch.column("text").to_pylist():
                 found = words(t)
-                hashes = shingle_hashes(found, k)
+                hashes = np.unique(shingle_hashes(found, k))
                 copy.append(xxhash.xxh3_128_digest(b" ".join(found)))
-                fps.append(fingerprint(hashes))
-                hashes = np.unique(hashes)
                 sizes.append(len(hashes))
                 keys.append(prefix(hashes, similarity, *now.value).view(np.int64))
-            columns = [pa.array(copy, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "copy", "fp", "size", "keys"])
+            columns = [pa.array(copy, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "copy", "size", "keys"])
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id long, copy binary, fp long, size int, keys array<long>", make, 128)
+    return map_rows(docs.select("doc_id", "text"), "doc_id long, copy binary, size int, keys array<long>", make, 128)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -205,9 +200,9 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, id, fp, size, at (the key's place in the prefix), n (texts of the key), first and second (texts that stand for
+    """key, id, size, at (the key's place in the prefix), n (texts of the key), first and second (texts that stand for
     the key), for keys of more than one text."""
-    every = texts.select("id", "fp", "size", F.posexplode("keys").alias("at", "key"))
+    every = texts.select("id", "size", F.posexplode("keys").alias("at", "key"))
     own = Window.partitionBy("key")
     stand = {"n": F.count("*").over(own), "first": F.min("id").over(own), "second": F.min_by("id", F.xxhash64("id", "key")).over(own)}
     return every.withColumns(stand).filter("n > 1")
@@ -219,8 +214,7 @@ def candidates(left: DataFrame, right: DataFrame, on: list[str], similarity: flo
     x, y = left, right.withColumnsRenamed({c: f"{c}_2" for c in right.columns if c not in on})
     rest = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
     enough = rest + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2"))
-    close = distance(F.col("fp"), F.col("fp_2")) <= FAR
-    return x.join(y, on).filter((F.col("id") != F.col("id_2")) & enough & close).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    return x.join(y, on).filter((F.col("id") != F.col("id_2")) & enough).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -244,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share:
     """
     docs_ = docs.filter(F.col("doc_id").isNotNull())
     known = stored(profiles(docs_, k, similarity, common_shingles(docs_, k, share, least)))
-    texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     shared = stored(shared_keys(texts))
     few, hot = shared.filter(F.col("n") <= most), shared.filter(F.col("n") > most)
     pairs, any_hot = candidates(few, few, ["key"], similarity), not hot.isEmpty()

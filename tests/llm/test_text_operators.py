@@ -320,6 +320,17 @@ def test_near_copies_of_templates_equal_all_pairs(spark, options):
     assert components(spark, texts, **options) == want
 
 
+def test_near_copies_that_repeat_a_line_differently(spark):
+    rng, texts = random.Random(13), {}
+    for k in range(0, 80, 2):
+        own = " ".join(f"w{rng.randrange(4000)}" for _ in range(500))
+        line = " ".join(f"w{rng.randrange(4000)}" for _ in range(10))
+        texts[k], texts[k + 1] = f"{own}\n{line}", own + f"\n{line}" * 200
+    want = {d: d - d % 2 for d in texts}
+    assert by_all_pairs(texts) == want
+    assert components(spark, texts) == want
+
+
 def test_mixing(spark, docs):
     rows = spark.createDataFrame([(k, prose("en" if k % 4 else "de", 20 + k % 30)) for k in range(200)], "doc_id long, text string")
     marks = spark.createDataFrame([(k, "a" if k % 4 else "b") for k in range(0, 200, 2)], "doc_id long, domain string")
