@@ -5,7 +5,8 @@ P(word | history) = P(class | history) P(slot | class, history) P(word | slot).
 hashed features of the history: the last slot, the one before it (a skip), and, for classes, both together.
 The third is (c + 1) / (N_b + V_b + 1) from the counts of the words in the bucket, so that every word, seen or not,
 has its probability. Biases start as unigram logits; each round of training broadcasts the weights, takes
-Adagrad steps over a fixed share of the training documents in every partition, and averages the changes.
+Adagrad steps over its share of the training documents in every partition, and averages the changes; the shares are
+disjoint and together all of them.
 
 Counts are over all training documents. Words of at least 1 / HOT of the tokens go to the tasks (at most HOT of
 them); the others are joined with the table of counts, once for a document and word.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, sampled, stored
+from tessera.llm.common import map_rows, stored
 
 HOT = 20_000
 CLASSES, MEMBERS, BUCKETS = 32, 32, 64
@@ -185,11 +186,12 @@ def laid_out(found: list[list[bytes]], slot: Slots) -> tuple[np.ndarray, np.ndar
     return np.array(flat, np.int64), np.cumsum(sizes) - sizes
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, share: float = 1 / 8, rate: float = 0.15, seed: int = 13) -> Weights:
-    """docs: doc_id, text. Each round takes another `share` of them, chosen by hash."""
+def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, share: float = 1 / 2, rate: float = 0.15, seed: int = 13) -> Weights:
+    """docs: doc_id, text. Each round takes the next `share` of them by hash: by default all, each in one round."""
     weights = Weights.unigram(vocabulary.slot_counts)
     for turn in range(rounds):
-        part = docs.select("text").filter(sampled(F.col("doc_id"), share, seed + turn))
+        place = F.pmod(F.xxhash64("doc_id", F.lit(seed)) - F.lit(int(turn * share * (1 << 30))), F.lit(1 << 30))
+        part = docs.filter(place < F.lit(float(1 << 30)) * share).select("text")
         now = docs.sparkSession.sparkContext.broadcast(weights)
         changes = part.mapInArrow(learner(now, vocabulary, rate), "block int, change binary").groupBy("block").applyInArrow(averaged, "block int, change binary")
         tables = weights.tables()

@@ -148,6 +148,23 @@ def test_language_model(spark, docs):
     assert lm.score(docs, lm.count_words(docs.limit(0)), empty, lm.Weights.unigram(empty.slot_counts)).count() == docs.count()
 
 
+def test_language_model_learns_from_every_document_once(spark, monkeypatch, tmp_path):
+    def learner(*_):
+        def run(batches):
+            for k, batch in enumerate(batches):
+                for j, t in enumerate(batch.column("text").to_pylist()):
+                    (tmp_path / f"{t}-{k}-{j}-{id(batch)}").write_text(t)
+            yield from ()
+
+        return run
+
+    rows = spark.createDataFrame([(k, f"w{k}") for k in range(300)], "doc_id long, text string")
+    vocabulary = lm.vocabulary(lm.count_words(rows))
+    monkeypatch.setattr(lm, "learner", learner)
+    lm.train(rows, vocabulary)
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == sorted(f"w{k}" for k in range(300))
+
+
 def test_language_model_is_a_distribution(spark):
     rows = spark.createDataFrame([(k, prose("en", 30)) for k in range(50)], "doc_id long, text string")
     vocabulary = lm.vocabulary(lm.count_words(rows))
