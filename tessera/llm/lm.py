@@ -1,38 +1,55 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-Words are slots: each frequent one its own, the others 64 hash buckets. Slots are dealt to classes of 32.
-P(word | history) = P(class | history) P(slot | class, history) P(word | slot). The first two are softmaxes over
-hashed features of the history: the last slot, the one before it (a skip), and, for classes, both together.
-The third is (c + 1) / (N_b + V_b + 1) from the counts of the words in the bucket, so that every word, seen or not,
-has its probability. Biases start as unigram logits; each round of training broadcasts the weights, takes
-Adagrad steps over its share of the training documents in every partition, and averages the changes; the shares are
-disjoint and together all of them.
+Words are slots: frequent ones their own, the others hash buckets, a sixteenth of the slots. Slots are dealt to classes,
+as many as a class has members: 32, 64 or 128, by the size of the vocabulary.
+P(word | history) = P(class | history) P(slot | class, last slot) P(word | slot). The first is a softmax over hashed
+features of the history: the last slot, the one before it (a skip), and both together. The second is a softmax over
+one: class and last slot together. The third is (c + 1) / (N_b + V_b + 1) from the counts of the words in the bucket,
+so that every word, seen or not, has its probability.
+
+Training is gradient ascent from the unigram model. A round broadcasts the weights; every task adds up, over all its
+training documents, how often each feature met each class and how often the model expects it (in whole 2^-14, so that
+sums don't depend on how rows are dealt); sums meet in two steps, of 256 tasks and of all. A weight then moves by
+2 rate (met - expected) / (met + expected + 2 prior p): the gradient by the size of its own curvature, with p
+of the unigram model for rare features. The members' gradient needs nothing but counts, so that the first round settles them.
 
 Counts are over all training documents. Words of at least 1 / HOT of the tokens go to the tasks (at most HOT of
 them); the others are joined with the table of counts, once for a document and word.
 
-Null and empty texts have one token, the end.
+Null and empty texts have one token, the end. Repeated and null ids are rows like any others, each scored by itself.
+Long texts are cut at white space into pieces, and slots into chunks, for the work; no token is left out by that.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_rows, stored
 
-HOT = 20_000
-CLASSES, MEMBERS, BUCKETS = 32, 32, 64
-SLOTS = CLASSES * MEMBERS
-TRIGRAMS = 1 << 14
+HOT = 500_000
+PIECE = 1 << 21
+TRIGRAMS, MEMBER_ROWS = 1 << 15, 1 << 16
+#: Expected counts are whole numbers of 1 / UNIT.
+UNIT = 1 << 14
+#: Rows of a table that are added up together.
+BLOCK = 64
 #: No word is empty.
 END = b""
+#: Columns of their own; those of the input that have one of these names are replaced.
+CODED = ("row", "slots", "n_tokens", "known", "base", "word_log", "rest")
+SCORED = ("n_known", "base_score", "score")
+WHITE = re.compile(rb"[ \t-\r]")
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -40,15 +57,24 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(place in texts, words) of pieces of about PIECE bytes at most; a text's last piece has the end."""
+    for k, text in enumerate(texts):
+        data, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+        while len(data) - at > PIECE and (cut := WHITE.search(data, at + PIECE)):
+            yield k, data[at : cut.start()].split()
+            at = cut.start()
+        yield k, [*data[at:].split(), END]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary; empty for the end), n; over all rows."""
 
     def run(batches):
         for batch in batches:
             found: Counter[bytes] = Counter()
-            for t in batch.column("text").to_pylist():
-                found.update(tokens(t))
-            found[END] = batch.num_rows
+            for _, x in pieces(batch.column("text").to_pylist()):
+                found.update(x)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -56,248 +82,331 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """hot: word -> (count, slot); other words fall into a bucket's slot. total, kinds: all tokens, distinct ones."""
+    """side: classes, and members of a class; total, kinds: all tokens, distinct ones. Of hot words: place by word, and
+    by place count and slot. Other words fall into a bucket's slot."""
 
+    side: int
     total: int
     kinds: int
-    hot: dict[bytes, tuple[int, int]]
+    place: dict[bytes, int]
+    counts: np.ndarray
+    slot: np.ndarray
     bucket_log: np.ndarray
     slot_counts: np.ndarray
 
-    @staticmethod
-    def bucket(word: bytes) -> int:
-        return SLOTS - BUCKETS + zlib.crc32(word) % BUCKETS
+    @property
+    def slots(self) -> int:
+        return self.side * self.side
+
+    @property
+    def buckets(self) -> int:
+        return self.slots // 16
+
+    @property
+    def end(self) -> int:
+        return int(self.slot[self.place[END]])
 
+    def bucket(self, word: bytes) -> int:
+        return self.slots - self.buckets + zlib.crc32(word) % self.buckets
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
+
+def side_for(kinds: int) -> int:
+    """Classes by the size of the vocabulary: slots grow with it, up to what tasks can hold."""
+    return 32 if kinds < 1 << 18 else 64 if kinds < 1 << 24 else 128
+
+
+def vocabulary(counts: DataFrame, side: int | None = None) -> Vocabulary:
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") * HOT >= total).collect()  # HOT at most
+    rows = counts.filter((F.col("n") * HOT >= total) | (F.col("word") == F.lit(END))).collect()  # HOT and the end at most
     ranked = sorted(((r["n"], bytes(r["word"])) for r in rows), key=lambda x: (-x[0], x[1]))
-    own = {w: k for k, (n, w) in enumerate(ranked[: SLOTS - BUCKETS])}
-    own.setdefault(END, 0)
-    bucket = F.crc32("word") % BUCKETS
-    sizes = {r["b"]: (r["n"], r["v"]) for r in counts.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    held = np.zeros((BUCKETS, 2))
-    for b, pair in sizes.items():
-        held[b] = pair
-    slot_counts = np.ones(SLOTS)
-    for n, w in ranked:
+    if not any(w == END for _, w in ranked):
+        ranked.append((0, END))
+    side = side or side_for(kinds)
+    out = Vocabulary(side, total, kinds, {w: k for k, (_, w) in enumerate(ranked)}, np.array([n for n, _ in ranked], np.int64), np.zeros(len(ranked), np.int64), np.zeros(0), np.zeros(0))
+    own = {w for _, w in ranked[: out.slots - out.buckets - 1]} | {END}
+    sizes = counts.groupBy((F.crc32("word") % out.buckets).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    held, slot_counts, free = np.zeros((out.buckets, 2)), np.ones(out.slots), 0
+    for r in sizes:
+        held[r["b"]] = r["n"], r["v"]
+    for k, (n, w) in enumerate(ranked):
         if w in own:
-            held[Vocabulary.bucket(w) - SLOTS + BUCKETS] -= (n, 1)
-            slot_counts[own[w]] += n
-    slot_counts[SLOTS - BUCKETS :] += held[:, 0]
-    hot = {w: (n, own.get(w, Vocabulary.bucket(w))) for n, w in ranked}
-    hot.setdefault(END, (0, own[END]))
-    return Vocabulary(total, kinds, hot, np.log10(held.sum(axis=1) + 1), slot_counts)
+            out.slot[k], free = free, free + 1
+            slot_counts[out.slot[k]] += n
+            if n:
+                held[out.bucket(w) - out.slots + out.buckets] -= n, 1
+        else:
+            out.slot[k] = out.bucket(w)
+    slot_counts[out.slots - out.buckets :] += held[:, 0]
+    out.bucket_log, out.slot_counts = np.log10(held.sum(axis=1) + 1), slot_counts
+    return out
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A stored table: docs' columns without text, row (a number of its own), slots (16 bits each), n_tokens, known (tokens
+    of hot words in training), base (their base score; others count 0), word_log (log10 of P(word | slot), others without
+    their own count) and rest (word and times, of words that aren't hot)."""
+    now = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [c for c in docs.columns if c not in ("text", *CODED)]
+    fields = "slots binary, n_tokens long, known long, base double, word_log double, rest array<struct<word:binary,times:int>>"
+    whole = docs.select(*kept).schema
 
+    def make():
+        v = now.value
+        get, slot_of, known_of = v.place.get, np.append(v.slot, 0).astype(np.uint16), np.append(v.counts > 0, False)
+        all_log, first = float(np.log10(v.total + v.kinds + 1)), v.slots - v.buckets
+        log_of = np.append(np.log10(v.counts + 1.0), 0.0)
+        shared = slot_of >= first
+        shared[-1] = False
+        word_log_of = np.where(shared, log_of - v.bucket_log[np.where(shared, slot_of - np.uint16(first), 0)], 0.0)
 
-class Slots(dict):
-    """Word -> slot; at most a fixed number of words that aren't hot are kept."""
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            slots, sizes, sums, rest = [b""] * n, np.zeros(n, np.int64), np.zeros((n, 3)), [Counter() for _ in range(n)]
+
+            def take(part: list[tuple[int, list[bytes]]]) -> None:
+                flat = [w for _, x in part for w in x]
+                at = np.fromiter(map(get, flat, repeat(-1)), np.int32, len(flat))
+                own = slot_of[at]
+                cold = np.flatnonzero(at < 0)
+                words = [flat[i] for i in cold.tolist()]
+                own[cold] = [first + zlib.crc32(w) % v.buckets for w in words]
+                word_log = word_log_of[at]
+                word_log[cold] = -v.bucket_log[own[cold] - np.uint16(first)]
+                ends = np.cumsum([len(x) for _, x in part])
+                cuts = np.searchsorted(cold, ends).tolist()
+                begin = done = 0
+                for (k, x), end, cut in zip(part, ends.tolist(), cuts, strict=True):
+                    s = slice(begin, end)
+                    slots[k] += own[s].tobytes()
+                    sizes[k] += len(x)
+                    sums[k] += known_of[at[s]].sum(), log_of[at[s]].sum(), word_log[s].sum()
+                    rest[k].update(words[done:cut])
+                    begin, done = end, cut
+
+            part, size = [], 0
+            for k, x in pieces(batch.column("text").to_pylist()):
+                if x:
+                    part.append((k, x))
+                    size += len(x)
+                if size > PIECE // 8:
+                    take(part)
+                    part, size = [], 0
+            if part:
+                take(part)
+            ends = np.cumsum([0, *map(len, rest)])
+            left = pa.StructArray.from_arrays([pa.array([w for x in rest for w in x], pa.binary()), pa.array([m for x in rest for m in x.values()], pa.int32())], ["word", "times"])
+            columns = [pa.array(slots, pa.binary()), pa.array(sizes), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1] - sizes * all_log), pa.array(sums[:, 2]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), left)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "slots", "n_tokens", "known", "base", "word_log", "rest"])
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.base = {w: s for w, (_, s) in vocabulary.hot.items()}
-        self.update(self.base)
+        return work
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self.base)
-        self[word] = found = Vocabulary.bucket(word)
-        return found
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in whole), fields])
+    return stored(map_rows(docs.select(*kept, "text"), schema, make, 256).withColumn("row", F.monotonically_increasing_id()))
 
 
 @dataclass
 class Weights:
-    """Logits: bias and rows by feature, for classes and, by class, for its members."""
+    """Logits by feature: bias of the classes, rows of the last slot, the skipped one and both, for classes; bias of the
+    members of each class, and rows of class and last slot, for members."""
 
     bias: np.ndarray
-    inner: np.ndarray
     last: np.ndarray
     skip: np.ndarray
     both: np.ndarray
+    inner: np.ndarray
     member: np.ndarray
 
     @staticmethod
     def unigram(slot_counts: np.ndarray) -> Weights:
-        grid = slot_counts.reshape(CLASSES, MEMBERS)
-        zero = lambda n: np.zeros((n, CLASSES), np.float32)
-        return Weights(np.log(grid.sum(axis=1)).astype(np.float32), np.log(grid).astype(np.float32), zero(SLOTS), zero(SLOTS), zero(TRIGRAMS), np.zeros((SLOTS * CLASSES, MEMBERS), np.float32))
+        slots = len(slot_counts)
+        side = round(slots**0.5)
+        grid = slot_counts.reshape(side, side)
+        zero = lambda n: np.zeros((n, side), np.float32)
+        inner = np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
+        return Weights(np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32), zero(slots), zero(slots), zero(TRIGRAMS), inner, zero(side * member_rows(side)))
 
     def tables(self) -> list[np.ndarray]:
-        return [self.last, self.skip, self.both, self.member]
-
-
-def features(slots: np.ndarray, starts: np.ndarray, end: int) -> list[np.ndarray]:
-    """Rows of last, skip, both and member for each token; before a document stand ends."""
-    one, two = np.empty_like(slots), np.empty_like(slots)
-    one[1:], two[2:] = slots[:-1], slots[:-2]
-    one[:1] = two[:2] = end
-    one[starts] = end
-    two[starts] = end
-    two[np.minimum(starts + 1, len(slots) - 1)] = end
-    mixed = ((one * 40503 + two) * 2654435761 >> 8) % TRIGRAMS
-    return [one, two, mixed, one * CLASSES + slots // MEMBERS]
-
-
-def probabilities(w: Weights, slots: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax over classes, and over the members of each token's class."""
-    a = w.last[rows[0]]
-    a += w.skip[rows[1]]
-    a += w.both[rows[2]]
-    a += w.bias
-    b = w.member[rows[3]]
-    b += w.inner[slots // MEMBERS]
-    for x in (a, b):
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-    return a, b
-
-
-def baked(w: Weights) -> Weights:
-    """Biases added to the rows that every token has, and the largest of them taken off, for scoring."""
-    last = w.last + (w.bias - w.bias.max())
-    member = w.member.reshape(SLOTS, CLASSES, MEMBERS) + (w.inner - w.inner.max(axis=1, keepdims=True))
-    return Weights(w.bias, w.inner, last, w.skip, w.both, member.reshape(w.member.shape))
-
-
-def log_probabilities(w: Weights, slots: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithm of each slot's probability; w: from baked()."""
-    a = w.last[rows[0]]
-    a += w.skip[rows[1]]
-    a += w.both[rows[2]]
-    b = w.member[rows[3]]
-    each = np.arange(len(slots))
-    own = a[each, slots // MEMBERS] + b[each, slots % MEMBERS]
-    for x in (a, b):
-        np.minimum(x, 80, out=x)
-        np.exp(x, out=x)
-    return own - np.log(np.maximum(a.sum(axis=1), 1e-30)) - np.log(np.maximum(b.sum(axis=1), 1e-30))
-
-
-def laid_out(found: list[list[bytes]], slot: Slots) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all texts, each with its end, and where texts start."""
-    sizes = np.array([len(x) + 1 for x in found])
-    get = slot.__getitem__
-    flat = []
-    for x in found:
-        flat += map(get, x)
-        flat.append(slot[END])
-    return np.array(flat, np.int64), np.cumsum(sizes) - sizes
-
-
-def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2, share: float = 1 / 2, rate: float = 0.15, seed: int = 13) -> Weights:
-    """docs: doc_id, text. Each round takes the next `share` of them by hash: by default all, each in one round."""
-    weights = Weights.unigram(vocabulary.slot_counts)
-    for turn in range(rounds):
-        place = F.pmod(F.xxhash64("doc_id", F.lit(seed)) - F.lit(int(turn * share * (1 << 30))), F.lit(1 << 30))
-        part = docs.filter(place < F.lit(float(1 << 30)) * share).select("text")
-        now = docs.sparkSession.sparkContext.broadcast(weights)
-        changes = part.mapInArrow(learner(now, vocabulary, rate), "block int, change binary").groupBy("block").applyInArrow(averaged, "block int, change binary")
-        tables = weights.tables()
-        begin = np.cumsum([0, *(len(t) for t in tables)])
-        for r in changes.collect():
-            row = r["block"] * MEMBERS
-            k = int(np.searchsorted(begin, row, "right")) - 1
-            tables[k][row - begin[k] : row - begin[k] + MEMBERS] += np.frombuffer(r["change"], np.float16).reshape(-1, MEMBERS).astype(np.float32)
-        now.unpersist()
-    return weights
-
-
-def learner(now, vocabulary: Vocabulary, rate: float, step: int = 2048):
-    """Takes a task's documents through Adagrad and gives the changed rows, MEMBERS at a time."""
+        """Rows for classes."""
+        return [self.last, self.skip, self.both]
+
+    def member_log(self) -> np.ndarray:
+        """Natural logarithm of the members' probabilities by row."""
+        side = len(self.bias)
+        logits = self.member + np.repeat(self.inner, member_rows(side), axis=0)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def member_rows(side: int) -> int:
+    """Rows of a class: one for each last slot, or as many hash values."""
+    return min(side * side, MEMBER_ROWS // side)
+
+
+def features(one: np.ndarray, two: np.ndarray, own: np.ndarray, side: int) -> list[np.ndarray]:
+    """Rows of last, skip, both and member for each token; one, two: the slots before it."""
+    rows = member_rows(side)
+    last = one if rows == side * side else (one * 2654435761 >> 7) % rows
+    return [one, two, ((one * 40503 + two) * 2654435761 >> 8) % TRIGRAMS, own // side * rows + last]
+
+
+def chunks(column: pa.Array, end: int, side: int, step: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(place, slots, their features) of neighbouring tokens of a column of slots; before a document stand ends."""
+    if not len(column):
+        return
+    wide = column.cast(pa.large_binary())
+    ends = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] // 2
+    flat = np.frombuffer(wide.buffers()[2], np.uint16, int(ends[-1]))[ends[0] :]
+    first = np.zeros(len(flat), bool)
+    first[ends[:-1] - ends[0]] = True
+    for low in range(0, len(flat), step):
+        at = np.arange(low, min(low + step, len(flat)))
+        one, two, own = flat[np.maximum(at - 1, 0)].astype(np.int64), flat[np.maximum(at - 2, 0)].astype(np.int64), flat[at].astype(np.int64)
+        one[first[at]] = end
+        two[first[at] | first[np.maximum(at - 1, 0)]] = end
+        yield low, own, features(one, two, own, side)
+
+
+def class_odds(tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
+    """Unnormalised probabilities' logarithms of all classes; the bias is in the first table. None is far above 0."""
+    a = tables[0][rows[0]]
+    a += tables[1][rows[1]]
+    a += tables[2][rows[2]]
+    return a
+
+
+def gather(now, end: int, side: int, expect: bool):
+    """A task's sums. Without `expect`: how often rows met classes and members; else how often classes were expected."""
 
     def run(batches):
-        w, slot = now.value, Slots(vocabulary)
-        w = Weights(w.bias, w.inner, *(t.copy() for t in w.tables()))
-        seen = [np.full(t.shape, 1e-2, np.float32) for t in w.tables()]
-        end, any_ = slot[END], False
+        w = now.value
+        tables = [w.last + w.bias, *w.tables()[1:]]
+        sums = [np.zeros(t.shape, np.int64) for t in (tables if expect else [*tables, w.member])]
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                slots, starts = laid_out([tokens(t) for t in batch.column("text").slice(start, 256).to_pylist()], slot)
-                rows = features(slots, starts, end)
-                for s in range(0, len(slots), step):
-                    own, at = slots[s : s + step], [r[s : s + step] for r in rows]
-                    a, b = probabilities(w, own, at)
-                    each = np.arange(len(own))
-                    a[each, own // MEMBERS] -= 1
-                    b[each, own % MEMBERS] -= 1
-                    for t, g2, r, g in zip(w.tables(), seen, at, (a, a, a, b), strict=True):
-                        kinds, back = np.unique(r, return_inverse=True)
-                        order = np.argsort(back, kind="stable")
-                        total = np.add.reduceat(g[order], np.searchsorted(back[order], np.arange(len(kinds))), axis=0)
-                        g2[kinds] += total * total
-                        t[kinds] -= rate * total / np.sqrt(g2[kinds])
-                    any_ = True
-        if any_:
-            block = 0
-            for t, was in zip(w.tables(), now.value.tables(), strict=True):
-                change = (t - was).astype(np.float16).reshape(-1, MEMBERS * MEMBERS)
-                hit = np.flatnonzero(change.any(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array((hit + block).astype(np.int32)), pa.array([change[k].tobytes() for k in hit], pa.binary())], ["block", "change"])
-                block += len(change)
+            for _, own, rows in chunks(batch.column("slots"), end, side):
+                if not expect:
+                    for total, row, value in zip(sums, rows, [own // side] * 3 + [own % side], strict=True):
+                        np.add.at(total.reshape(-1), row * side + value, 1)
+                    continue
+                p = class_odds(tables, rows)
+                np.exp(p, out=p)
+                p *= UNIT / p.sum(axis=1, keepdims=True)
+                whole = np.rint(p, out=p).astype(np.int32)
+                for total, row in zip(sums, rows, strict=False):
+                    order = np.argsort(row.astype(np.uint16), kind="stable")
+                    kinds = row[order]
+                    begin = np.flatnonzero(np.diff(kinds, prepend=-1))
+                    total[kinds[begin]] += np.add.reduceat(whole[order], begin, axis=0)  # under 2^31: step * UNIT is 2^29
+        part = TaskContext.get().partitionId() // 256
+        for k, total in enumerate(sums):
+            cut = total.reshape(-1, BLOCK * side)
+            hit = np.flatnonzero(cut.any(axis=1))
+            for low in range(0, len(hit), 256):
+                some = hit[low : low + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(some), pa.int32()), pa.array([k] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([packed(cut[b]) for b in some], pa.binary())],
+                    ["part", "table", "block", "sums"],
+                )
 
     return run
 
 
-def averaged(group: pa.Table) -> pa.Table:
-    """The mean change of each row over the tasks that changed it."""
-    total, n = np.zeros((MEMBERS, MEMBERS), np.float32), np.zeros((MEMBERS, 1), np.float32)
-    for raw in group.column("change"):
-        x = np.frombuffer(raw.as_py(), np.float16).reshape(MEMBERS, MEMBERS)
-        total += x
-        n += x.any(axis=1, keepdims=True)
-    mean = (total / np.maximum(n, 1)).astype(np.float16)
-    return pa.table({"block": group.column("block")[:1].cast(pa.int32()), "change": pa.array([mean.tobytes()], pa.binary())})
+def packed(sums: np.ndarray) -> bytes:
+    """Whole numbers, compressed."""
+    return zlib.compress(sums.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def score(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score. counts: word, n."""
-    schema = "doc_id long, n_tokens long, known long, base double, model double, rest array<struct<word:binary,times:int>>"
-    now = docs.sparkSession.sparkContext.broadcast(weights)
-    all_log = float(np.log10(vocabulary.total + vocabulary.kinds + 1))
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+
+
+def added(group: pa.Table) -> pa.Table:
+    """The sums of one block; of 256 tasks, or of all that were added up before."""
+    total = 0
+    for x in group.column("sums"):
+        total = total + unpacked(x.as_py())
+    keys = [group.column(c)[:1].cast(pa.int32()) for c in ("part", "table", "block")]
+    return pa.table([*keys, pa.array([packed(total)], pa.binary())], names=["part", "table", "block", "sums"])
+
+
+def gathered(slots: DataFrame, weights: Weights, end: int, expect: bool) -> list[np.ndarray]:
+    """gather()'s sums over all rows of slots. As large as the weights, whatever the input."""
+    now, side, schema = slots.sparkSession.sparkContext.broadcast(weights), len(weights.bias), "part int, table int, block int, sums binary"
+    files = max(1, len(slots.inputFiles()) // 4)  # slots are a small part of a table's files: a task takes several
+    sums = slots.select("slots").coalesce(files).mapInArrow(gather(now, end, side, expect), schema)
+    for keys in (["part", "table", "block"], ["table", "block"]):
+        sums = sums.groupBy(*keys).applyInArrow(added, schema)
+    out = [np.zeros(t.shape, np.int64) for t in [*weights.tables(), weights.member]]
+    for r in sums.collect():
+        cut = out[r["table"]].reshape(-1, BLOCK * side)
+        cut[r["block"]] = unpacked(r["sums"])
+    now.unpersist()
+    return out[:3] if expect else out
+
+
+def train(slots: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 0.45, prior: float = 400.0, member_prior: float = 30.0) -> Weights:
+    """slots: the rows of encoded() that are learned from; all of them take part in every round."""
+    w = Weights.unigram(vocabulary.slot_counts)
+    p = np.exp(w.bias.astype(float))
+    met = expected = None
+    for turn in range(rounds):
+        if turn == 0:
+            *met, members = gathered(slots, w, vocabulary.end, False)
+            expected = [m.sum(axis=1, keepdims=True) * p for m in met]  # what the unigram model expects
+            settle_members(w, members, member_prior)
+        else:
+            expected = [e / UNIT for e in gathered(slots, w, vocabulary.end, True)]
+        for t, m, e in zip(w.tables(), met, expected, strict=True):
+            t += (2 * rate * (m - e) / (m + e + 2 * prior * p)).astype(np.float32)
+    return w
+
+
+def settle_members(w: Weights, met: np.ndarray, prior: float, steps: int = 8) -> None:
+    """Gradient steps for the rows that were met; `prior` tokens of the unigram model are added to each."""
+    hit = np.flatnonzero(met.any(axis=1))
+    inner = w.inner[hit // member_rows(len(w.bias))].astype(float)
+    seen = met[hit] + prior * np.exp(inner)
+    total, now = seen.sum(axis=1, keepdims=True), inner.copy()
+    for _ in range(steps):
+        e = np.exp(now)
+        e *= total / e.sum(axis=1, keepdims=True)
+        now += 2 * (seen - e) / (seen + e)
+    w.member[hit] = now - inner
+
+
+def log_probabilities(tables: list[np.ndarray], member_log: np.ndarray, own: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Natural logarithm of each slot's probability."""
+    side = member_log.shape[1]
+    a = class_odds(tables, rows)
+    out = a[np.arange(len(own)), own // side].astype(float)
+    np.exp(a, out=a)
+    return out - np.log(a.sum(axis=1)) + member_log[rows[3], own % side]
+
+
+def score(table: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFrame:
+    """table, an encoded(), with n_known, base_score and score in place of row, slots, known, base, word_log and rest.
+    counts: word, n."""
+    now, end = table.sparkSession.sparkContext.broadcast(weights), vocabulary.end
+    kept = [c for c in table.columns if c == "n_tokens" or c not in (*CODED, *SCORED)]
+    whole = table.select(*kept, "known", "base").schema
 
     def make():
-        w, slot = baked(now.value), Slots(vocabulary)
-        hot = {k: (float(np.log10(n + 1)), int(n > 0)) for k, (n, _) in vocabulary.hot.items()}
+        w = now.value
+        tables, member_log = [w.last + w.bias, *w.tables()[1:]], w.member_log()
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [tokens(t) for t in batch.column("text").to_pylist()]
-            slots, starts = laid_out(found, slot)
-            rows, logs = features(slots, starts, slot[END]), np.empty(len(slots))
-            for s in range(0, len(slots), 4096):
-                logs[s : s + 4096] = log_probabilities(w, slots[s : s + 4096], [r[s : s + 4096] for r in rows])
-            logs /= np.log(10)
-            rare = slots >= SLOTS - BUCKETS
-            logs[rare] -= vocabulary.bucket_log[slots[rare] - SLOTS + BUCKETS]
-            model = np.add.reduceat(logs, starts).tolist() if len(starts) else []
-            known, base, rest, rest_times, ends = [], [], [], [], [0]
-            for k, x in enumerate(found):
-                times = Counter(x)
-                times[END] = 1
-                n, total, extra = 0, 0.0, 0.0
-                for word, m in times.items():
-                    if word in hot:
-                        log, is_known = hot[word]
-                        n += m * is_known
-                        total += m * log
-                        if slot[word] >= SLOTS - BUCKETS:
-                            extra += m * log
-                    else:
-                        rest.append(word)
-                        rest_times.append(m)
-                known.append(n)
-                base.append(total - (len(x) + 1) * all_log)
-                model[k] += extra
-                ends.append(len(rest))
-            sizes = [len(x) + 1 for x in found]
-            left = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(rest_times, pa.int32())], ["word", "times"]))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), left], ["doc_id", "n_tokens", "known", "base", "model", "rest"])
+            sizes = batch.column("n_tokens").to_numpy()
+            logs = np.zeros(int(sizes.sum()))
+            for low, own, rows in chunks(batch.column("slots"), end, len(w.bias)):
+                logs[low : low + len(own)] = log_probabilities(tables, member_log, own, rows)
+            model = np.add.reduceat(logs, np.cumsum(sizes) - sizes) / np.log(10) + batch.column("word_log").to_numpy() if len(sizes) else np.zeros(0)
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "known", "base"]), pa.array(model), batch.column("row")], [*kept, "known", "base", "model", "row"])
 
         return work
 
-    parts = stored(map_rows(docs.select("doc_id", "text"), schema, make, 128).withColumn("row", F.monotonically_increasing_id()))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in whole), "model double, row long"])
+    parts = map_rows(table.drop("rest", *SCORED), schema, make, 2048)
     cold = counts.filter(F.col("n") * HOT < vocabulary.total)
-    more = parts.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(cold, "word")
+    more = table.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(cold, "word")
     more = more.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log"), F.sum("times").alias("seen"))
     log, seen = F.coalesce("log", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return parts.drop("rest").join(more, "row", "left").select("doc_id", "n_tokens", (F.col("known") + seen).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"))
+    found = parts.join(more, "row", "left")
+    return found.select(*kept, (F.col("known") + seen).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"))

@@ -51,7 +51,8 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = docs.filter(crc_mod("doc_id", 7) != 2)
     counts = stored(lm.count_words(learned))
     vocabulary = lm.vocabulary(counts)
-    found = lm.score(docs, counts, vocabulary, lm.train(learned, vocabulary))
+    rows = lm.encoded(docs.withColumn("learned", F.coalesce(crc_mod("doc_id", 7) != 2, F.lit(False))), vocabulary)
+    found = lm.score(rows, counts, vocabulary, lm.train(rows.filter("learned"), vocabulary))
     return found.select(
         "doc_id",
         (crc_mod("doc_id", 7) == 2).alias("held_out"),

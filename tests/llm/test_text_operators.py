@@ -3,8 +3,6 @@
 import hashlib
 import random
 import zlib
-from collections import Counter
-from math import log10
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import bpe, golay, language, licences, lm, mixing, multiset, queries, simhash, topk, toxicity, urls
+from tessera.llm import bpe, golay, language, licences, mixing, multiset, queries, simhash, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, score string, rate string"
 RNG = random.Random(4)
@@ -130,51 +128,6 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_language_model(spark, docs):
-    known = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
-    counts = lm.count_words(known).cache()
-    vocabulary = lm.vocabulary(counts)
-    rows = lm.score(docs, counts, vocabulary, lm.train(known, vocabulary, share=1.0)).collect()
-    assert len(rows) == docs.count()
-    c = Counter(w for r in known.collect() for w in [*lm.tokens(r["text"]), b""])
-    n, v = sum(c.values()), len(c)
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    for r in rows:
-        words = [*lm.tokens(text[r["doc_id"]]), b""]
-        assert (r["n_tokens"], r["n_known"]) == (len(words), sum(c[w] > 0 for w in words))
-        assert r["base_score"] == pytest.approx(sum(log10((c[w] + 1) / (n + v + 1)) for w in words))
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
-    empty = lm.vocabulary(lm.count_words(docs.limit(0)))
-    assert lm.score(docs, lm.count_words(docs.limit(0)), empty, lm.Weights.unigram(empty.slot_counts)).count() == docs.count()
-
-
-def test_language_model_learns_from_every_document_once(spark, monkeypatch, tmp_path):
-    def learner(*_):
-        def run(batches):
-            for k, batch in enumerate(batches):
-                for j, t in enumerate(batch.column("text").to_pylist()):
-                    (tmp_path / f"{t}-{k}-{j}-{id(batch)}").write_text(t)
-            yield from ()
-
-        return run
-
-    rows = spark.createDataFrame([(k, f"w{k}") for k in range(300)], "doc_id long, text string")
-    vocabulary = lm.vocabulary(lm.count_words(rows))
-    monkeypatch.setattr(lm, "learner", learner)
-    lm.train(rows, vocabulary)
-    assert sorted(f.read_text() for f in tmp_path.iterdir()) == sorted(f"w{k}" for k in range(300))
-
-
-def test_language_model_is_a_distribution(spark):
-    rows = spark.createDataFrame([(k, prose("en", 30)) for k in range(50)], "doc_id long, text string")
-    vocabulary = lm.vocabulary(lm.count_words(rows))
-    w = lm.train(rows, vocabulary, share=1.0)
-    at = lm.features(np.full(lm.SLOTS, 3), np.zeros(1, int), 0)
-    every = np.arange(lm.SLOTS)
-    a, b = lm.probabilities(w, every, [np.full(lm.SLOTS, 5), np.full(lm.SLOTS, 6), np.full(lm.SLOTS, 7), 5 * lm.CLASSES + every // lm.MEMBERS])
-    assert len(at) == 4 and (a[every, every // lm.MEMBERS] * b[every, every % lm.MEMBERS]).sum() == pytest.approx(1, abs=1e-4)
-
-
 def test_multiset_hash(spark):
     rows = [("a\nb\nc", "c\na\nb"), ("a\n\nb", "b\n a "), ("a", "a\na"), (None, ""), ("a\nb", "a")]
     df = spark.createDataFrame(rows, "x string, y string").select(multiset.lanes(F.col("x")).alias("a"), multiset.lanes(F.col("y")).alias("b"))
