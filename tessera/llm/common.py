@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.sources.storage import stored
+from tessera.sources.storage import discard, stored
 
-__all__ = ["by_size", "crc_mod", "map_rows", "with_columns", "sampled", "stored", "table"]
+__all__ = ["by_size", "crc_mod", "discard", "map_rows", "with_columns", "sampled", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,11 +22,11 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import map_rows, sampled, stored
+from tessera.llm.common import discard, map_rows, sampled, stored
 from tessera.operators.graph import connected_components
 
 SEED = 42
@@ -200,21 +200,26 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """key, id, size, at (the key's place in the prefix), n (texts of the key), first and second (texts that stand for
-    the key), for keys of more than one text."""
+    """key, id, size, at (the key's place in the prefix), n (texts of the key), for keys of more than one text."""
     every = texts.select("id", "size", F.posexplode("keys").alias("at", "key"))
-    own = Window.partitionBy("key")
-    stand = {"n": F.count("*").over(own), "first": F.min("id").over(own), "second": F.min_by("id", F.xxhash64("id", "key")).over(own)}
-    return every.withColumns(stand).filter("n > 1")
+    return every.join(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
 
 
-def candidates(left: DataFrame, right: DataFrame, on: list[str], similarity: float) -> DataFrame:
-    """a, b: pairs under a key whose sizes and places in the prefix allow the similarity. The first shingle that two texts
-    share has none before it, so that what follows it bounds all they share; pairs may be found by later ones too."""
-    x, y = left, right.withColumnsRenamed({c: f"{c}_2" for c in right.columns if c not in on})
-    rest = F.least(F.col("size") - F.col("at"), F.col("size_2") - F.col("at_2"))
-    enough = rest + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("size_2"))
-    return x.join(y, on).filter((F.col("id") != F.col("id_2")) & enough).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+def candidates(larger: DataFrame, smaller: DataFrame, similarity: float, apart: bool = False) -> DataFrame:
+    """a, b: pairs under a key whose sizes and places in the prefix allow the similarity; with `apart`, of different c only.
+
+    The first shingle that two texts share has none before it, so what follows it bounds all they share, which is at least
+    similarity / (1 + similarity) of both sizes. In the smaller text (or one as large), then, no more than
+    (1 - similarity) / (1 + similarity) of the shingles come before it. Pairs may be found by later ones too.
+    """
+    need = similarity / (1 + similarity)
+    y = smaller.filter(F.col("at") <= F.lit(1 - 2 * need + 1e-9) * F.col("size"))
+    x, y = larger.alias("x"), y.alias("y")
+    rest = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    fits = (F.col("x.key") == F.col("y.key")) & (F.struct("y.size", "y.id") < F.struct("x.size", "x.id")) & (rest + 1e-6 >= F.lit(need) * (F.col("x.size") + F.col("y.size")))
+    if apart:
+        fits &= F.col("x.c") != F.col("y.c")
+    return x.join(y, fits & (F.col("x.id") != F.col("y.id"))).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -233,29 +238,41 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share:
     `similarity` or more, linked through one another.
 
     Copies (equal words) count as one text. Every pair that shares a shingle of both prefixes is a candidate, and all
-    candidates are verified by their sets. Under keys of more than `most` texts, each meets two of them first; then all
-    pairs that no link connects so far are verified. Rows with a null doc_id are left out.
+    candidates are verified by their sets. Under keys of more than `most` texts, each meets two of them first; then the
+    texts that this left outside the first one's group meet all that no link connects with them so far. Rows with a null
+    doc_id are left out.
     """
     docs_ = docs.filter(F.col("doc_id").isNotNull())
     known = stored(profiles(docs_, k, similarity, common_shingles(docs_, k, share, least)))
     texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    rows, names = stored(known.select("doc_id", "copy")), stored(texts.select("copy", "id"))
+    discard(known)
     shared = stored(shared_keys(texts))
+    discard(texts)
     few, hot = shared.filter(F.col("n") <= most), shared.filter(F.col("n") > most)
-    pairs, any_hot = candidates(few, few, ["key"], similarity), not hot.isEmpty()
+    pairs, any_hot = candidates(few, few, similarity), not hot.isEmpty()
     if any_hot:
-        stars = hot.select("id", F.explode(F.array("first", "second")).alias("r")).filter("id <> r")
-        pairs = pairs.union(stars.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b"))).distinct()
-    alike = stored(verified(docs, pairs, k, similarity))
+        # the text with the fewest rarer shingles before the key is likest to the others; and another one by hash
+        one = F.struct("id", "size")
+        centres = stored(hot.groupBy("key").agg(F.min_by(one, F.struct("at", "id")).alias("p"), F.min_by(one, F.xxhash64("id", "key")).alias("q")))
+        stars = hot.join(centres, "key").select("id", "size", F.explode(F.array("p", "q")).alias("r"))
+        alike_sizes = F.least("size", "r.size") + 1e-6 >= F.lit(similarity) * F.greatest("size", "r.size")
+        stars = stars.filter((F.col("id") != F.col("r.id")) & alike_sizes)
+        pairs = pairs.union(stars.select(F.least("id", "r.id").alias("a"), F.greatest("id", "r.id").alias("b")))
+    alike = stored(verified(docs, pairs.distinct(), k, similarity))
     part = connected_components(alike)
     if any_hot:
+        part = stored(part)
         grouped = stored(hot.join(part, hot.id == part.node, "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component"))
-        kinds = stored(grouped.select("key", "c").distinct())
-        apart = kinds.join(kinds.withColumnRenamed("c", "d"), "key").filter("c < d")
-        left = grouped.join(apart, ["key", "c"])
-        more = verified(docs, candidates(left, grouped.withColumnRenamed("c", "d"), ["key", "d"], similarity), k, similarity)
-        part = connected_components(alike.union(more))
-    least_ = stored(texts.join(part, texts.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
-    return known.select("doc_id", "copy").join(least_, "copy").select("doc_id", "component_id")
+        main = centres.join(part, F.col("p.id") == part.node, "left").select("key", F.coalesce("component", "p.id").alias("main"))
+        out = stored(grouped.join(main, "key").filter("c <> main").drop("main"))  # not in the group of the key's centre
+        if not out.isEmpty():
+            more = candidates(out, grouped, similarity, True).union(candidates(grouped, out, similarity, True)).distinct()
+            part = connected_components(alike.union(verified(docs, more, k, similarity)))
+        discard(grouped, out)
+    discard(shared)
+    least_ = stored(names.join(part, names.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
+    return rows.join(least_, "copy").select("doc_id", "component_id")
 
 
 def first_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
