@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from posixpath import dirname
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; a temporary one only where neither is set."""
+    """spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a temporary folder will do on one
+    machine; on a cluster that is an error, since executors don't share it."""
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -22,3 +26,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty the files of tables from stored() which nothing reads any more."""
+    for df in tables:
+        for path in {dirname(f) for f in df.inputFiles()}:
+            if "/tessera-" in path:
+                df.sparkSession.range(0).write.mode("overwrite").parquet(path)
