@@ -1,7 +1,7 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-Words are slots: frequent ones their own, the others hash buckets, a sixteenth of the slots. Slots are dealt to classes,
-as many as a class has members: 32, 64 or 128, by the size of the vocabulary.
+Words are slots: frequent ones their own, the others hash buckets, a sixteenth of the slots. There are 1,024, 4,096 or
+16,384 slots, by the size of the vocabulary, dealt to 32 or 64 classes.
 P(word | history) = P(class | history) P(slot | class, last slot) P(word | slot). The first is a softmax over hashed
 features of the history: the last slot, the one before it (a skip), and both together. The second is a softmax over
 one: class and last slot together. The third is (c + 1) / (N_b + V_b + 1) from the counts of the words in the bucket,
@@ -39,7 +39,7 @@ from tessera.llm.common import map_rows, stored
 
 HOT = 500_000
 PIECE = 1 << 21
-TRIGRAMS, MEMBER_ROWS = 1 << 15, 1 << 16
+TRIGRAMS, MEMBER_ROWS = 1 << 14, 1 << 15
 #: Expected counts are whole numbers of 1 / UNIT.
 UNIT = 1 << 14
 #: Rows of a table that are added up together.
@@ -82,10 +82,11 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """side: classes, and members of a class; total, kinds: all tokens, distinct ones. Of hot words: place by word, and
-    by place count and slot. Other words fall into a bucket's slot."""
+    """classes, and members of each; total, kinds: all tokens, distinct ones. Of hot words: place by word, and by place
+    count and slot. Other words fall into a bucket's slot."""
 
-    side: int
+    classes: int
+    members: int
     total: int
     kinds: int
     place: dict[bytes, int]
@@ -96,7 +97,7 @@ class Vocabulary:
 
     @property
     def slots(self) -> int:
-        return self.side * self.side
+        return self.classes * self.members
 
     @property
     def buckets(self) -> int:
@@ -110,19 +111,19 @@ class Vocabulary:
         return self.slots - self.buckets + zlib.crc32(word) % self.buckets
 
 
-def side_for(kinds: int) -> int:
-    """Classes by the size of the vocabulary: slots grow with it, up to what tasks can hold."""
-    return 32 if kinds < 1 << 18 else 64 if kinds < 1 << 24 else 128
+def shape_for(kinds: int) -> tuple[int, int]:
+    """Classes and members by the size of the vocabulary: slots grow with it, up to what tasks can hold."""
+    return (32, 32) if kinds < 1 << 18 else (32, 128) if kinds < 1 << 24 else (64, 256)
 
 
-def vocabulary(counts: DataFrame, side: int | None = None) -> Vocabulary:
+def vocabulary(counts: DataFrame, shape: tuple[int, int] | None = None) -> Vocabulary:
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     rows = counts.filter((F.col("n") * HOT >= total) | (F.col("word") == F.lit(END))).collect()  # HOT and the end at most
     ranked = sorted(((r["n"], bytes(r["word"])) for r in rows), key=lambda x: (-x[0], x[1]))
     if not any(w == END for _, w in ranked):
         ranked.append((0, END))
-    side = side or side_for(kinds)
-    out = Vocabulary(side, total, kinds, {w: k for k, (_, w) in enumerate(ranked)}, np.array([n for n, _ in ranked], np.int64), np.zeros(len(ranked), np.int64), np.zeros(0), np.zeros(0))
+    classes, members = shape or shape_for(kinds)
+    out = Vocabulary(classes, members, total, kinds, {w: k for k, (_, w) in enumerate(ranked)}, np.array([n for n, _ in ranked], np.int64), np.zeros(len(ranked), np.int64), np.zeros(0), np.zeros(0))
     own = {w for _, w in ranked[: out.slots - out.buckets - 1]} | {END}
     sizes = counts.groupBy((F.crc32("word") % out.buckets).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     held, slot_counts, free = np.zeros((out.buckets, 2)), np.ones(out.slots), 0
@@ -217,13 +218,12 @@ class Weights:
     member: np.ndarray
 
     @staticmethod
-    def unigram(slot_counts: np.ndarray) -> Weights:
-        slots = len(slot_counts)
-        side = round(slots**0.5)
-        grid = slot_counts.reshape(side, side)
-        zero = lambda n: np.zeros((n, side), np.float32)
+    def unigram(slot_counts: np.ndarray, classes: int) -> Weights:
+        grid = slot_counts.reshape(classes, -1)
+        zero = lambda n: np.zeros((n, classes), np.float32)
         inner = np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
-        return Weights(np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32), zero(slots), zero(slots), zero(TRIGRAMS), inner, zero(side * member_rows(side)))
+        member = np.zeros((classes * member_rows(classes, grid.size), grid.shape[1]), np.float32)
+        return Weights(np.log(grid.sum(axis=1) / grid.sum()).astype(np.float32), zero(grid.size), zero(grid.size), zero(TRIGRAMS), inner, member)
 
     def tables(self) -> list[np.ndarray]:
         """Rows for classes."""
@@ -231,24 +231,25 @@ class Weights:
 
     def member_log(self) -> np.ndarray:
         """Natural logarithm of the members' probabilities by row."""
-        side = len(self.bias)
-        logits = self.member + np.repeat(self.inner, member_rows(side), axis=0)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        out = self.member + np.repeat(self.inner, len(self.member) // len(self.inner), axis=0)
+        out -= np.log(np.exp(out).sum(axis=1, keepdims=True))
+        return out
 
 
-def member_rows(side: int) -> int:
+def member_rows(classes: int, slots: int) -> int:
     """Rows of a class: one for each last slot, or as many hash values."""
-    return min(side * side, MEMBER_ROWS // side)
+    return min(slots, MEMBER_ROWS // classes)
 
 
-def features(one: np.ndarray, two: np.ndarray, own: np.ndarray, side: int) -> list[np.ndarray]:
-    """Rows of last, skip, both and member for each token; one, two: the slots before it."""
-    rows = member_rows(side)
-    last = one if rows == side * side else (one * 2654435761 >> 7) % rows
-    return [one, two, ((one * 40503 + two) * 2654435761 >> 8) % TRIGRAMS, own // side * rows + last]
+def features(one: np.ndarray, two: np.ndarray, own: np.ndarray, shape: tuple[int, int]) -> list[np.ndarray]:
+    """Rows of last, skip, both and member for each token; one, two: the slots before it; shape: classes, members."""
+    classes, members = shape
+    rows = member_rows(classes, classes * members)
+    last = one if rows == classes * members else (one * 2654435761 >> 7) % rows
+    return [one, two, ((one * 40503 + two) * 2654435761 >> 8) % TRIGRAMS, own // members * rows + last]
 
 
-def chunks(column: pa.Array, end: int, side: int, step: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+def chunks(column: pa.Array, end: int, shape: tuple[int, int], step: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
     """(place, slots, their features) of neighbouring tokens of a column of slots; before a document stand ends."""
     if not len(column):
         return
@@ -262,7 +263,7 @@ def chunks(column: pa.Array, end: int, side: int, step: int = 1 << 15) -> Iterat
         one, two, own = flat[np.maximum(at - 1, 0)].astype(np.int64), flat[np.maximum(at - 2, 0)].astype(np.int64), flat[at].astype(np.int64)
         one[first[at]] = end
         two[first[at] | first[np.maximum(at - 1, 0)]] = end
-        yield low, own, features(one, two, own, side)
+        yield low, own, features(one, two, own, shape)
 
 
 def class_odds(tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
@@ -273,18 +274,19 @@ def class_odds(tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     return a
 
 
-def gather(now, end: int, side: int, expect: bool):
+def gather(now, end: int, expect: bool):
     """A task's sums. Without `expect`: how often rows met classes and members; else how often classes were expected."""
 
     def run(batches):
         w = now.value
-        tables = [w.last + w.bias, *w.tables()[1:]]
+        tables, shape = [w.last + w.bias, *w.tables()[1:]], w.inner.shape
+        members = shape[1]
         sums = [np.zeros(t.shape, np.int64) for t in (tables if expect else [*tables, w.member])]
         for batch in batches:
-            for _, own, rows in chunks(batch.column("slots"), end, side):
+            for _, own, rows in chunks(batch.column("slots"), end, shape):
                 if not expect:
-                    for total, row, value in zip(sums, rows, [own // side] * 3 + [own % side], strict=True):
-                        np.add.at(total.reshape(-1), row * side + value, 1)
+                    for total, row, value in zip(sums, rows, [own // members] * 3 + [own % members], strict=True):
+                        np.add.at(total.reshape(-1), row * total.shape[1] + value, 1)
                     continue
                 p = class_odds(tables, rows)
                 np.exp(p, out=p)
@@ -297,7 +299,7 @@ def gather(now, end: int, side: int, expect: bool):
                     total[kinds[begin]] += np.add.reduceat(whole[order], begin, axis=0)  # under 2^31: step * UNIT is 2^29
         part = TaskContext.get().partitionId() // 256
         for k, total in enumerate(sums):
-            cut = total.reshape(-1, BLOCK * side)
+            cut = total.reshape(-1, BLOCK * total.shape[1])
             hit = np.flatnonzero(cut.any(axis=1))
             for low in range(0, len(hit), 256):
                 some = hit[low : low + 256]
@@ -329,56 +331,63 @@ def added(group: pa.Table) -> pa.Table:
 
 def gathered(slots: DataFrame, weights: Weights, end: int, expect: bool) -> list[np.ndarray]:
     """gather()'s sums over all rows of slots. As large as the weights, whatever the input."""
-    now, side, schema = slots.sparkSession.sparkContext.broadcast(weights), len(weights.bias), "part int, table int, block int, sums binary"
+    now, schema = slots.sparkSession.sparkContext.broadcast(weights), "part int, table int, block int, sums binary"
     files = max(1, len(slots.inputFiles()) // 4)  # slots are a small part of a table's files: a task takes several
-    sums = slots.select("slots").coalesce(files).mapInArrow(gather(now, end, side, expect), schema)
+    sums = slots.select("slots").coalesce(files).mapInArrow(gather(now, end, expect), schema)
     for keys in (["part", "table", "block"], ["table", "block"]):
         sums = sums.groupBy(*keys).applyInArrow(added, schema)
-    out = [np.zeros(t.shape, np.int64) for t in [*weights.tables(), weights.member]]
+    out = [np.zeros(t.shape, np.int64) for t in [*weights.tables(), *([] if expect else [weights.member])]]
     for r in sums.collect():
-        cut = out[r["table"]].reshape(-1, BLOCK * side)
-        cut[r["block"]] = unpacked(r["sums"])
+        out[r["table"]].reshape(-1, BLOCK * out[r["table"]].shape[1])[r["block"]] = unpacked(r["sums"])
     now.unpersist()
-    return out[:3] if expect else out
+    return out
 
 
-def train(slots: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 0.45, prior: float = 400.0, member_prior: float = 30.0) -> Weights:
+def train(slots: DataFrame, vocabulary: Vocabulary, rounds: int = 2, rate: float = 0.45, prior: float = 400.0, member_prior: float = 40.0) -> Weights:
     """slots: the rows of encoded() that are learned from; all of them take part in every round."""
-    w = Weights.unigram(vocabulary.slot_counts)
+    w = Weights.unigram(vocabulary.slot_counts, vocabulary.classes)
     p = np.exp(w.bias.astype(float))
-    met = expected = None
+    met = expected = []
     for turn in range(rounds):
         if turn == 0:
             *met, members = gathered(slots, w, vocabulary.end, False)
-            expected = [m.sum(axis=1, keepdims=True) * p for m in met]  # what the unigram model expects
             settle_members(w, members, member_prior)
+            del members
         else:
-            expected = [e / UNIT for e in gathered(slots, w, vocabulary.end, True)]
-        for t, m, e in zip(w.tables(), met, expected, strict=True):
-            t += (2 * rate * (m - e) / (m + e + 2 * prior * p)).astype(np.float32)
+            expected = gathered(slots, w, vocabulary.end, True)
+        for k, t in enumerate(w.tables()):
+            for rows in blocks(len(t)):
+                m = met[k][rows].astype(float)
+                e = expected[k][rows] / UNIT if turn else m.sum(axis=1, keepdims=True) * p  # what the unigram model expects
+                t[rows] += 2 * rate * (m - e) / (m + e + 2 * prior * p)
     return w
 
 
+def blocks(n: int, step: int = 2048) -> Iterator[slice]:
+    return (slice(k, k + step) for k in range(0, n, step))
+
+
 def settle_members(w: Weights, met: np.ndarray, prior: float, steps: int = 8) -> None:
-    """Gradient steps for the rows that were met; `prior` tokens of the unigram model are added to each."""
-    hit = np.flatnonzero(met.any(axis=1))
-    inner = w.inner[hit // member_rows(len(w.bias))].astype(float)
-    seen = met[hit] + prior * np.exp(inner)
-    total, now = seen.sum(axis=1, keepdims=True), inner.copy()
-    for _ in range(steps):
-        e = np.exp(now)
-        e *= total / e.sum(axis=1, keepdims=True)
-        now += 2 * (seen - e) / (seen + e)
-    w.member[hit] = now - inner
+    """Gradient steps for the members; `prior` tokens of the unigram model are added to each row."""
+    each = len(met) // len(w.inner)
+    for rows in blocks(len(met)):
+        inner = w.inner[np.arange(len(met))[rows] // each].astype(float)
+        seen = met[rows] + prior * np.exp(inner)
+        total, now = seen.sum(axis=1, keepdims=True), inner.copy()
+        for _ in range(steps):
+            e = np.exp(now)
+            e *= total / e.sum(axis=1, keepdims=True)
+            now += 2 * (seen - e) / (seen + e)
+        w.member[rows] = now - inner
 
 
 def log_probabilities(tables: list[np.ndarray], member_log: np.ndarray, own: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of each slot's probability."""
-    side = member_log.shape[1]
+    members = member_log.shape[1]
     a = class_odds(tables, rows)
-    out = a[np.arange(len(own)), own // side].astype(float)
+    out = a[np.arange(len(own)), own // members].astype(float)
     np.exp(a, out=a)
-    return out - np.log(a.sum(axis=1)) + member_log[rows[3], own % side]
+    return out - np.log(a.sum(axis=1)) + member_log[rows[3], own % members]
 
 
 def score(table: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights: Weights) -> DataFrame:
@@ -395,7 +404,7 @@ def score(table: DataFrame, counts: DataFrame, vocabulary: Vocabulary, weights:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes = batch.column("n_tokens").to_numpy()
             logs = np.zeros(int(sizes.sum()))
-            for low, own, rows in chunks(batch.column("slots"), end, len(w.bias)):
+            for low, own, rows in chunks(batch.column("slots"), end, w.inner.shape):
                 logs[low : low + len(own)] = log_probabilities(tables, member_log, own, rows)
             model = np.add.reduceat(logs, np.cumsum(sizes) - sizes) / np.log(10) + batch.column("word_log").to_numpy() if len(sizes) else np.zeros(0)
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "known", "base"]), pa.array(model), batch.column("row")], [*kept, "known", "base", "model", "row"])

@@ -25,7 +25,7 @@ def words_of(text):
 class Plain:
     """The same model by the book: dictionaries, one token at a time."""
 
-    def __init__(self, learned, rate=0.45, prior=400.0, member_prior=30.0, side=32):
+    def __init__(self, learned, rate=0.45, prior=400.0, member_prior=40.0, side=32):
         self.side, self.slots, self.buckets = side, side * side, side * side // 16
         self.c = Counter(w for t in learned for w in words_of(t))
         self.n, self.v = sum(self.c.values()), len(self.c)
@@ -89,9 +89,9 @@ class Plain:
         return total / log(10)
 
 
-def fitted(known, side=None):
+def fitted(known):
     counts = lm.count_words(known).cache()
-    vocabulary = lm.vocabulary(counts, side)
+    vocabulary = lm.vocabulary(counts)
     return counts, vocabulary, lm.train(lm.encoded(known, vocabulary), vocabulary)
 
 
@@ -155,7 +155,7 @@ def test_probabilities_of_all_words_add_up_to_one(spark):
         word_log.setdefault(v.slots - v.buckets + b, []).append(-v.bucket_log[b])  # all words that were never seen
     every = np.arange(v.slots)
     for one, two in ((3, 8), (v.end, v.end), (v.slots - 1, 5)):
-        at = lm.features(np.full(v.slots, one), np.full(v.slots, two), every, v.side)
+        at = lm.features(np.full(v.slots, one), np.full(v.slots, two), every, (v.classes, v.members))
         p = np.exp(lm.log_probabilities(tables, member_log, every, at))
         assert p.sum() == pytest.approx(1, abs=1e-4)
         assert sum(10 ** sum(word_log[s]) if len(word_log[s]) == 1 else sum(10**x for x in word_log[s]) for s in word_log if s >= v.slots - v.buckets) == pytest.approx(v.buckets, rel=1e-6)
