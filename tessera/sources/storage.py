@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from posixpath import dirname
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_turn(parts: Iterable[DataFrame]) -> DataFrame | None:
+    """One table of all parts; each is written before the next is asked for, so that what it holds can go."""
+    path = found = None
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+        found = df
+    return found.sparkSession.read.schema(found.schema).parquet(path) if found else None
+
+
 def discard(*tables: DataFrame) -> None:
     """Empty the files of tables from stored() which nothing reads any more."""
     for df in tables:
