@@ -1,10 +1,14 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
-A paragraph (a line, white space at its ends left off; empty ones don't count) adds a sparse wide vector: two of
-`LANES` lanes, chosen by its hash, get 32-bit values. Lanes are summed modulo 2^32. So the order of paragraphs
-doesn't matter, a paragraph can be added or taken away without the rest (`add`, `subtract`), texts with equal
-multisets have equal fingerprints, and lanes that no changed paragraph touches stay equal: the share of equal
-lanes, among those in use, is the likeness of two fingerprints.
+A paragraph (a line, ASCII white space at its ends left off; empty ones don't count) adds a wide vector of 32-bit values
+that its hashes choose, and vectors are summed modulo 2^32. So the order of paragraphs doesn't matter, a paragraph can be
+added or taken away without the rest (`add`, `subtract`), and texts with equal multisets have equal fingerprints.
+
+Every paragraph adds to each of the first `CHECKS` lanes. The others are `LEVELS` levels of `LANES` lanes: of a level, one
+lane gets a value from each paragraph that belongs to it, all of them at first, then a quarter of those before.
+Likeness counts lanes at the first level that isn't crowded, so that it works for texts of a few paragraphs and of many
+thousands: of 32 lanes, d different ones and u used ones stand for 32 ln(32 / (32 - d)) different paragraphs and as many
+used ones; likeness is the share of those that are the same, an estimate of the Jaccard similarity.
 
 Null and empty texts, and white space alone, have the zero fingerprint; two of them are alike (1.0).
 All of it is DataFrame expressions.
@@ -12,36 +16,47 @@ All of it is DataFrame expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-LANES = 64
+from tessera.llm.common import stored
+
+CHECKS, LEVELS, LANES = 4, 7, 32
 MODULUS = 1 << 32
+#: A level of more used lanes than this is crowded.
+CROWDED = 24
+WHITE = " \t\r\x0b\x0c"
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.btrim(p, F.lit(WHITE))), lambda p: p != "")
 
 
 def lanes(text: Column) -> Column:
-    """array<long> of LANES sums."""
+    """array<long> of CHECKS + LEVELS * LANES sums."""
 
     def entry(p: Column) -> Column:
-        h, v = F.xxhash64(p), F.xxhash64(p, F.lit(1))
-        second = F.shiftrightunsigned(h, 32).bitwiseAND(LANES - 1)
-        return F.struct(
-            h.bitwiseAND(LANES - 1).alias("a"),
-            v.bitwiseAND(MODULUS - 1).alias("add_a"),
-            second.alias("b"),
-            F.shiftrightunsigned(v, 32).alias("add_b"),
-        )
+        h, v, w = F.xxhash64(p), F.xxhash64(p, F.lit(1)), F.xxhash64(p, F.lit(2))
+        low = lambda x: x.bitwiseAND(MODULUS - 1)
+        return F.struct(h.alias("at"), low(v).alias("v"), F.array(low(h), F.shiftrightunsigned(v, 32), low(w), F.shiftrightunsigned(w, 32)).alias("checks"), w.alias("level"))
+
+    zero = F.lit(0).cast("long")
+
+    def level_sums(entries: Column, level: int) -> Column:
+        own = F.filter(entries, lambda e: e["level"].bitwiseAND((1 << 2 * level) - 1) == 0) if level else entries
+
+        def put(sums: Column, e: Column) -> Column:
+            at = F.shiftrightunsigned(e["at"], 5 * level + 20).bitwiseAND(LANES - 1)
+            return F.transform(sums, lambda s, i: (s + F.when(i == at, e["v"]).otherwise(zero)) % MODULUS)
+
+        return F.aggregate(own, F.array_repeat(zero, LANES), put)
 
-    def put(sums: Column, e: Column) -> Column:
-        zero = F.lit(0).cast("long")
-        return F.transform(sums, lambda s, i: (s + F.when(i == e["a"], e["add_a"]).otherwise(zero) + F.when(i == e["b"], e["add_b"]).otherwise(zero)) % MODULUS)
+    def summed(entries: Column) -> Column:
+        checks = F.aggregate(entries, F.array_repeat(zero, CHECKS), lambda sums, e: F.zip_with(sums, e["checks"], lambda s, x: (s + x) % MODULUS))
+        return F.concat(checks, *(level_sums(entries, level) for level in range(LEVELS)))
 
-    return F.aggregate(F.transform(paragraphs(text), entry), F.array_repeat(F.lit(0).cast("long"), LANES), put)
+    # the array of one makes the entries once for all sums
+    return F.get(F.transform(F.array(F.transform(paragraphs(text), entry)), summed), F.lit(0))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -55,39 +70,59 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal lanes among those that either uses; 1.0 if none does."""
-    used = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x != 0) | (y != 0), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    return F.when(used == 0, F.lit(1.0)).otherwise(same / F.greatest(used, F.lit(1)))
+    """The estimated share of the paragraphs of either that both have; 1.0 for equal fingerprints."""
+    pairs = F.slice(F.arrays_zip(a.alias("x"), b.alias("y")), CHECKS + 1, LEVELS * LANES)
+
+    def level(k: Column) -> Column:
+        lanes_ = F.slice(pairs, k * LANES + 1, F.lit(LANES))
+        return F.struct(F.size(F.filter(lanes_, lambda p: (p["x"] != 0) | (p["y"] != 0))).alias("used"), F.size(F.filter(lanes_, lambda p: p["x"] != p["y"])).alias("unlike"))
+
+    used = F.filter(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), level), lambda x: x["used"] > 0)
+    free = F.filter(used, lambda x: x["used"] <= CROWDED)
+    counted = lambda n: -F.log(1 - F.least(n, F.lit(LANES - 0.5)) / LANES)
+    guess = F.transform(F.array(F.coalesce(F.get(free, F.lit(0)), F.element_at(used, -1))), lambda x: F.greatest(F.lit(0.0), 1 - counted(x["unlike"]) / counted(x["used"])))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.get(guess, F.lit(0)), F.lit(0.0)))
 
 
 def as_hex(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], parts: int) -> DataFrame:
-    """df with next_<column>: the values of the next row by descending key; after the last, those of the first.
+#: Descending key, nulls last; equal keys by the hash of the text.
+def in_order(key: str) -> list[Column]:
+    return [F.desc_nulls_last(key), F.asc("_h")]
+
 
-    Equal keys follow each other by `columns`, null keys come last. Rows are dealt to ranges of the key; the first
-    row of each range is also sent to the range before it, so that no window spans the table. The `parts` - 1 cuts are
-    part of the plan: some thousands are fine.
+def receivers(places: DataFrame, key: str) -> DataFrame:
+    """places (distinct key, _h) with _to: key, _h and the other columns of the place before it in descending order; that of
+    the last one for the first.
+
+    Places are dealt to ranges; a window runs within each, and one over the ranges' last places, a row for each range.
+    """
+    columns = places.columns
+    placed = stored(places.repartitionByRange(*in_order(key)).withColumn("_p", F.spark_partition_id()))
+    here = F.struct(*columns)
+    ends = placed.groupBy("_p").agg(F.max_by(here, F.struct(F.col(key).isNull(), F.bitwise_not(key), "_h")).alias("_end"))
+    by_range = Window.orderBy("_p")  # one row for each range
+    every = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = ends.select("_p", F.coalesce(F.lag("_end").over(by_range), F.last("_end").over(every)).alias("_before"))
+    within = Window.partitionBy("_p").orderBy(*in_order(key))
+    return placed.join(F.broadcast(before), "_p").withColumn("_to", F.coalesce(F.lag(here).over(within), "_before")).drop("_p", "_before")
+
+
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, head and next_lanes for every row: of the next document by descending key (after the last: the first), the
+    first floor(n / 2) code points, n being the row's own length, and the lanes of its whole text.
+
+    Rows of one key are in order of their texts' hashes, null keys come last; rows that repeat key and text share a
+    place. Only a table of keys, hashes and lengths is put in order; texts meet by joins on key and hash, the next one's
+    cut to what is needed.
     """
-    total = df.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"), F.count(key).alias("n")).first()
-    cuts = sorted(set(total["cuts"] or []))
-    # range 0 holds the highest keys; nulls come after the lowest
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(key))) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(place))
-    firsts = sorted((r["_range"], r["first"]) for r in ranged.groupBy("_range").agg(F.max(key).alias("first")).collect())
-    if not firsts:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = [firsts[k - 1][0] for k in range(len(firsts))]  # of the first range: the last
-    known = [x for (_, first), to in zip(firsts, before, strict=True) if first is not None for x in (F.lit(first), F.lit(to))]
-    echo = F.element_at(F.create_map(*known), F.col(key)) if known else F.lit(None).cast("int")
-    if firsts[-1][1] is None:
-        echo = F.when(F.col(key).isNull(), F.lit(before[-1])).otherwise(echo)
-    own = F.struct(F.col("_range").alias("range"), F.lit(False).alias("echo"))
-    sent = F.when(echo.isNull(), F.array(own)).otherwise(F.array(own, F.struct(echo.alias("range"), F.lit(True).alias("echo"))))
-    rows = ranged.withColumn("_at", F.explode(sent))
-    order = Window.partitionBy("_at.range").orderBy("_at.echo", F.desc_nulls_last(key), *columns)
-    found = rows.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
-    return found.filter("not _at.echo").drop("_at", "_range")
+    rows = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text)).withColumn("_h", F.xxhash64(text))
+    places = rows.select(key, "_h", F.floor(F.length(text) / 2).cast("int").alias("_half")).distinct()
+    to = receivers(places, key).select(key, "_h", F.col(f"_to.{key}").alias("_to_key"), F.col("_to._h").alias("_to_h"), F.col("_to._half").alias("_to_half"))
+    a, b = rows.alias("a"), to.alias("b")
+    sent = a.join(b.hint("merge"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a._h") == F.col("b._h")))
+    sent = sent.select("_to_key", "_to_h", F.substring(F.col(f"a.{text}"), F.lit(1), F.col("_to_half")).alias("head"), F.col(f"a.{text}").alias("whole"))
+    sent = sent.dropDuplicates(["_to_key", "_to_h"]).select("_to_key", "_to_h", "head", lanes(F.col("whole")).alias("next_lanes"))
+    return rows.join(sent.hint("merge"), F.col(key).eqNullSafe(F.col("_to_key")) & (F.col("_h") == F.col("_to_h"))).select(key, text, "head", "next_lanes")
