@@ -5,7 +5,8 @@ frequency (over every training document) and normalised. Spherical k-means gives
 each language; a text gets the language of the centroid of highest cosine. It is rejected when that
 cosine is under half the first percentile seen in training for texts of about its length.
 
-Null texts and texts without a letter are `und`, score 0, rejected.
+Null texts and texts without a letter are `und`, score 0, rejected. Ids are not read: rows with a null or repeated id are
+rows like any others.
 """
 
 from __future__ import annotations
@@ -108,9 +109,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def train(docs: DataFrame, clusters: int = 4, max_docs: int = 500, seed: int = 5) -> CentroidModel:
-    """docs: doc_id, text, lang. Document frequencies are over all of them; centroids come from a hash sample
-    of about `max_docs` documents of each language. Rows with null text or lang are left out."""
-    known = docs.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
+    """docs: text, lang. Document frequencies are over all of them; centroids come from a hash sample of about `max_docs`
+    texts of each language, copies counting once. Rows with null text or lang are left out. A language's centroids are
+    fitted in one task, and come to the driver with the least cosines: some 100 KB a language."""
+    known = docs.select("text", "lang").dropna()
     n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not n:
         return CentroidModel([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(16))
@@ -130,29 +132,39 @@ def train(docs: DataFrame, clusters: int = 4, max_docs: int = 500, seed: int = 5
     idf = (np.log((1 + sum(n.values())) / (1 + seen)) + 0.1).astype(np.float32)
 
     share = F.element_at(F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(max_docs / v))]), F.col("lang"))
-    picked = known.filter(sampled(F.coalesce(F.col("doc_id"), F.lit(0)), share, seed))
+    picked = known.filter(sampled(F.col("text"), share, seed)).dropDuplicates()
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found, size = counts(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang"), pa.array(size), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in found], pa.binary())], ["doc_id", "lang", "n", "counts"])
+            rows = [np.flatnonzero(x).astype(np.int32) for x in found]
+            columns = [pa.array(rows, pa.list_(pa.int32())), pa.array([x[r].astype(np.int32) for x, r in zip(found, rows, strict=True)], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), *columns], ["lang", "n", "slots", "counts"])
 
         return work
 
-    rows = map_rows(picked, "doc_id long, lang string, n long, counts binary", make, 64).orderBy("lang", "doc_id", "counts").collect()
-    langs, centroids, near = [], [], [[] for _ in range(16)]
-    for lang in sorted(n):
-        own = [r for r in rows if r["lang"] == lang and r["n"]]
-        if own:
-            x = vectors(np.stack([np.frombuffer(r["counts"], np.uint16) for r in own]).astype(np.float32), idf)
-            c = spherical_kmeans(x, clusters)
-            for r, v in zip(own, (x @ c.T).max(axis=1), strict=True):
-                near[bucket(r["n"])].append(float(v))
-            langs += [lang] * len(c)
-            centroids.append(c)
+    def fitted(group: pa.Table) -> pa.Table:
+        rows = sorted((r for r in group.to_pylist() if r["n"]), key=lambda r: (r["n"], r["slots"], r["counts"]))
+        x = np.zeros((len(rows), DIM), np.float32)
+        for k, r in enumerate(rows):
+            x[k, r["slots"]] = r["counts"]
+        x = vectors(x, idf)
+        c = spherical_kmeans(x, clusters) if rows else x
+        near = [{"n": r["n"], "cosine": float(v)} for r, v in zip(rows, (x @ c.T).max(axis=1) if rows else [], strict=True)]
+        return pa.table([group.column("lang")[:1], pa.array([[v.tolist() for v in c]], pa.list_(pa.list_(pa.float32()))), pa.array([near], kind)], ["lang", "centroids", "near"])
+
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("cosine", pa.float64())]))
+    sample = map_rows(picked, "lang string, n long, slots array<int>, counts array<int>", make, 64)
+    rows = sample.groupBy("lang").applyInArrow(fitted, "lang string, centroids array<array<float>>, near array<struct<n:long,cosine:double>>").orderBy("lang").collect()
+    near = [[] for _ in range(16)]
+    for r in rows:
+        for x in r["near"]:
+            near[bucket(x["n"])].append(x["cosine"])
+    langs = [r["lang"] for r in rows for _ in r["centroids"]]
+    centroids = np.array([c for r in rows for c in r["centroids"]], np.float32).reshape(-1, DIM)
     every = [v for x in near for v in x]
     limits = np.array([0.5 * np.quantile(x, 0.01) if len(x) >= 20 else 0.5 * min(every, default=0.0) for x in near])
-    return CentroidModel(langs, np.concatenate(centroids) if centroids else np.zeros((0, DIM), np.float32), idf, np.minimum.accumulate(limits[::-1])[::-1])
+    return CentroidModel(langs, centroids, idf, np.minimum.accumulate(limits[::-1])[::-1])
 
 
 def predict(docs: DataFrame, model: CentroidModel) -> DataFrame:

@@ -7,8 +7,8 @@ are fitted so that the expected totals match the targets: projected gradient ste
     1/2 (A r - t)' M (A r - t),   A[d, i] = p_id n_i,   M = (B B' + ridge)^-1,
 
 B being the columns of A whose rates a step can still move (a step of 1 would solve the problem if no bound were met).
-A step needs sums over the documents by domain and pair of domains; the rates are a function of the few steps so far, so that no state is kept by document. All of it is DataFrame expressions and
-plain arithmetic on matrices of domains x domains.
+A step needs sums over the documents by domain and pair of domains; the rates are a function of the few steps so far, so
+that no state is kept by document. All of it is DataFrame expressions and plain arithmetic on matrices of domains x domains.
 
 Null and empty texts have no words: their posterior is the prior, their rate is 1 (or the nearer bound). A domain
 without labelled rows can't be fitted and must not have a target; without any labelled row, posteriors are empty and all
@@ -17,6 +17,7 @@ rates 1.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from math import log
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import sampled, stored
 
 FEATURES = 4096
+#: A miss that is worth a warning.
+ALLOWED = 0.001
 
 
 def features(text: Column) -> Column:
@@ -97,17 +100,28 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [m[r][n] / m[r][r] if m[r][r] else 0.0 for r in range(n)]
 
 
-def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float], total_words: float | None = None, low: float = 0.0, high: float = 20.0, steps: int = 30, tolerance: float = 1e-6) -> Column:
-    """The rate of each row of members (n_words, posterior), as an expression over it.
+@dataclass
+class Rates:
+    """rate: of each row, as an expression over n_words and posterior; reached: shares of the words by domain; miss: the
+    largest difference of an expected total from its goal, as a share of the goals' sum."""
+
+    rate: Column
+    reached: dict[str, float]
+    miss: float
+
+
+def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float], total_words: float | None = None, low: float = 0.0, high: float = 20.0, steps: int = 30, tolerance: float = 1e-6) -> Rates:
+    """Rates for members (n_words, posterior), between low and high.
 
     target: weights by domain, others 0. total_words: of the mixture; by default the number the documents have, or,
-    if low is 1 or more, the least that lets every domain keep its expected words.
+    if low is 1 or more, the least that lets every domain keep its expected words. Bounds can put a target out of reach:
+    `miss` says by how much.
     """
     k = len(model.domains)
     if unknown := set(target) - set(model.domains):
         raise ValueError(f"no labelled row of {sorted(unknown)}")
     if not k:
-        return F.lit(min(max(1.0, low), high))
+        return Rates(F.lit(min(max(1.0, low), high)), {}, 0.0)
     weights = [target.get(d, 0.0) / sum(target.values()) for d in model.domains]
     a = [F.col("posterior")[d] * F.col("n_words") for d in range(k)]
     sums = members.select(*(F.sum(x).alias(f"t{d}") for d, x in enumerate(a)), *(F.sum(a[d] * a[e]).alias(f"m{d}_{e}") for d in range(k) for e in range(k))).first()
@@ -121,6 +135,7 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
 
     gram = curvature(sums)
     moves: list[list[float]] = []
+    now, error = have, 0.0
 
     def rate() -> Column:
         start = F.lit(min(max(1.0, low), high))
@@ -133,23 +148,31 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
 
         return F.aggregate(F.array(*(F.array(*map(F.lit, m)) for m in moves)), start, step)
 
-    for _ in range(steps):
+    for step in range(steps + 1):
         rows = members.select(rate().alias("r"), *(x.alias(f"a{d}") for d, x in enumerate(a)))
-        now = rows.agg(*(F.sum(F.col("r") * F.col(f"a{d}")).alias(f"t{d}") for d in range(k))).first()
-        miss = [float(now[f"t{d}"] or 0.0) - goal[d] for d in range(k)]
-        if max(map(abs, miss)) <= tolerance * max(total, 1e-300):
+        sums = rows.agg(*(F.sum(F.col("r") * F.col(f"a{d}")).alias(f"t{d}") for d in range(k))).first()
+        now = [float(sums[f"t{d}"] or 0.0) for d in range(k)]
+        miss = [x - g for x, g in zip(now, goal, strict=True)]
+        error = max(map(abs, miss)) / max(total, 1e-300)
+        if error <= tolerance or step == steps:
             break
         down = sum((F.col(f"a{d}") * F.lit(m) for d, m in enumerate(solved(gram, miss))), F.lit(0.0))
         free = ~(((F.col("r") <= low) & (down > 0)) | ((F.col("r") >= high) & (down < 0)))
         gram = curvature(rows.filter(free).agg(*(F.sum(F.col(f"a{d}") * F.col(f"a{e}")).alias(f"m{d}_{e}") for d in range(k) for e in range(k))).first())
         moves.append(solved(gram, miss))
-    return rate()
+    return Rates(rate(), {d: x / max(sum(now), 1e-300) for d, x in zip(model.domains, now, strict=True)}, error if total else 0.0)
 
 
-def mixed(docs: DataFrame, model: DomainModel, target: dict[str, float], **how) -> DataFrame:
-    """docs with n_words, posterior and rate."""
+def mixed(docs: DataFrame, model: DomainModel, target: dict[str, float], allowed: float | None = None, **how) -> DataFrame:
+    """docs with n_words, posterior and rate. A miss of over `allowed` is an error; without it, a warning is logged."""
     members = stored(memberships(docs, model))
-    return members.withColumn("rate", fit_rates(members.select("n_words", "posterior"), model, target, **how))
+    found = fit_rates(members.select("n_words", "posterior"), model, target, **how)
+    if found.miss > (ALLOWED if allowed is None else allowed):
+        said = f"the target {target} is missed by {found.miss:.4f} of its words within these bounds; shares reached: {found.reached}"
+        if allowed is not None:
+            raise ValueError(said)
+        logging.getLogger(__name__).warning(said)
+    return members.withColumn("rate", found.rate)
 
 
 def repeated(rated: DataFrame, key: str = "doc_id", seed: int = 23) -> DataFrame:

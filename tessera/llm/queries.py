@@ -65,15 +65,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("lanes", multiset.lanes(F.col("text")))
-    parts = min(2048, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = (
-        multiset.with_next(docs, "doc_id", ["text", "lanes"], parts)
+        multiset.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
         .withColumn("n_chars", F.length("text").cast("long"))
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-        .withColumn("edited_lanes", multiset.lanes(F.col("edited")))
+        .withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), "head"))
+        .withColumns({"lanes": multiset.lanes(F.col("text")), "edited_lanes": multiset.lanes(F.col("edited"))})
     )
     return rows.select(
         "doc_id",

@@ -6,15 +6,20 @@ Distances from every vector to the pivots are precomputed once. For a query q an
 bound, and a query stops as soon as the next bound is under its k-th best score: no result is lost.
 Every task keeps k rows a query, which a shuffle by query merges.
 
-Queries go to the tasks in waves of at most `wave` vectors; each wave is one pass over the stored table.
+Queries go to the tasks in waves of about `wave` vectors: the driver holds one wave at a time, and each is one pass
+over the stored table, whose rows are written before the next wave is read.
 
 Vectors that are null, or hold null or non-finite components, and rows without an id take no part. Vectors of
 different lengths count as zero beyond their end. An id that occurs more than once is a candidate by each row, and
-a query once (with the smallest of its vectors). Components beyond 2^26 in size are an error.
+a query once (with the smallest of its vectors). Float64 is exact where products can't add up to 2^53; beyond, candidates
+that the bounds admit are evaluated in whole numbers of any size. Scores beyond 64 bits are held at the largest or smallest
+number, after ranking.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tessera.llm.common import sampled, stored
+from tessera.sources.storage import stored_in_turn
 
 
 def whole_numbers(embedding: Column, scale: int = 1024) -> Column:
@@ -48,13 +54,11 @@ def pivots(vectors: DataFrame, n: int, pool: int = 4000, seed: int = 3) -> np.nd
 
 
 def dense(rows: list[list[int]], width: int = 0) -> np.ndarray:
-    """Rows as float64, exact for the sizes allowed; shorter ones are filled with zeros."""
+    """Rows as float64; shorter ones are filled with zeros."""
     width = max([width, *map(len, rows)], default=width)
     out = np.zeros((len(rows), width))
     for k, r in enumerate(rows):
         out[k, : len(r)] = r
-    if out.size and np.abs(out).max() > 1 << 26:
-        raise ValueError("a component is beyond 2^26")
     return out
 
 
@@ -78,45 +82,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, n_pivots: int =
     ready = stored(vectors.mapInArrow(measured, "vec_id long, v array<long>, d array<double>"))
     asked = stored(queries.select("vec_id", "v").dropna().groupBy("vec_id").agg(F.min("v").alias("v")))
     waves = -(-asked.count() // wave)
-    out = None
-    for w in range(waves):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).orderBy("vec_id").collect()  # about `wave` rows
-        part = ready.mapInArrow(scan([r["vec_id"] for r in own], dense([r["v"] for r in own]), p, k), "query_id long, vec_id long, score long")
-        out = part if out is None else out.union(part)
+    size = F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double")))))
+    largest, longest = ready.agg(size, F.max(F.size("v"))).first()
+    exact = float(largest or 0) ** 2 * (longest or 0) < 2.0**53
+
+    def turns():
+        for w in range(waves):
+            own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).orderBy("vec_id").collect()  # about `wave` rows
+            now = vectors.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in own], [r["v"] for r in own]))
+            yield ready.mapInArrow(scan(now, p, k, exact), "query_id long, vec_id long, score decimal(38,0)")
+            now.destroy()
+
+    out = stored_in_turn(turns())
     if out is None:
         return ready.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = F.least(F.greatest("score", F.lit(-(1 << 63)).cast("decimal(38,0)")), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
-def scan(ids: list[int], q: np.ndarray, p: np.ndarray, k: int, block: int = 2048):
-    """A task's k best rows for each query."""
-    own = np.array(ids, np.int64)
+def scan(now, p: np.ndarray, k: int, exact: bool, block: int = 2048):
+    """A task's k best rows for each query; now: ids and vectors of the queries. exact: float64 gives whole products."""
 
     def run(batches):
+        ids, vectors = now.value
+        own, q = np.array(ids, np.int64), dense(vectors)
         d_q, q2 = to_pivots(q, p), (q * q).sum(axis=1)
-        score, who = np.full((len(own), k), -np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
+        kind = float if exact else object
+        score, who = np.full((len(own), k), -np.inf, kind), np.full((len(own), k), np.iinfo(np.int64).max)
         for batch in batches:
             for start in range(0, batch.num_rows, block):
                 rows = batch.slice(start, block)
-                key, x = rows.column("vec_id").to_numpy(), dense(rows.column("v").to_pylist(), q.shape[1])
+                key, found = rows.column("vec_id").to_numpy(), rows.column("v").to_pylist()
+                x = dense(found, q.shape[1])
                 d_x, x2 = np.array(rows.column("d").to_pylist()).reshape(len(x), len(p)), (x * x).sum(axis=1)
                 wide = np.pad(q, ((0, 0), (0, x.shape[1] - q.shape[1])))
                 for j in range(len(own)):
                     low = np.abs(d_x - d_q[j]).max(axis=1) if len(p) else np.zeros(len(x))
                     # a little slack for rounding: a bound must never be too small
                     bound = (q2[j] + x2 - low * low) / 2 + 1e-9 * (q2[j] + x2) + 1e-6
-                    able = np.flatnonzero(bound >= score[j, -1])
+                    able = np.flatnonzero(bound >= float(score[j, -1]))
                     able = able[np.argsort(-bound[able], kind="stable")]
                     at, step = 0, 4 * k
-                    while at < len(able) and bound[able[at]] >= score[j, -1]:
+                    while at < len(able) and bound[able[at]] >= float(score[j, -1]):
                         rows_ = able[at : at + step]
                         rows_ = rows_[(key[rows_] != own[j])]
-                        s, i = np.concatenate((score[j], x[rows_] @ wide[j])), np.concatenate((who[j], key[rows_]))
-                        top = np.lexsort((i, -s))[:k]
+                        new = x[rows_] @ wide[j] if exact else np.array([sum(a * b for a, b in zip(found[i], vectors[j], strict=False)) for i in rows_.tolist()], object)
+                        s, i = np.concatenate((score[j], new)), np.concatenate((who[j], key[rows_]))
+                        top = np.lexsort((i, -s))[:k] if exact else np.array(sorted(range(len(s)), key=lambda r: (-s[r], i[r]))[:k])
                         score[j], who[j] = s[top], i[top]
                         at, step = at + step, 2 * step
         j, r = np.nonzero(score > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(own[j]), pa.array(who[j, r]), pa.array(score[j, r].astype(np.int64))], ["query_id", "vec_id", "score"])
+        values = pa.array([Decimal(int(v)) for v in score[j, r]], pa.decimal128(38, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(own[j]), pa.array(who[j, r]), values], ["query_id", "vec_id", "score"])
 
     return run

@@ -251,8 +251,9 @@ def calibrate(model: CrfModel, docs: list[np.ndarray], toxic: np.ndarray, share:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, seed: int = 11) -> CrfModel:
-    """Fit on a hash sample of about `max_docs` documents of each class; labels: doc_id, toxic.
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, max_chars: int = 200_000, seed: int = 11) -> CrfModel:
+    """Fit on a hash sample of about `max_docs` documents of each class; labels: doc_id, toxic. The sample has none of over
+    `max_chars` characters (they are scored like all others), so that what the driver gets is bounded.
 
     Ids labelled more than once count as toxic if any row says so. Rows with a null id, label or text are left out.
     With no document of a class, every score stays near that of the other class.
@@ -261,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, seed: int =
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, max_docs / max(1, n.get(1, 0))).otherwise(max_docs / max(1, n.get(0, 0)))
     picked = marks.filter(sampled(F.col("doc_id"), share, seed))  # about 2 * max_docs ids
-    texts = docs.select("doc_id", "text").dropna().join(F.broadcast(picked), "doc_id").drop("doc_id")
+    texts = docs.select("doc_id", "text").dropna().filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").drop("doc_id")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

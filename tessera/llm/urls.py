@@ -1,10 +1,11 @@
 """URL filter: allow and block rules in a trie of reversed host labels, then path segments.
 
 A rule `example.org/en/1` fits example.org and its subdomains when the path starts with `/en/1`. Of the rules
-that fit, the longest wins: most host labels first, then the longest path; a block wins a tie.
+that fit, the one with the most characters, host and path together, wins; a block wins a tie.
 The trie is as large as the rule list (`max_rules` at most) and goes to every task.
 
-Null urls and urls without `://` have an empty host and path, which no rule fits: they get the default verdict.
+Null urls and urls without `://` have an empty host and path, which no rule fits: they get the default verdict. Each row
+is judged by itself; repeated and null keys make no difference.
 """
 
 from __future__ import annotations
@@ -50,9 +51,11 @@ def trie(rules: list[tuple[str, str]], max_rules: int = 1_000_000) -> Node:
 
 
 def walk(node: Node):
-    yield node
-    for child in (*node.labels.values(), *node.segments.values()):
-        yield from walk(child)
+    left = [node]
+    while left:
+        node = left.pop()
+        yield node
+        left += [*node.labels.values(), *node.segments.values()]
 
 
 def judge(root: Node, host: str, path: str) -> tuple[str | None, str | None]:
@@ -63,20 +66,17 @@ def judge(root: Node, host: str, path: str) -> tuple[str | None, str | None]:
         if node is None:
             break
         hosts.append(node)
-    parts = path.split("/")
-    for node in reversed(hosts):  # the longest host first
-        best = None
+    parts, best = path.split("/"), (0, False, None, None)
+    for node in hosts:
         for segment in parts:
             for last, verdict, rule in node.starts:
-                if segment.startswith(last):
-                    best = rule, verdict
+                if segment.startswith(last):  # the longest of those that begin here
+                    best = max(best, (len(rule), verdict == "block", rule, verdict), key=lambda x: x[:2])
                     break
             node = node.segments.get(segment)
             if node is None:
                 break
-        if best:
-            return best
-    return None, None
+    return best[2:]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
