@@ -1,10 +1,11 @@
-"""Licence scan: sentences of every file against licence templates, then inheritance from directories.
+"""Licence scan: segments of every file against licence templates, then inheritance from directories.
 
-A sentence (a line, or what ends in `.`, `!` or `?`) and a template are sparse TF-IDF vectors over words; inverse
-document frequencies are over the templates, and a word that none has weighs most. A file has the licence of the
-sentence and template of highest cosine, `threshold` at least (ties: the smaller name). A file called LICENSE,
-LICENCE or COPYING speaks for its directory: a file without a licence of its own takes that of the nearest
-ancestor directory that has one.
+Segments of a text are its lines, and its sentences: there, line ends within a paragraph and the comment marks after them
+count as blanks, so that wrapped headers are whole; a blank line ends a sentence. Segments and the sentences of the
+templates are sparse TF-IDF vectors over words; inverse document frequencies are over the templates, and a word that none
+has weighs most. A file has the licence of the highest cosine, `threshold` at least; of equal ones, that of which more
+sentences are there, then the smaller name. A file called LICENSE, LICENCE or COPYING speaks for its directory: a file
+without a licence of its own takes that of the nearest ancestor directory that has one.
 
 A cosine of `threshold` can't come from words alone whose weights' squares sum to less than threshold^2. Short words
 are put into that set first; only texts with one of the others are split at all, and none is lost by that.
@@ -22,19 +23,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 #: What licence headers and files say.
+SUBJECT_TO = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+GPL_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Zero-Clause BSD", "SPDX-License-Identifier: 0BSD"],
+    "AGPL-3.0": [GPL_NOTICE.format("Affero", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
+    "BSD-2-Clause": [REDISTRIBUTION, "BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
+    "BSD-3-Clause": [REDISTRIBUTION, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSL-1.0": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:", "Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike 4.0 International Public License", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Creative Commons Legal Code CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "GPL-2.0": [GPL_NOTICE.format("", "2"), "This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GNU GENERAL PUBLIC LICENSE Version 2", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "GPL-3.0": [GPL_NOTICE.format("", "3"), "This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GNU GENERAL PUBLIC LICENSE Version 3", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC License", "SPDX-License-Identifier: ISC"],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "LGPL-3.0": [GPL_NOTICE.format("Lesser", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "MIT": [SUBJECT_TO, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Released under the MIT License.", "The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
+    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "SPDX-License-Identifier: WTFPL"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "SPDX-License-Identifier: Zlib"],
 }
+#: A line end within a paragraph, and the comment mark after it.
+LINE_END = r"\r?\n[ \t]*+(?:#++|/{2,}+|/?\*++/?+|;++|-{2,}+|%++)?+[ \t]*+(?=\S)"
 SENTENCE_END = r"\n|(?<=[.!?])\s"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -65,41 +84,51 @@ def needed_words(rows: list[tuple[str, int, str, float]], threshold: float) -> l
 
 
 def has_word(text: Column, words: list[str]) -> Column:
-    """Whether text has one of the words: as a part, or, if short, by itself."""
+    """Whether text has one of the words: as a part, or, if short, not next to ASCII letters and digits."""
     short = [w for w in words if len(w) < 4]
-    out = text.rlike(rf"(?<![\p{{L}}\p{{N}}])({'|'.join(short)})(?![\p{{L}}\p{{N}}])") if short else F.lit(False)
+    out = text.rlike(rf"(?<![a-z0-9])({'|'.join(short)})(?![a-z0-9])") if short else F.lit(False)
     for w in words:
         if len(w) >= 4:
             out = text.contains(w) | out
     return out
 
 
+def segments(text: Column) -> Column:
+    """Lines and sentences, each once."""
+    return F.array_distinct(F.concat(F.split(text, r"\r?\n"), F.split(F.regexp_replace(text, LINE_END, " "), SENTENCE_END)))
+
+
 def stated(files: DataFrame, key: str = "path", text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """key, licence, score, share (of the text that the sentence is), one row for each key that states a licence.
+    """key, licence, score, share (of the text that the segment is), one row for each key that states a licence.
 
     Rows with the same key count as one file; rows with a null key are left out.
     """
     spark = files.sparkSession
     idf, other, rows = template_vectors(templates)
     needed = needed_words(rows, threshold)
-    sentences = (
+    parts = (
         files.select(key, F.lower(text).alias("t")).filter(F.col(key).isNotNull() & has_word(F.col("t"), needed))
-        .select(key, F.length("t").alias("size"), F.explode(F.split("t", SENTENCE_END)).alias("sentence"))
-        .filter(has_word(F.col("sentence"), needed))
-        .withColumn("at", F.monotonically_increasing_id())
+        .select(key, F.length("t").alias("size"), F.explode(segments(F.col("t"))).alias("segment"))
+        .filter(has_word(F.col("segment"), needed))
     )
-    sentences = stored(sentences)
-    words = sentences.select("at", F.explode(F.filter(F.split("sentence", NOT_WORD), lambda w: w != "")).alias("word")).groupBy("at", "word").agg(F.count("*").alias("n"))
+    parts = stored(parts)
+    # many files say the same: each different segment is weighed once
+    kinds = parts.select("segment").distinct()
+    words = kinds.select("segment", F.explode(F.filter(F.split("segment", NOT_WORD), lambda w: w != "")).alias("word")).groupBy("segment", "word").agg(F.count("*").alias("n"))
     known = spark.createDataFrame(sorted(idf.items()), StructType([StructField("word", StringType()), StructField("idf", DoubleType())]))
     terms = spark.createDataFrame([(n, k, w, x) for n, k, w, x in rows], "licence string, k int, word string, weight double")
-    weighed = words.join(F.broadcast(known), "word", "left").select("at", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x"))
-    norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(terms), "word").groupBy("at", "licence", "k").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    weighed = stored(words.join(F.broadcast(known), "word", "left").select("segment", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x")))
+    norms = weighed.groupBy("segment").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(F.broadcast(terms), "word").groupBy("segment", "licence", "k").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     cosine = F.round(F.least(F.lit(1.0), F.col("dot") / F.col("norm")), 6)
-    found = dots.join(norms, "at").withColumn("score", cosine).filter(F.col("score") >= threshold).join(sentences, "at")
-    share = F.length("sentence") / F.greatest("size", F.lit(1))
-    best = F.min(F.struct((-F.col("score")).alias("score"), "licence", (-share).alias("share"))).alias("b")
-    return found.groupBy(key).agg(best).select(key, "b.licence", (-F.col("b.score")).alias("score"), (-F.col("b.share")).alias("share"))
+    alike = dots.join(norms, "segment").select("segment", "licence", "k", cosine.alias("score")).filter(F.col("score") >= threshold)
+    found = parts.join(alike, "segment")
+    share = F.length("segment") / F.greatest("size", F.lit(1))
+    each = found.groupBy(key, "licence").agg(F.max(F.struct("score", share.alias("share"))).alias("top"), F.count_distinct("k").alias("n"))
+    best = F.min(F.struct((-F.col("top.score")).alias("score"), (-F.col("n")).alias("n"), "licence", F.col("top.share").alias("share"))).alias("b")
+    out = stored(each.groupBy(key).agg(best).select(key, "b.licence", (-F.col("b.score")).alias("score"), "b.share"))
+    discard(parts, weighed)
+    return out
 
 
 def parent(path: Column) -> Column:

@@ -106,10 +106,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/doc_id; one that is a licence sentence for a tenth of its length speaks for its directory."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    """Documents as files of a tree: source/<id>, source/lang/<id> or source/lang/<id % 16>/<id>, by id % 3. One that is a
+    licence segment for half of its length speaks for its directory."""
+    part = lambda c: F.coalesce(c, F.lit("-"))
+    doc, kind = part(F.col("doc_id").cast("string")), F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0))
+    deep = F.when(kind > 0, part(F.col("lang"))), F.when(kind > 1, part(F.pmod("doc_id", F.lit(16)).cast("string")))
+    path = F.concat_ws("/", part(F.col("source")), *deep, doc)
     files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
-    found = licences.inherited(files, licences.stated(files), speaks=F.col("share") >= 0.1)
+    found = licences.inherited(files, licences.stated(files), speaks=F.col("share") >= 0.5)
     return found.withColumn("doc_id", F.regexp_extract("path", "([^/]*)$", 1).try_cast("long"))
 
 

@@ -1,6 +1,8 @@
 """The text operators on awkward rows, against brute force, round trips and held-out labels."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -382,6 +384,82 @@ def test_licences(spark):
     assert licences.inherited(files.limit(0), licences.stated(files.limit(0))).count() == 0
 
 
+def plain_licence(text, threshold=0.8):
+    """Every line and sentence against every template, by dictionaries."""
+    idf, other, rows = licences.template_vectors(licences.TEMPLATES)
+    vectors = {}
+    for name, k, w, x in rows:
+        vectors.setdefault((name, k), {})[w] = x
+    t = (text or "").lower()
+    paragraphs = re.split(r"\n[ \t]*(?:#+|//+|\*+|;+|--+|%+)?[ \t]*(?=\n)", t)
+    joined = [re.sub(r"\n[ \t]*(?:#+|//+|\*+|;+|--+|%+)?[ \t]*", " ", p) for p in paragraphs]
+    best, hits = {}, {}
+    for part in {*t.split("\n"), *(x for p in joined for x in re.split(r"(?<=[.!?])\s", p))}:
+        words = Counter(w for w in re.split(r"[\W_]+", part) if w)
+        norm = sum((n * idf.get(w, other)) ** 2 for w, n in words.items()) ** 0.5
+        for (name, k), v in vectors.items():
+            cosine = round(min(1.0, sum(n * idf.get(w, other) * v.get(w, 0) for w, n in words.items()) / norm), 6) if norm else 0
+            if cosine >= threshold:
+                best[name] = max(best.get(name, 0), cosine)
+                hits.setdefault(name, set()).add(k)
+    return min(((-x, -len(hits[n]), n) for n, x in best.items()), default=(0, 0, None))
+
+
+HEADERS = {
+    "MIT": "# Copyright (c) 2020 Someone\n#\n# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:\n#\n# The above copyright notice and so on.\nimport os",
+    "ISC": " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.\n",
+    "BSD-3-Clause": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are met:\n//\n// Neither the name of the copyright holder nor the names of its contributors\n// may be used to endorse or promote products derived from this software without\n// specific prior written permission.\nint main() {}",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions are met:\r\n\r\n1. Something.",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991",
+    "GPL-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nx = 1",
+    "LGPL-2.1": "/* This library is free software; you can redistribute it and/or\n   modify it under the terms of the GNU Lesser General Public\n   License as published by the Free Software Foundation; either\n   version 2.1 of the License, or (at your option) any later version.\n*/",
+    "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0-or-later\ncode",
+    "Apache-2.0": "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nText",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this */",
+}
+
+
+def test_licences_of_wrapped_headers_equal_plain_python(spark):
+    rows = [(name, text) for name, text in HEADERS.items()] + [(f"no {k}", t) for k, t in enumerate(("the license of a car", "permission to use the road is granted", "software and documentation", "see version 2.0", None, ""))]
+    found = {r["path"]: (r["licence"], r["score"]) for r in licences.stated(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {k: v for k, (v, _) in found.items()} == {k: k for k in HEADERS}
+    for path, text in rows:
+        score, _, name = plain_licence(text.replace("\r", "") if text else text)
+        assert found.get(path, (None, 0)) == (name, pytest.approx(-score, abs=1e-5)), path
+
+
+def test_licence_query_equals_a_walk_up_the_tree(spark, tmp_path):
+    rng, rows = random.Random(6), []
+    for k in range(400):
+        header = rng.choice((None, None, None, "Released under the MIT License.", "Licensed under CC BY 4.0.", HEADERS["GPL-3.0"]))
+        text = None if k % 50 == 0 else " ".join(filter(None, (prose("en", rng.choice((0, 3, 40))), "\n", header)))
+        rows.append((k, text, rng.choice(("en", "de", None)), f"s{k % 4}", "clash"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_licences(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    own, given, paths = {}, {}, {}
+    for k, text, lang, source, _ in rows:
+        paths[k] = "/".join([source, *([lang or "-"] if k % 3 > 0 else []), *([str(k % 16)] if k % 3 > 1 else []), str(k)])
+        score, _, name = plain_licence(text)
+        if name:
+            own[k] = name, -score
+    speaks = {r["path"]: r for r in licences.stated(spark.createDataFrame([(paths[k], t) for k, t, *_ in rows], "path string, text string")).collect() if r["share"] >= 0.5}
+    for path, r in speaks.items():
+        at = path.rpartition("/")[0]
+        given[at] = max(given.get(at, (0, "")), (r["score"], r["licence"]))
+    seen = Counter()
+    for k, path in paths.items():
+        at = path.rpartition("/")[0]
+        while at not in given and "/" in at:
+            at = at.rpartition("/")[0]
+        want = (own[k][0], "header", None) if k in own else (given[at][1], "inherited", at) if at in given else (None, "none", None)
+        assert (got[k]["licence"], got[k]["source"], got[k]["licence_dir"]) == want, path
+        seen[want[1], want[2] and path.rpartition("/")[0] != at] += 1
+    assert seen["inherited", True] > 0  # from an ancestor further up
+
+
 def test_needed_words_are_needed():
     _, _, rows = licences.template_vectors(licences.TEMPLATES)
     needed = set(licences.needed_words(rows, 0.8))
