@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 N_WIRES = (2400, 2400, 3456)
 N_TICKS = 6400
 ACTIVE = ((0.0, 255.0), (-116.0, 116.0), (10.0, 1036.0))
+#: Lines of the wire ends, offset and slope, and their limits; centimetres by tick.
+FIRST_ENDS = ((117.153, -0.34641, -115.505), (-115.213, 0.34641, 117.445))
+LAST_ENDS = ((715.8006, -0.34640, 117.445), (-713.8606, 0.34640, -115.505))
+FIRST_Z, LAST_Z, ACROSS = (-402.941, 0.6, 0.0352608), (0.541, 0.6, 1036.96), (0.25, 0.3)
+PLANE_X, UPRIGHT = (0.0, -0.3, -0.6), (-115.53, 117.47)
+TICK_OFFSET, TICK_CM = 800, 0.0548965
 #: Particle categories; their numbers aren't those of the hit classes.
 CATEGORIES = ("pion", "muon", "kaon", "proton", "electron", "michel", "delta", "other", "photon")
 
@@ -26,19 +32,19 @@ def point(x: float, y: Column, z: Column) -> Column:
 
 def wire_ends(plane: Column, wire: Column) -> tuple[Column, Column]:
     """Both ends (structs of x, y, z); an error for other planes and wires. The slopes of the two ends differ slightly."""
-    f = lambda v: F.lit(float(v))
     w = wire.cast("double")
-    start_z, end_z = F.greatest(f(-402.941) + f(0.6) * w, f(0.0352608)), F.least(f(0.541) + f(0.6) * w, f(1036.96))
-    across = f(0.25) + f(0.3) * w
+    line = lambda at: F.lit(at[0]) + F.lit(at[1]) * w
+    start_z, end_z = F.greatest(line(FIRST_Z), F.lit(FIRST_Z[2])), F.least(line(LAST_Z), F.lit(LAST_Z[2]))
+    (a, b), (c, d) = FIRST_ENDS, LAST_ENDS
     starts = (
-        point(0.0, F.greatest(f(117.153) - f(0.34641) * w, f(-115.505)), start_z),
-        point(-0.3, F.least(f(-115.213) + f(0.34641) * w, f(117.445)), start_z),
-        point(-0.6, f(-115.53), across),
+        point(PLANE_X[0], F.greatest(line(a), F.lit(a[2])), start_z),
+        point(PLANE_X[1], F.least(line(b), F.lit(b[2])), start_z),
+        point(PLANE_X[2], F.lit(UPRIGHT[0]), line(ACROSS)),
     )
     ends = (
-        point(0.0, F.least(f(715.8006) - f(0.34640) * w, f(117.445)), end_z),
-        point(-0.3, F.greatest(f(-713.8606) + f(0.34640) * w, f(-115.505)), end_z),
-        point(-0.6, f(117.47), across),
+        point(PLANE_X[0], F.least(line(c), F.lit(c[2])), end_z),
+        point(PLANE_X[1], F.greatest(line(d), F.lit(d[2])), end_z),
+        point(PLANE_X[2], F.lit(UPRIGHT[1]), line(ACROSS)),
     )
     wrong = F.raise_error(F.lit("no such plane or wire")).cast("struct<x:double,y:double,z:double>")
     out = []
@@ -71,7 +77,7 @@ def in_active_volume(x: Column, y: Column, z: Column) -> Column:
 
 
 def tick_to_x(tick: Column) -> Column:
-    return (tick - 800) * F.lit(0.0548965)
+    return (tick - TICK_OFFSET) * F.lit(TICK_CM)
 
 
 def category_name(index: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
+
 
 def even_ceil(v: Column) -> Column:
     c = F.ceil(v)
@@ -73,3 +75,25 @@ def resize(points: DataFrame, key: str = "row") -> DataFrame:
     wide = points.withColumn("x", F.explode(cells("px", "crop_w", "new_w"))).withColumn("y", F.explode(cells("py", "crop_h", "new_h")))
     area = (F.col("crop_w") / F.col("new_w")) * (F.col("crop_h") / F.col("new_h"))
     return wide.groupBy(key, F.col("x.c").alias("x"), F.col("y.c").alias("y")).agg(F.sum(F.col("v") * F.col("x.o") * F.col("y.o") / area).alias("value"))
+
+
+def crop_summary(windows: DataFrame, lit: DataFrame, by: str = "pct", key: str = "row") -> DataFrame:
+    """by, n, n_cropped, cropped_percent, zero_fraction: windows: from window(), with by; lit: by, key, n_lit (pixels that
+    aren't 0 in the frame). The zero fraction is the mean over frames of the share of their places without charge."""
+    zero = 1 - F.coalesce("n_lit", F.lit(0)) / (F.col("frame_w") * F.col("frame_h"))
+    rows = windows.join(lit, [by, key], "left")
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if("was_cropped").alias("n_cropped"), (100 * F.avg(F.col("was_cropped").cast("double"))).alias("cropped_percent"), F.avg(zero).alias("zero_fraction"))
+
+
+def downscale_summary(scaled: DataFrame, by: str = "pct") -> DataFrame:
+    """by, n, n_downscaled, downscaled_percent, and median and smallest factor of those (null if there are none); scaled:
+    from with_scale(), with by."""
+    small = F.col("was_downscaled")
+    counted = scaled.groupBy(by).agg(F.count("*").alias("n"), F.count_if(small).alias("n_downscaled"), (100 * F.avg(small.cast("double"))).alias("downscaled_percent"), F.min(F.when(small, F.col("downscale_factor"))).alias("min_factor"))
+    middle = quantiles(scaled.filter(small), "downscale_factor", (0.5,), (by,)).select(by, F.col("value").alias("median_factor"))
+    return counted.join(middle, by, "left")
+
+
+def with_raw(scaled: DataFrame, raw: DataFrame, key: str = "row", index: str = "raw_index") -> DataFrame:
+    """Rows of a table that was numbered anew, with the columns of the raw row that `index` names."""
+    return scaled.join(raw.withColumnRenamed(key, index), index, "left")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from math import log10
+from math import log10, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantiles
+
 
 def bin_of(v: Column, low: Column | float, high: Column | float, bins: int) -> Column:
     """0 .. bins-1; null outside low .. high."""
@@ -61,4 +63,44 @@ def integer(df: DataFrame, value: str) -> DataFrame:
 def binned_quartiles(df: DataFrame, x: str, y: str, low: float, high: float, bins: int, passes: Column) -> DataFrame:
     """bin, n, q25, q50, q75 of y and the share that passes, by bin of log10 x."""
     rows = df.filter(F.col(x) > 0).withColumn("bin", bin_of(F.log10(x), low, high, bins)).filter(F.col("bin").isNotNull())
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), *(F.percentile(y, q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.avg(passes.cast("double")).alias("pass_share"))
+    counted = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg(passes.cast("double")).alias("pass_share"))
+    cuts = quantiles(rows, y, (0.25, 0.5, 0.75), ("bin",)).groupBy("bin").agg(*(F.max(F.when(F.col("share") == q, F.col("value"))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    return counted.join(cuts, "bin", "left").select("bin", "n", "q25", "q50", "q75", "pass_share")
+
+
+def density(df: DataFrame, value: str, bins: int = 100, low: float | None = None, high: float | None = None) -> DataFrame:
+    """bin, centre, n, density of all bins of the range: the bars' areas add up to 1."""
+    if low is None or high is None:
+        low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    if low is None:
+        return fixed(df, value, bins, 0.0, 1.0).select("bin", F.lit(0.0).alias("centre"), "n", F.lit(0.0).alias("density"))
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    step = (high - low) / bins
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    rows = every.join(fixed(df, value, bins, low, high), "bin", "left").na.fill(0, ["n"])  # a row for each bin
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return rows.select("bin", (low + (F.col("bin") + 0.5) * step).alias("centre"), "n", F.try_divide(F.col("n"), total * F.lit(step)).alias("density"))
+
+
+def smooth_density(df: DataFrame, value: str, points: int = 100, grid: int = 2048) -> DataFrame:
+    """x, density of a Gaussian kernel estimate at `points` places, by Scott's bandwidth: std * n^(-1/5).
+
+    Values are counted in `grid` cells first; kernels stand at the cells' middles, so that the work after one pass is
+    points x grid numbers, whatever the rows. Without two different values there are no rows.
+    """
+    n, s, low, high = df.filter(F.col(value).isNotNull()).agg(F.count("*"), F.stddev_samp(value), F.min(value).cast("double"), F.max(value).cast("double")).first()
+    if not n or not s:
+        return df.limit(0).select(F.lit(0.0).alias("x"), F.lit(0.0).alias("density"))
+    width, step = s * n**-0.2, (high - low) / grid
+    cells = fixed(df, value, grid, low, high).select((low + (F.col("bin") + 0.5) * step).alias("c"), F.col("n").alias("k"))
+    ends = low - 3 * width, high + 3 * width
+    places = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(ends[0]) + i * ((ends[1] - ends[0]) / (points - 1)))
+    rows = cells.withColumn("x", F.explode(places))
+    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("c")) / width, F.lit(2.0)))
+    return rows.groupBy("x").agg((F.sum(F.col("k") * kernel) / (n * width * (2 * pi) ** 0.5)).alias("density"))
+
+
+def equal_weights(df: DataFrame, out: str = "weight") -> DataFrame:
+    """df with 1 / number of rows."""
+    return df.withColumn(out, F.lit(1.0 / max(df.count(), 1)))

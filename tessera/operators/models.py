@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -73,12 +74,104 @@ def autoencoder_scores(images: DataFrame, weights: dict[str, np.ndarray], frame:
     return images.select(key, px).mapInPandas(run, schema)
 
 
-def dense_reconstruct(layers: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """Dense layers with relu between and a sigmoid at the end."""
-    for k, (weight, bias) in enumerate(layers):
-        x = x @ weight + bias
-        x = np.maximum(x, 0) if k < len(layers) - 1 else 1 / (1 + np.exp(-x))
-    return x
+#: Widths of the dense autoencoders, the deep one and the simple one.
+DENSE_LAYERS = (784, 512, 256, 128, 64, 32, 16, 32, 64, 128, 256, 512, 784)
+SIMPLE_LAYERS = (784, 64, 784)
+
+
+def dense_parameter_count(widths: tuple[int, ...]) -> int:
+    return sum((a + 1) * b for a, b in zip(widths, widths[1:], strict=False))
+
+
+def dense_weights(widths: tuple[int, ...], seed: int = 0) -> dict[str, np.ndarray]:
+    rng, out = np.random.default_rng(seed), {}
+    for k, (a, b) in enumerate(zip(widths, widths[1:], strict=False)):
+        out[f"weight{k}"] = (rng.normal(size=(a, b)) * np.sqrt(2 / a)).astype(np.float32)
+        out[f"bias{k}"] = np.zeros(b, np.float32)
+    return out
+
+
+def dense_states(weights: dict[str, np.ndarray], x) -> list[np.ndarray]:
+    """The input and what each layer gives: relu between, a sigmoid at the end."""
+    states, n = [np.asarray(x, np.float32)], len(weights) // 2
+    for k in range(n):
+        a = states[-1] @ weights[f"weight{k}"] + weights[f"bias{k}"]
+        states.append(np.maximum(a, 0) if k < n - 1 else 1 / (1 + np.exp(-np.clip(a, -60, 60))))
+    return states
+
+
+def dense_reconstruct(weights: dict[str, np.ndarray], x) -> np.ndarray:
+    return dense_states(weights, x)[-1]
+
+
+def dense_gradients(weights: dict[str, np.ndarray], x) -> tuple[dict[str, np.ndarray], float]:
+    """Gradients of the summed losses, a loss being an image's mean squared error, and that sum."""
+    states, out = dense_states(weights, x), {}
+    miss = states[-1] - states[0]
+    back = 2 * miss / miss.shape[1] * states[-1] * (1 - states[-1])
+    for k in reversed(range(len(weights) // 2)):
+        out[f"weight{k}"], out[f"bias{k}"] = states[k].T @ back, back.sum(axis=0)
+        if k:
+            back = (back @ weights[f"weight{k}"].T) * (states[k] > 0)
+    return out, float((miss.astype(np.float64) ** 2).mean(axis=1).sum())
+
+
+def dense_scores(images: DataFrame, weights: dict[str, np.ndarray], key: str = "row", px: str = "px", step: int = 256) -> DataFrame:
+    """key, raw (mean squared error), inten (sum of pixels); the weights are broadcast."""
+    held = images.sparkSession.sparkContext.broadcast(weights)
+    schema = images.select(key).withColumns({"raw": F.lit(0.0), "inten": F.lit(0.0)}).schema
+
+    def run(frames):
+        for pdf in frames:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                x = np.array(part[px].tolist(), np.float32)
+                rec = dense_reconstruct(held.value, x)
+                yield pd.DataFrame({key: part[key], "raw": ((x - rec) ** 2).mean(axis=1, dtype=np.float64), "inten": x.sum(axis=1, dtype=np.float64)})
+
+    return images.select(key, px).mapInPandas(run, schema)
+
+
+def dense_fit(images: DataFrame, weights: dict[str, np.ndarray], steps: int = 20, rate: float = 1e-3, px: str = "px", batch: int = 256) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Adam on the mean loss over all images; new weights, and the loss before each step. Tasks add their gradients up, groups
+    of 64 tasks next, and the driver, which holds the weights, gets one sum for each array."""
+    rows, w = images.select(px), {k: v.copy() for k, v in weights.items()}
+    first, second, losses = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, []
+
+    def summed(held):
+        def run(frames):
+            total, loss, n = {}, 0.0, 0
+            for pdf in frames:
+                for start in range(0, len(pdf), batch):
+                    x = np.array(pdf[px].iloc[start : start + batch].tolist(), np.float32)
+                    found, lost = dense_gradients(held.value, x)
+                    total = {k: total[k] + v if total else v for k, v in found.items()}
+                    loss, n = loss + lost, n + len(x)
+            if n:
+                part = TaskContext.get().partitionId() // 64
+                yield pd.DataFrame([{"part": part, "name": k, "data": v.astype(np.float64).tobytes(), "loss": loss, "n": n} for k, v in total.items()])
+
+        return run
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.sum([np.frombuffer(x, np.float64) for x in pdf["data"]], axis=0)
+        return pd.DataFrame([{"part": pdf["part"].iloc[0], "name": pdf["name"].iloc[0], "data": data.tobytes(), "loss": pdf["loss"].sum(), "n": pdf["n"].sum()}])
+
+    schema = "part int, name string, data binary, loss double, n long"
+    for step in range(1, steps + 1):
+        held = images.sparkSession.sparkContext.broadcast(w)
+        found = rows.mapInPandas(summed(held), schema).groupBy("part", "name").applyInPandas(added, schema).groupBy("name").applyInPandas(added, schema).collect()
+        held.unpersist()
+        if not found:
+            break
+        losses.append(found[0]["loss"] / found[0]["n"])
+        for r in found:
+            g = (np.frombuffer(r["data"], np.float64).reshape(w[r["name"]].shape) / r["n"]).astype(np.float32)
+            a, b = first[r["name"]], second[r["name"]]
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            w[r["name"]] = w[r["name"]] - rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+    return w, losses
 
 
 def linear_autoencoder(images: DataFrame, k: int, px: str = "px"):

@@ -23,18 +23,73 @@ def running(counts: DataFrame, order: list[Column], sums: dict[str, str]) -> Dat
     return rows.withColumns({n: F.sum(c).over(within) + F.col(f"_{n}") for n, c in sums.items()}).drop("_p", *(f"_{n}" for n in sums))
 
 
+#: A value of over 1 / FREQUENT of the rows is frequent: there are at most so many, and they are broadcast.
+FREQUENT = 10_000
+
+
+def placed_values(df: DataFrame, value: str, weight: Column | None = None) -> DataFrame:
+    """_v, _n (rows), _to (rows up to it) of each distinct value, once; nulls left out. A stored table."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(n.alias("_n"))
+    return stored(running(counts, [F.col("_v")], {"_to": "_n"}).select("_v", "_n", "_to"))
+
+
+def attached(df: DataFrame, value: str, placed: DataFrame, out: str, what: Column) -> DataFrame:
+    """df with out, an expression over _n and _to of placed_values(); null where value is null.
+
+    Frequent values, FREQUENT at most, are broadcast, so that none of them is a hot key of the join.
+    """
+    total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    table = placed.select("_v", "_n", what.alias(out))
+    often = F.broadcast(table.filter(F.col("_n") * FREQUENT > total).drop("_n"))
+    rare = table.filter(F.col("_n") * FREQUENT <= total).drop("_n")
+    names = [*(c for c in df.columns if c != out), out]
+    known = df.filter(F.col(value).isNotNull()).drop(out)
+    hot = known.join(often, F.col(value) == often["_v"]).select(*names)
+    cold = known.join(often, F.col(value) == often["_v"], "left_anti").join(rare, F.col(value) == rare["_v"]).select(*names)
+    none = df.filter(F.col(value).isNull()).drop(out).withColumn(out, F.lit(None).cast(table.schema[out].dataType)).select(*names)
+    return hot.unionByName(cold).unionByName(none)
+
+
 def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average rank of value (ties share it), from 1; nulls have none."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranks = running(counts, [F.col("_v")], {"_to": "_n"}).select("_v", (F.col("_to") - (F.col("_n") - 1) / 2).alias(out))
-    return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
+    return attached(df, value, placed_values(df, value), out, F.col("_to") - (F.col("_n") - 1) / 2)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: the correlation of the average ranks; null if either has no variance."""
-    ranked = value_ranks(value_ranks(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), a, "_ra"), b, "_rb")
-    spread = F.stddev_pop("_ra") * F.stddev_pop("_rb")
-    return ranked.agg(F.try_divide(F.covar_pop("_ra", "_rb"), spread).alias("rho"))
+    """One row: the correlation of the average ranks; null if either has no variance. Equal pairs count together."""
+    pairs = stored(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_w")))
+    ranked = pairs
+    for c in ("_a", "_b"):
+        ranked = attached(ranked, c, placed_values(pairs, c, F.col("_w")), f"{c}r", F.col("_to") - (F.col("_n") - 1) / 2)
+    n = pairs.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
+    x, y = F.col("_ar") - (n + 1) / 2, F.col("_br") - (n + 1) / 2
+    sums = ranked.agg(F.sum(F.col("_w") * x * y).alias("xy"), F.sum(F.col("_w") * x * x).alias("xx"), F.sum(F.col("_w") * y * y).alias("yy"))
+    return sums.select(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, share, value: exact quantiles with linear interpolation, of each group; nulls don't count, groups without a value
+    give no row. No task holds a group: distinct values are counted, put in order by ranges, and two of them picked."""
+    counts = stored(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    earlier = Window.orderBy(*by, F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
+    totals = totals.withColumn("_first", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    ranked = running(counts, [*(F.col(c) for c in by), F.col("_v")], {"_to": "_n"})
+    rows = ranked.join(totals, list(by)) if by else ranked.join(F.broadcast(totals), F.col("_all").isNotNull())  # one row
+    at = lambda s: (F.col("_all") - 1) * F.lit(float(s))
+    to = F.col("_to") - F.col("_first")
+    holds = lambda k: (to > k) & (to - F.col("_n") <= k)
+    picks = F.array(*(F.struct(F.lit(float(s)).alias("share"), holds(F.floor(at(s))).alias("low"), holds(F.ceil(at(s))).alias("high"), (at(s) - F.floor(at(s))).alias("part")) for s in shares))
+    found = rows.withColumn("_p", F.explode(F.filter(picks, lambda x: x["low"] | x["high"])))
+    ends = found.groupBy(*by, F.col("_p.share").alias("share")).agg(F.max(F.when(F.col("_p.low"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_p.high"), F.col("_v"))).alias("_b"), F.max("_p.part").alias("_f"))
+    return ends.select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
+
+
+def quantile_values(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float | None]:
+    """The quantiles themselves, in the order of shares; None without a value."""
+    found = {r["share"]: r["value"] for r in quantiles(df, value, shares).collect()}
+    return [found.get(float(s)) for s in shares]
 
 
 def roc(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -59,8 +114,9 @@ def auc(df: DataFrame, score: str, positive: Column, by: tuple[str, ...] = ()) -
 
 def nearest_to(df: DataFrame, value: str, key: str, shares: tuple[float, ...]) -> DataFrame:
     """share, key, value of the row nearest to each quantile; of equally near ones the smallest key."""
-    q = df.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("q"))
-    marks = q.select(F.posexplode("q").alias("k", "at")).select(F.get(F.array(*map(F.lit, shares)), F.col("k")).alias("share"), "at").collect()
+    marks = [{"share": float(s), "at": q} for s, q in zip(shares, quantile_values(df, value, shares), strict=True) if q is not None]
+    if not marks:
+        return df.limit(0).select(F.lit(0.0).alias("share"), key, value)
     picks = df.agg(*(F.min(F.struct(F.abs(F.col(value) - r["at"]).alias("d"), F.col(key).alias("key"), F.col(value).alias("value"))).alias(f"p{k}") for k, r in enumerate(marks)))
     return picks.select(F.explode(F.array(*(F.struct(F.lit(r["share"]).alias("share"), F.col(f"p{k}.key").alias("key"), F.col(f"p{k}.value").alias("value")) for k, r in enumerate(marks)))).alias("r")).select("r.share", F.col("r.key").alias(key), F.col("r.value").alias(value))
 
@@ -74,7 +130,6 @@ def high_and_low(df: DataFrame, value: str, key: str, n: int = 3) -> DataFrame:
 
 def share_below(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the share of rows strictly below each value."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = value_ranks(df, value, "_r").join(n, F.col(value) == n["_v"], "left").drop("_v")
-    total = df.filter(F.col(value).isNotNull()).count()
-    return ranked.withColumn(out, (F.col("_r") - (F.col("_n") - 1) / 2 - 1) / F.lit(max(total, 1))).drop("_r", "_n")
+    placed = placed_values(df, value)
+    total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return attached(df, value, placed, out, (F.col("_to") - F.col("_n")) / F.lit(float(max(total, 1))))

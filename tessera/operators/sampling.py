@@ -10,14 +10,14 @@ from tessera.operators.ranking import value_ranks
 
 def mixed_key(key: Column, seed: int = 0) -> Column:
     """An arithmetic key that any SQL engine computes."""
-    return (key * 7919 + seed) % 104729
+    return F.pmod(F.pmod(key, F.lit(104729)) * 7919 + seed, F.lit(104729))
 
 
 def split(df: DataFrame, key: str, ratios: tuple[float, float] = (0.5, 0.1), seed: int = 42) -> DataFrame:
     """df with split: train, val or test by rank of the mixed key (then the key); sizes are rounded half to even."""
     n = df.count()
     a, b = round(n * ratios[0]), round(n * ratios[1])
-    order = mixed_key(F.col(key), seed).cast("long") * (1 << 40) + F.col(key)
+    order = F.struct(mixed_key(F.col(key), seed).cast("long"), F.col(key))
     ranked = value_ranks(df.withColumn("_o", order), "_o", "_r")
     return ranked.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test")).drop("_o", "_r")
 
@@ -49,3 +49,8 @@ def batches(df: DataFrame, key: str, size: int = 128) -> DataFrame:
 def whole_batches(n: int, size: int) -> int:
     """Rows to evaluate for a cap of n: evaluation stops after the batch that crosses it."""
     return -(-n // size) * size
+
+
+def pick(df: DataFrame, key: str, row: int | None = None, seed: int = 0) -> DataFrame:
+    """One row: that of key `row`, or the one whose hash with the seed is smallest; an empty frame if there is none."""
+    return df.filter(F.col(key) == row).limit(1) if row is not None else reservoir(df, key, 1, seed)

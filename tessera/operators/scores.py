@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import quantile_values, quantiles
+
 
 def total(px: Column) -> Column:
     return F.aggregate(px, F.lit(0.0), lambda s, v: s + v)
@@ -28,8 +32,7 @@ def spread(df: DataFrame, px: str) -> DataFrame:
 
 def percentiles(df: DataFrame, score: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99, 1.0)) -> DataFrame:
     """share, value; exact, with linear interpolation."""
-    row = df.agg(F.percentile(score, F.array(*map(F.lit, shares))).alias("q"))
-    return row.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("q").alias("value"))).alias("z")).select(F.col("z.share").alias("share"), F.col("z.value").alias("value"))
+    return quantiles(df, score, shares)
 
 
 def charge_normalised(df: DataFrame, raw: str = "raw", inten: str = "inten", bins: int = 40, least: int = 20) -> DataFrame:
@@ -41,15 +44,16 @@ def charge_normalised(df: DataFrame, raw: str = "raw", inten: str = "inten", bin
     """
     usable = (F.col(raw) > 0) & (F.col(inten) > 0)
     logs = df.filter(usable).select(F.log10(inten).alias("li"), F.log10(raw).alias("lr"))
-    found = logs.agg(F.percentile("li", F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q")).first()["q"]
-    edges = sorted(set(found or []))
+    edges = sorted({q for q in quantile_values(logs, "li", tuple(k / bins for k in range(bins + 1))) if q is not None})
     if len(edges) < 2:
         return df.withColumn("norm", F.lit(None).cast("double"))
     place = F.lit(0)
     for k, e in enumerate(edges[1:-1], 1):
         place = F.when(F.col("li") >= F.lit(e), k).otherwise(place)
-    rows = logs.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.percentile("li", 0.5).alias("x"), F.percentile("lr", 0.5).alias("y")).filter(F.col("n") >= least)
-    knots = sorted((r["x"], r["y"]) for r in rows.collect())
+    both = logs.select(place.alias("b"), F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("li").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("lr").alias("v")))).alias("p")).select("b", "p.axis", "p.v")
+    n = {r["b"]: r["n"] for r in both.filter("axis = 'x'").groupBy("b").agg(F.count("*").alias("n")).collect()}
+    middle = {(r["b"], r["axis"]): r["value"] for r in quantiles(both, "v", (0.5,), ("b", "axis")).collect()}
+    knots = sorted((middle[b, "x"], middle[b, "y"]) for b, k in n.items() if k >= least)
     if not knots:
         return df.withColumn("norm", F.lit(None).cast("double"))
     x = F.log10(inten)
@@ -75,15 +79,18 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 
 def clean_threshold(df: DataFrame, score: str, positive: Column, share: float = 0.95) -> float | None:
-    return df.filter(~positive).agg(F.percentile(score, share)).first()[0]
+    return quantile_values(df.filter(~positive), score, (share,))[0]
 
 
 def threshold_sweep(df: DataFrame, score: str, positive: Column, shares: tuple[float, ...] = (0.95, 0.99, 0.995, 0.999)) -> DataFrame:
-    """name, threshold and confusion() for the clean rows' percentiles, their maximum, and the middle of the gap to the positives."""
-    limits = df.agg(F.percentile(F.when(~positive, F.col(score)), F.array(*map(F.lit, shares))).alias("q"), F.max(F.when(~positive, F.col(score))).alias("most"), F.min(F.when(positive, F.col(score))).alias("least")).first()
-    if limits["most"] is None or limits["least"] is None:
-        raise ValueError("both classes are needed")
-    named = [*((f"p{s * 100:g}", v) for s, v in zip(shares, limits["q"], strict=True)), ("max_clean", limits["most"]), ("gap_midpoint", (limits["most"] + limits["least"]) / 2)]
+    """name, threshold and confusion() for the clean rows' percentiles, their maximum, and the middle of the gap to the
+    positives. Thresholds that need a class which has no score are left out."""
+    limits = df.agg(F.max(F.when(~positive, F.col(score))).alias("most"), F.min(F.when(positive, F.col(score))).alias("least")).first()
+    named = [(f"p{s * 100:g}", v) for s, v in zip(shares, quantile_values(df.filter(~positive), score, shares), strict=True)]
+    named += [("max_clean", limits["most"]), ("gap_midpoint", None if None in (limits["most"], limits["least"]) else (limits["most"] + limits["least"]) / 2)]
+    named = [(n, v) for n, v in named if v is not None]
+    if not named:
+        return confusion(df.limit(0), score, positive, 0.0).limit(0).select(F.lit("").alias("name"), F.lit(0.0).alias("threshold"), "*")
     at = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("threshold")) for n, v in named)))
     rows = df.select(F.col(score).alias("s"), positive.alias("p")).groupBy("s", "p").agg(F.count("*").alias("n")).withColumn("z", at)
     hit = F.col("s") > F.col("z.threshold")
@@ -110,11 +117,31 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 def class_medians(df: DataFrame, value: str, by: str, base: object) -> DataFrame:
     """by, median, ratio to the median of class `base`."""
-    rows = df.groupBy(by).agg(F.percentile(value, 0.5).alias("median"))
+    rows = quantiles(df, value, (0.5,), (by,)).select(by, F.col("value").alias("median"))
     every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a class
     return rows.withColumn("ratio", F.try_divide(F.col("median"), F.max(F.when(F.col(by) == base, F.col("median"))).over(every)))
 
 
+def medians(df: DataFrame, columns: Iterable[str], by: str) -> DataFrame:
+    """by and the median of each column by group, one row a group; null where a column has no value there."""
+    columns = list(columns)
+    long = df.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(by, "x.name", "x.v")
+    return quantiles(long, "v", (0.5,), (by, "name")).groupBy(by).pivot("name", columns).agg(F.first("value"))
+
+
+def above_floor(df: DataFrame, floor: float = 0.0, raw: str = "raw", inten: str = "inten") -> DataFrame:
+    """Rows that logarithms and ratios of scores can use: raw over the floor, and both positive."""
+    return df.filter((F.col(raw) > floor) & (F.col(raw) > 0) & (F.col(inten) > 0))
+
+
+def pool(df: DataFrame, name: str = "any") -> DataFrame:
+    """Rows of a named pool: any, neutrino (percent_nu over 50) or cropped (was_cropped)."""
+    pools = {"any": "true", "neutrino": "percent_nu > 50", "cropped": "cast(was_cropped as int) = 1"}
+    if name not in pools:
+        raise ValueError(f"one of {', '.join(pools)}, not {name}")
+    return df.filter(pools[name])
+
+
 def cut_purity(df: DataFrame, by: str, passes: Column) -> DataFrame:
     """selection (all, cut), by, n, share within the selection."""
     each = F.explode(F.when(passes, F.array(F.lit("all"), F.lit("cut"))).otherwise(F.array(F.lit("all"))))

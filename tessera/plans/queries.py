@@ -60,9 +60,10 @@ def binarize_pixels(spark, d):
     return V.cut_pixels(spark, d).withColumn("adc", P.binarise(F.col("adc")))
 
 
-@query("SELECT event_id, avg(CASE WHEN adc > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS lit_fraction FROM cut GROUP BY 1")
+@query("SELECT event_id, count(*) FILTER (WHERE adc > 0) / (3456 * 640) AS lit_fraction FROM cut GROUP BY 1")
 def binary_lit_fraction(spark, d):
-    return V.cut_pixels(spark, d).groupBy("event_id").agg(F.avg((P.binarise(F.col("adc")) > 0).cast("double")).alias("lit_fraction"))
+    """Of all places of the image, stored or not."""
+    return V.cut_pixels(spark, d).groupBy("event_id").agg((F.count_if(P.binarise(F.col("adc")) > 0) / (P.WIRES * P.TICKS)).alias("lit_fraction"))
 
 
 # tiles
@@ -107,16 +108,28 @@ def tile_keep_gt0(spark, d):
 THRESHOLDS = (0, 10, 25, 50, 100, 200, 500)
 
 
+#: Tiles of 18 x 16 of all events, those without a pixel with charge 0.
+EVERY = "(SELECT coalesce(t.charge, 0.0::DOUBLE) AS charge FROM (SELECT DISTINCT event_id FROM cut) e CROSS JOIN (SELECT unnest(range(7680)) AS tile_index) i LEFT JOIN tiles t ON t.event_id = e.event_id AND t.tile_index = i.tile_index)"
+
+
 @query(f"""SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (WHERE charge >= threshold) AS kept, count(*) AS total,
-  count(*) FILTER (WHERE charge >= threshold) / count(*) AS fraction FROM tiles, (SELECT unnest({list(THRESHOLDS)}) AS threshold) GROUP BY threshold""")
+  count(*) FILTER (WHERE charge >= threshold) / count(*) AS fraction FROM {EVERY}, (SELECT unnest({list(THRESHOLDS)}) AS threshold) GROUP BY threshold""")
 def threshold_scan(spark, d):
-    return T.threshold_scan(V.tiles(spark, d), THRESHOLDS)
+    return T.threshold_scan(V.tiles(spark, d), THRESHOLDS, V.SIZE)
+
+
+@query("SELECT CAST(count(DISTINCT event_id) * 7680 AS BIGINT) AS total FROM cut WHERE event_id BETWEEN 3 AND 6")
+def tile_count(spark, d):
+    return T.count_tiles(V.cut_pixels(spark, d), V.SIZE, only=(3, 4, 5, 6))
 
 
-@query("SELECT (SELECT count(*) FROM kept) AS kept, CAST(7680 * count(DISTINCT event_id) AS BIGINT) AS total, (SELECT count(*) FROM kept) / (7680 * count(DISTINCT event_id)) AS kept_fraction FROM cut")
+SIZES = " UNION ALL ".join(f"SELECT '{w}x{t}' AS size, {(3456 // w) * (640 // t)} AS each, charge FROM ({_catalog_sql(w, t)})" for w, t in P.TILE_SIZES)
+
+
+@query(f"SELECT size, count(*) FILTER (WHERE charge >= 50) AS kept, CAST(max(each) * (SELECT count(DISTINCT event_id) FROM cut) AS BIGINT) AS total, count(*) FILTER (WHERE charge >= 50) / (max(each) * (SELECT count(DISTINCT event_id) FROM cut)) AS kept_fraction FROM ({SIZES}) GROUP BY size")
 def kept_fraction(spark, d):
-    per = V.tiles(spark, d).groupBy("event_id").agg(F.count_if(F.col("charge") >= 50).alias("k"))
-    return per.agg(F.sum("k").alias("kept"), (F.count("*") * 7680).alias("total")).withColumn("kept_fraction", F.when(F.col("total") > 0, F.col("kept") / F.col("total")).otherwise(0.0))
+    cut = V.cut_pixels(spark, d)
+    return T.kept_shares(T.catalog_sizes(cut), cut)
 
 
 @query("SELECT c.event_id, c.wire, c.t, c.adc FROM cut c JOIN kept k ON k.event_id = c.event_id AND k.tile_index = (wire // 18) * 40 + t // 16 WHERE adc > 0")
@@ -130,10 +143,12 @@ def binary_map(spark, d):
     return V.kept_tiles(spark, d).select("event_id", P.tile_row(F.col("tile_index"), 16).alias("tile_row"), P.tile_col(F.col("tile_index"), 16).alias("tile_col"))
 
 
-@query("SELECT count(*) FILTER (WHERE charge > 0) AS n_lit, count(*) AS n, round(count(*) FILTER (WHERE charge > 0) / count(*), 6) AS lit_share FROM tiles")
+@query(f"SELECT count(*) FILTER (WHERE charge > 0) AS n_lit, count(*) AS n, round(count(*) FILTER (WHERE charge > 0) / count(*), 6) AS lit_share, round(count(*) FILTER (WHERE charge = 0) / count(*), 6) AS empty_share FROM {EVERY}")
 def nonempty_share(spark, d):
-    lit = F.col("charge") > 0
-    return rounded(V.tiles(spark, d).agg(F.count_if(lit).alias("n_lit"), F.count("*").alias("n"), F.avg(lit.cast("double")).alias("lit_share")), "lit_share")
+    """Of all tiles, those without a pixel included."""
+    per = V.tiles(spark, d).groupBy("event_id").agg(F.count_if(F.col("charge") > 0).alias("lit"))
+    row = per.agg(F.sum("lit").alias("n_lit"), (F.count("*") * T.tiles_per_event(V.SIZE)).alias("n"))
+    return rounded(row.withColumns({"lit_share": F.col("n_lit") / F.col("n"), "empty_share": 1 - F.col("n_lit") / F.col("n")}), "lit_share", "empty_share")
 
 
 # clusters
@@ -177,10 +192,10 @@ def pass1_summary(spark, d):
     return C.run_summary(V.clusters(spark, d), V.hits(spark, d))
 
 
-@query("SELECT quantile_cont(crop_w, 0.5) AS w50, quantile_cont(crop_w, 0.9) AS w90, max(crop_w) AS w_max, quantile_cont(crop_h, 0.5) AS h50, quantile_cont(crop_h, 0.9) AS h90, max(crop_h) AS h_max, quantile_cont(crop_w * crop_h, 0.5) AS area50 FROM kc")
+@query("SELECT quantile_cont(crop_w, 0.5) AS w50, quantile_cont(crop_w, 0.9) AS w90, quantile_cont(crop_w, 0.95) AS w95, max(crop_w) AS w_max, quantile_cont(crop_h, 0.5) AS h50, quantile_cont(crop_h, 0.9) AS h90, quantile_cont(crop_h, 0.95) AS h95, max(crop_h) AS h_max, quantile_cont(crop_w * crop_h, 0.5) AS area50, max(crop_w * crop_h) AS area_max FROM kc")
 def cluster_size_stats(spark, d):
     q = lambda c, s: F.percentile(c, s)
-    return V.kept_clusters(spark, d).agg(q("crop_w", 0.5).alias("w50"), q("crop_w", 0.9).alias("w90"), F.max("crop_w").alias("w_max"), q("crop_h", 0.5).alias("h50"), q("crop_h", 0.9).alias("h90"), F.max("crop_h").alias("h_max"), q(F.col("crop_w") * F.col("crop_h"), 0.5).alias("area50"))
+    return V.kept_clusters(spark, d).agg(q("crop_w", 0.5).alias("w50"), q("crop_w", 0.9).alias("w90"), q("crop_w", 0.95).alias("w95"), F.max("crop_w").alias("w_max"), q("crop_h", 0.5).alias("h50"), q("crop_h", 0.9).alias("h90"), q("crop_h", 0.95).alias("h95"), F.max("crop_h").alias("h_max"), q(F.col("crop_w") * F.col("crop_h"), 0.5).alias("area50"), F.max(F.col("crop_w") * F.col("crop_h")).alias("area_max"))
 
 
 @query("SELECT row, wire_lo, wire_hi, time_lo, time_hi, crop_w, crop_h FROM kc")
@@ -196,8 +211,7 @@ def cluster_charge(spark, d):
 # frames
 
 
-def _windows(spark, d) -> DataFrame:
-    found = V.kept_clusters(spark, d)
+def _windows(found: DataFrame) -> DataFrame:
     return frames.window(found.join(F.broadcast(frames.pad_targets(found)), F.col("pct").isNotNull()))  # two rows of targets
 
 
@@ -208,7 +222,7 @@ def pad_targets(spark, d):
 
 @query("SELECT row, pct, win_w_lo, win_w_hi, win_h_lo, win_h_hi, pad_w, pad_h, was_cropped FROM wins")
 def crop_window(spark, d):
-    return _windows(spark, d).select("row", "pct", "win_w_lo", "win_w_hi", "win_h_lo", "win_h_hi", "pad_w", "pad_h", "was_cropped")
+    return _windows(stored(V.kept_clusters(spark, d))).select("row", "pct", "win_w_lo", "win_w_hi", "win_h_lo", "win_h_hi", "pad_w", "pad_h", "was_cropped")
 
 
 @query("""SELECT w.row, CASE WHEN was_cropped THEN (win_w_hi - win_w_lo) * (win_h_hi - win_h_lo) / (crop_w * crop_h) ELSE 1.0::DOUBLE END AS frac_area_kept,
@@ -216,8 +230,9 @@ def crop_window(spark, d):
   SELECT w.row, sum(adc) AS q, coalesce(sum(adc) FILTER (WHERE wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi), 0) AS k
   FROM wins w JOIN cpix USING (row) WHERE pct = 50 GROUP BY 1) USING (row) WHERE pct = 50""")
 def frac_kept(spark, d):
-    win = _windows(spark, d).filter("pct = 50")
-    points = V.cluster_pixels(spark, d).select("row", "wire", "t", "adc").join(win, "row")
+    found = stored(V.kept_clusters(spark, d))
+    win = _windows(found).filter("pct = 50")
+    points = V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc").join(win, "row")
     kept = frames.framed(points).groupBy("row").agg(F.sum("adc").alias("k"))
     charges = points.groupBy("row").agg(F.sum("adc").alias("total_charge")).join(kept, "row", "left").select("row", "total_charge", F.coalesce("k", F.lit(0.0)).alias("kept_charge"))
     return frames.kept_shares(win, charges)
@@ -239,7 +254,7 @@ SCALED = """SELECT *, greatest(1, least(frame_w, CAST(round_even(crop_w * f, 0)
 
 @query(f"SELECT row, round(f, 6) AS downscale_factor, new_w, new_h, f < 1 AS was_downscaled FROM ({SCALED})")
 def downscale_factor(spark, d):
-    return rounded(frames.with_scale(_windows(spark, d).filter("pct = 50")).select("row", "downscale_factor", "new_w", "new_h", "was_downscaled"), "downscale_factor")
+    return rounded(frames.with_scale(_windows(stored(V.kept_clusters(spark, d))).filter("pct = 50")).select("row", "downscale_factor", "new_w", "new_h", "was_downscaled"), "downscale_factor")
 
 
 @query(f"""SELECT row, x, y, round(sum(adc * (least(px + 1, (x + 1) * sw) - greatest(px, x * sw)) * (least(py + 1, (y + 1) * sh) - greatest(py, y * sh)) / (sw * sh)), 4) AS value FROM (
@@ -247,45 +262,121 @@ def downscale_factor(spark, d):
   SELECT s.row, c.wire - s.wire_lo AS px, c.t - s.time_lo AS py, c.adc, new_w, new_h, crop_w / new_w AS sw, crop_h / new_h AS sh FROM ({SCALED}) s JOIN cpix c USING (row))) q,
   LATERAL (SELECT unnest(range(CAST(floor(q.py / q.sh + 1e-12) AS BIGINT), CAST(least(q.new_h - 1, ceil((q.py + 1) / q.sh - 1e-12) - 1) AS BIGINT) + 1)) AS y) GROUP BY 1, 2, 3""")
 def area_resize(spark, d):
-    scaled = frames.with_scale(_windows(spark, d).filter("pct = 50")).select("row", "crop_w", "crop_h", "new_w", "new_h")
-    points = V.cluster_pixels(spark, d).select("row", (F.col("wire") - F.col("wire_lo")).alias("px"), (F.col("t") - F.col("time_lo")).alias("py"), F.col("adc").alias("v")).join(scaled, "row")
+    found = stored(V.kept_clusters(spark, d))
+    scaled = frames.with_scale(_windows(found).filter("pct = 50")).select("row", "crop_w", "crop_h", "new_w", "new_h")
+    points = V.cluster_pixels(spark, d, found).select("row", (F.col("wire") - F.col("wire_lo")).alias("px"), (F.col("t") - F.col("time_lo")).alias("py"), F.col("adc").alias("v")).join(scaled, "row")
     return rounded(frames.resize(points), "value", places=4)
 
 
+FRAMED = "SELECT w.pct, w.row, c.wire - wire_lo - win_w_lo + pad_w AS frame_x, c.t - time_lo - win_h_lo + pad_h AS frame_y, c.adc FROM wins w JOIN cpix c ON w.row = c.row AND wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi"
+
+
+def _framed(spark, d, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows, and the pixels that they keep with their places in the frames."""
+    win = _windows(found)
+    points = V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc").join(win, "row")
+    return win, frames.framed(points).select("pct", "row", "frame_x", "frame_y", "adc")
+
+
+@query(FRAMED)
+def frame_places(spark, d):
+    return _framed(spark, d, stored(V.kept_clusters(spark, d)))[1]
+
+
+@query(f"""SELECT w.pct, count(*) AS n, count(*) FILTER (WHERE was_cropped) AS n_cropped, round(100 * avg(CAST(was_cropped AS DOUBLE)), 6) AS cropped_percent,
+  round(avg(1 - coalesce(f.n, 0) / (frame_w * frame_h)), 6) AS zero_fraction FROM wins w LEFT JOIN (SELECT pct, row, count(*) AS n FROM ({FRAMED}) GROUP BY 1, 2) f ON f.pct = w.pct AND f.row = w.row GROUP BY 1""")
+def crop_summary(spark, d):
+    win, points = _framed(spark, d, stored(V.kept_clusters(spark, d)))
+    return rounded(frames.crop_summary(win, points.groupBy("pct", "row").agg(F.count("*").alias("n_lit"))), "cropped_percent", "zero_fraction")
+
+
+@query("""SELECT pct, count(*) AS n, count(*) FILTER (WHERE f < 1) AS n_downscaled, round(100 * avg(CAST(f < 1 AS DOUBLE)), 6) AS downscaled_percent, round(min(f) FILTER (WHERE f < 1), 6) AS min_factor,
+  round(quantile_cont(f, 0.5) FILTER (WHERE f < 1), 6) AS median_factor FROM (SELECT pct, least(1.0::DOUBLE, frame_w / crop_w, frame_h / crop_h) AS f FROM wins) GROUP BY 1""")
+def downscale_summary(spark, d):
+    scaled = stored(frames.with_scale(_windows(stored(V.kept_clusters(spark, d)))))
+    return rounded(frames.downscale_summary(scaled), "downscaled_percent", "min_factor", "median_factor")
+
+
+@query("SELECT k.row, wire - wire_lo AS x, t - time_lo AS y, adc FROM kc k JOIN cpix USING (row)")
+def ragged_roundtrip(spark, d):
+    """Crops as flat arrays of their own lengths, and back."""
+    found = stored(V.kept_clusters(spark, d))
+    points = V.cluster_pixels(spark, d, found).select("row", "crop_w", "crop_h", (F.col("wire") - F.col("wire_lo")).alias("x"), (F.col("t") - F.col("time_lo")).alias("y"), "adc")
+    return T.unpacked(T.packed(points)).withColumn("x", F.col("x").cast("long"))
+
+
+@query("SELECT row, sum(crop_w * crop_h) OVER (ORDER BY row) - crop_w * crop_h AS start, sum(crop_w * crop_h) OVER (ORDER BY row) AS stop FROM (SELECT row, CAST(crop_w * crop_h AS BIGINT) AS crop_w, 1 AS crop_h FROM kc WHERE row IN (SELECT row FROM cpix))")
+def ragged_offsets(spark, d):
+    found = stored(V.kept_clusters(spark, d))
+    points = V.cluster_pixels(spark, d, found).select("row", "crop_w", "crop_h", (F.col("wire") - F.col("wire_lo")).alias("x"), (F.col("t") - F.col("time_lo")).alias("y"), "adc")
+    return T.offsets(stored(T.packed(points)))
+
+
+@query("SELECT row_number() OVER (ORDER BY row) AS row, row AS raw_index, n_tiles, event_id FROM kc WHERE n_tiles >= 5")
+def raw_index_lookup(spark, d):
+    """A table of the larger clusters, numbered anew, with columns of the raw rows."""
+    found = stored(V.kept_clusters(spark, d))
+    scaled = ranking.value_ranks(found.filter("n_tiles >= 5").select(F.col("row").alias("raw_index")), "raw_index", "row").withColumn("row", F.col("row").cast("long"))
+    return frames.with_raw(scaled, found.select("row", "n_tiles", "event_id")).select("row", "raw_index", "n_tiles", "event_id")
+
+
+@query("SELECT row, (r - 1) // 6 AS grid_row, (r - 1) % 6 AS grid_col, (r - 1) % 6 * (w + 1) AS left, (r - 1) // 6 * (h + 1) AS top FROM (SELECT row, row_number() OVER (ORDER BY row) AS r, max(crop_w) OVER () AS w, max(crop_h) OVER () AS h FROM kc)")
+def montage_places(spark, d):
+    return T.montage(stored(V.kept_clusters(spark, d)), "row", 6).select("row", "grid_row", "grid_col", "left", "top")
+
+
 # features
 
 
 def _geometry_sql(source: str) -> str:
     """Two passes: the weighted mean, then centred moments."""
-    return f"""SELECT row, n_points, total_charge, bbox_w, bbox_h, round(CASE WHEN l1 + l2 > 1e-9 THEN l1 / (l1 + l2) ELSE 1.0 END, 6) AS linearity,
+    return f"""SELECT row, n_points, total_charge, bbox_w, bbox_h, round(CASE WHEN l1 + l2 > 1e-9 THEN l1 / (l1 + l2) ELSE 1.0 END, 6) AS linearity, bbox_w * bbox_h AS bbox_area, round(bbox_w / bbox_h, 6) AS aspect_ratio,
+  CASE WHEN CASE WHEN l1 + l2 > 1e-9 THEN l1 / (l1 + l2) ELSE 1.0 END >= 0.9 THEN 1 ELSE 2 END AS n_pca_90, round(n_points / frame_area, 6) AS fill_frac, round(sqrt(l2), 4) AS pca_len2,
+  round(CASE WHEN l1 + l2 > 1e-9 THEN CASE WHEN a >= 90 THEN a - 180 WHEN a < -90 THEN a + 180 ELSE a END END, 3) AS pca_angle_deg,
   round(top / total_charge, 6) AS charge_conc, round(n_points / (bbox_w * bbox_h), 6) AS hit_density, round(total_charge / n_points, 6) AS charge_mean, charge_max,
   round(charge_std, 6) AS charge_std, n_saturated, round(sqrt(l1), 4) AS pca_len1, round(mw, 6) AS centroid_wire, round(mt, 6) AS centroid_time FROM (
+  SELECT *, degrees(atan2(swt, l1 - stt)) AS a FROM (
   SELECT *, (sww + stt) / 2 + sqrt(pow((sww - stt) / 2, 2) + swt * swt) AS l1, greatest(0.0, (sww + stt) / 2 - sqrt(pow((sww - stt) / 2, 2) + swt * swt)) AS l2 FROM (
-  SELECT row, n_points, q AS total_charge, mw, mt, max(wire) - min(wire) + 1 AS bbox_w, max(t) - min(t) + 1 AS bbox_h, sum(adc / q * (wire - mw) * (wire - mw)) AS sww,
+  SELECT row, n_points, q AS total_charge, mw, mt, max(frame_area) AS frame_area, max(wire) - min(wire) + 1 AS bbox_w, max(t) - min(t) + 1 AS bbox_h, sum(adc / q * (wire - mw) * (wire - mw)) AS sww,
     sum(adc / q * (t - mt) * (t - mt)) AS stt, sum(adc / q * (wire - mw) * (t - mt)) AS swt, max(adc) AS charge_max, stddev_pop(adc) AS charge_std, count(*) FILTER (WHERE adc >= 100) AS n_saturated,
     sum(CASE WHEN r <= greatest(1, ceil(0.1::DOUBLE * n_points)) THEN adc ELSE 0.0::DOUBLE END) AS top FROM (
   SELECT *, row_number() OVER (PARTITION BY row ORDER BY adc DESC, wire, t) AS r, count(*) OVER (PARTITION BY row) AS n_points, sum(adc) OVER (PARTITION BY row) AS q,
-    sum(adc * wire) OVER (PARTITION BY row) / sum(adc) OVER (PARTITION BY row) AS mw, sum(adc * t) OVER (PARTITION BY row) / sum(adc) OVER (PARTITION BY row) AS mt FROM ({source})) GROUP BY ALL))"""
+    sum(adc * wire) OVER (PARTITION BY row) / sum(adc) OVER (PARTITION BY row) AS mw, sum(adc * t) OVER (PARTITION BY row) / sum(adc) OVER (PARTITION BY row) AS mt FROM ({source})) GROUP BY row, n_points, q, mw, mt)))"""
+
+
+SHAPES = ["n_points", "total_charge", "bbox_w", "bbox_h", "bbox_area", "aspect_ratio", "linearity", "n_pca_90", "charge_conc", "hit_density", "fill_frac", "charge_mean", "charge_max", "charge_std", "n_saturated", "pca_len1", "pca_len2", "pca_angle_deg", "centroid_wire", "centroid_time"]
+EXACT = ("aspect_ratio", "linearity", "charge_conc", "hit_density", "fill_frac", "charge_mean", "charge_std", "centroid_wire", "centroid_time")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rounded(rounded(rounded(rows, *EXACT), "pca_len1", "pca_len2", places=4), "pca_angle_deg", places=3)
 
 
 def _shapes(points: DataFrame) -> DataFrame:
-    found = features.geometry(points)
-    out = found.select("row", "n_points", "total_charge", "bbox_w", "bbox_h", "linearity", "charge_conc", "hit_density", "charge_mean", "charge_max", "charge_std", "n_saturated", "pca_len1", "centroid_wire", "centroid_time")
-    return rounded(rounded(out, "linearity", "charge_conc", "hit_density", "charge_mean", "charge_std", "centroid_wire", "centroid_time"), "pca_len1", places=4)
+    return _shown(features.geometry(points).select("row", *SHAPES))
+
 
+RAW_POINTS = "SELECT c.*, crop_w * crop_h AS frame_area FROM cpix c JOIN kc USING (row)"
 
-@query(_geometry_sql("SELECT * FROM cpix"))
+
+@query(_geometry_sql(RAW_POINTS))
 def geom_features_raw(spark, d):
-    return _shapes(V.cluster_pixels(spark, d).withColumn("frame_area", F.col("crop_w") * F.col("crop_h")))
+    return _raw_shapes(spark, d, V.kept_clusters(spark, d))
+
+
+def _raw_shapes(spark, d, found: DataFrame) -> DataFrame:
+    points = V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc", (F.col("crop_w") * F.col("crop_h")).alias("frame_area"))
+    return _shapes(stored(points))  # read three times
 
 
 def _padded_sql(pct: int) -> str:
-    return _geometry_sql(f"SELECT c.* FROM cpix c JOIN wins w ON w.row = c.row AND pct = {pct} AND wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi")
+    return _geometry_sql(f"SELECT c.*, frame_w * frame_h AS frame_area FROM cpix c JOIN wins w ON w.row = c.row AND pct = {pct} AND wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi")
 
 
 def _padded(spark, d, pct: int) -> DataFrame:
-    points = V.cluster_pixels(spark, d).select("row", "wire", "t", "adc").join(_windows(spark, d).filter(F.col("pct") == pct), "row")
-    return _shapes(frames.framed(points).withColumn("frame_area", F.col("frame_w") * F.col("frame_h")))
+    found = stored(V.kept_clusters(spark, d))
+    points = V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc").join(_windows(found).filter(F.col("pct") == pct), "row")
+    return _shapes(stored(frames.framed(points).select("row", "wire", "t", "adc", (F.col("frame_w") * F.col("frame_h")).alias("frame_area"))))
 
 
 @query(_padded_sql(50))
@@ -320,8 +411,9 @@ TRUTH = """SELECT k.row, CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(n, 0
     count(*) FILTER (WHERE class = 3) AS c3, count(*) FILTER (WHERE class = 4) AS c4 FROM kc k JOIN thits h ON h.event_id = k.event_id AND wire >= wire_lo AND wire < wire_hi AND t >= time_lo AND t < time_hi GROUP BY 1) x ON x.row = k.row"""
 
 
-def _truth(spark, d) -> DataFrame:
-    hits, found = V.true_hits(spark, d), V.kept_clusters(spark, d)
+def _truth(spark, d, found: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    hits = stored(V.true_hits(spark, d)) if hits is None else hits
+    found = stored(V.kept_clusters(spark, d)) if found is None else found
     members = C.inside(found.select("row", "event_id", *BOX), hits.select("event_id", "wire", "t", "charge", "share", "class"))
     return rounded(rounded(H.cluster_truth(members, found, hits), "percent_nu", "percent_nu_hits"), "nu_charge", places=2)
 
@@ -350,14 +442,16 @@ def purity_classes(spark, d):
 
 VERTEX = """SELECT k.row, n.is_cc, round(n.nu_energy_gev, 6) AS nu_energy_gev, n.nu_vtx_wire, n.nu_vtx_time, round(m.mw - nu_vtx_wire, 6) AS vtx_dwire, round(m.mt - nu_vtx_time, 6) AS vtx_dtime,
   round(sqrt(pow(m.mw - nu_vtx_wire, 2) + pow(m.mt - nu_vtx_time, 2)), 6) AS vtx_dist,
-  coalesce(CAST(nu_vtx_wire >= wire_lo AND nu_vtx_wire < wire_hi AND nu_vtx_time >= time_lo AND nu_vtx_time < time_hi AS INTEGER), -1) AS vtx_in_frame
-  FROM kc k LEFT JOIN nus n ON n.event_id = k.event_id LEFT JOIN (SELECT row, sum(adc * wire) / sum(adc) AS mw, sum(adc * t) / sum(adc) AS mt FROM cpix GROUP BY 1) m ON m.row = k.row"""
+  CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(CAST(nu_vtx_wire >= wire_lo AND nu_vtx_wire < wire_hi AND nu_vtx_time >= time_lo AND nu_vtx_time < time_hi AS INTEGER), -1) END AS vtx_in_frame
+  FROM kc k LEFT JOIN (SELECT DISTINCT event_id FROM thits) e ON e.event_id = k.event_id LEFT JOIN nus n ON n.event_id = k.event_id LEFT JOIN (SELECT row, sum(adc * wire) / sum(adc) AS mw, sum(adc * t) / sum(adc) AS mt FROM cpix GROUP BY 1) m ON m.row = k.row"""
 
 
-def _vertices(spark, d) -> DataFrame:
-    middle = V.cluster_pixels(spark, d).groupBy("row").agg(G.barycentre(F.col("wire"), F.col("adc")).alias("centroid_wire"), G.barycentre(F.col("t"), F.col("adc")).alias("centroid_time"))
-    rows = V.kept_clusters(spark, d).join(middle, "row", "left")
-    out = H.vertices(rows, V.neutrinos(spark, d)).select("row", "is_cc", "nu_energy_gev", "nu_vtx_wire", "nu_vtx_time", "vtx_dwire", "vtx_dtime", "vtx_dist", "vtx_in_frame")
+def _vertices(spark, d, found: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+    hits = V.true_hits(spark, d) if hits is None else hits
+    found = stored(V.kept_clusters(spark, d)) if found is None else found
+    middle = V.cluster_pixels(spark, d, found).groupBy("row").agg(G.barycentre(F.col("wire"), F.col("adc")).alias("centroid_wire"), G.barycentre(F.col("t"), F.col("adc")).alias("centroid_time"))
+    rows = found.join(middle, "row", "left")
+    out = H.vertices(rows, V.neutrinos(spark, d), hits).select("row", "is_cc", "nu_energy_gev", "nu_vtx_wire", "nu_vtx_time", "vtx_dwire", "vtx_dtime", "vtx_dist", "vtx_in_frame")
     return rounded(out, "nu_energy_gev", "vtx_dwire", "vtx_dtime", "vtx_dist")
 
 
@@ -367,11 +461,12 @@ def event_vertex_join(spark, d):
 
 
 @query(f"""SELECT k.row, k.cluster_id, k.event_id AS source_event_index, k.n_tiles, k.wire_lo, k.wire_hi, k.time_lo, k.time_hi, k.crop_w, k.crop_h, g.* EXCLUDE (row), t.* EXCLUDE (row), v.* EXCLUDE (row)
-  FROM kc k LEFT JOIN ({_geometry_sql("SELECT * FROM cpix")}) g ON g.row = k.row LEFT JOIN ({TRUTH}) t ON t.row = k.row LEFT JOIN ({VERTEX}) v ON v.row = k.row""")
+  FROM kc k LEFT JOIN ({_geometry_sql(RAW_POINTS)}) g ON g.row = k.row LEFT JOIN ({TRUTH}) t ON t.row = k.row LEFT JOIN ({VERTEX}) v ON v.row = k.row""")
 def truth_table(spark, d):
-    base = V.kept_clusters(spark, d).select("row", "cluster_id", F.col("event_id").alias("source_event_index"), "n_tiles", *BOX, "crop_w", "crop_h")
-    shapes = geom_features_raw(spark, d)
-    return base.join(shapes, "row", "left").join(_truth(spark, d), "row", "left").join(_vertices(spark, d), "row", "left")
+    found, hits = stored(V.kept_clusters(spark, d)), stored(V.true_hits(spark, d))
+    base = found.select("row", "cluster_id", F.col("event_id").alias("source_event_index"), "n_tiles", *BOX, "crop_w", "crop_h")
+    shapes = _raw_shapes(spark, d, found)
+    return base.join(shapes, "row", "left").join(_truth(spark, d, found, hits), "row", "left").join(_vertices(spark, d, found, hits), "row", "left")
 
 
 @query("""SELECT event_id, tile_index, count(*) AS n_tracks FROM (SELECT h.event_id, (wire // 18) * 40 + t // 16 AS tile_index, g4_id FROM thits h WHERE g4_id IS NOT NULL
@@ -391,19 +486,44 @@ def hit_tally(spark, d):
     return full.hit_tally(V.kept_clusters(spark, d), V.true_hits(spark, d))
 
 
-@query(f"""SELECT w.row, crop_w, crop_h, frame_w, frame_h, was_cropped, g.* EXCLUDE (row), n_hits, hit_charge, nu_charge, percent_nu, dominant_class FROM wins w LEFT JOIN ({_padded_sql(50)}) g ON g.row = w.row
-  LEFT JOIN (SELECT w.row, CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(n, 0) END AS n_hits, CAST(coalesce(q, 0) AS BIGINT) AS hit_charge, round(coalesce(nu, 0), 2) AS nu_charge,
-    round(CASE WHEN q > 0 THEN 100 * nu / q END, 6) AS percent_nu, CASE WHEN n > 0 THEN CASE greatest(c0, c1, c2, c3, c4) WHEN c0 THEN 0 WHEN c1 THEN 1 WHEN c2 THEN 2 WHEN c3 THEN 3 ELSE 4 END ELSE -1 END AS dominant_class
-    FROM kc w LEFT JOIN (SELECT DISTINCT event_id FROM thits) e ON e.event_id = w.event_id LEFT JOIN (
+def _variant_sql(pct: int) -> str:
+    """Truth columns of what one variant's frames keep; pct 0 for the crops as they are."""
+    inside = "wire >= wire_lo AND wire < wire_hi AND t >= time_lo AND t < time_hi"
+    if pct:
+        inside = "wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi"
+    source = f"(SELECT * FROM wins WHERE pct = {pct})" if pct else "(SELECT *, crop_w AS frame_w, crop_h AS frame_h, 0 AS win_w_lo, crop_w AS win_w_hi, 0 AS win_h_lo, crop_h AS win_h_hi, false AS was_cropped FROM kc)"
+    return f"""SELECT w.row, w.cluster_id, w.event_id AS source_event_index, w.n_tiles, crop_w, crop_h, frame_w, frame_h, was_cropped, g.* EXCLUDE (row),
+    round(CASE WHEN was_cropped THEN (win_w_hi - win_w_lo) * (win_h_hi - win_h_lo) / (crop_w * crop_h) ELSE 1.0::DOUBLE END, 6) AS frac_area_kept,
+    round(CASE WHEN NOT was_cropped THEN 1.0::DOUBLE WHEN a.q > 0 THEN coalesce(g.total_charge, 0) / a.q END, 6) AS frac_charge_kept,
+    CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(x.n, 0) END AS n_hits, CAST(coalesce(x.q, 0) AS BIGINT) AS hit_charge, round(coalesce(x.nu, 0), 2) AS nu_charge,
+    round(CASE WHEN x.q > 0 THEN 100 * x.nu / x.q END, 6) AS percent_nu, round(CASE WHEN x.n > 0 THEN 100.0::DOUBLE * (x.n - c0) / x.n END, 6) AS percent_nu_hits,
+    coalesce(c0, 0) AS n_hits_cosmic, coalesce(c1, 0) AS n_hits_other, coalesce(c2, 0) AS n_hits_muon, coalesce(c3, 0) AS n_hits_pion, coalesce(c4, 0) AS n_hits_proton,
+    CASE WHEN x.n > 0 THEN CASE greatest(c0, c1, c2, c3, c4) WHEN c0 THEN 0 WHEN c1 THEN 1 WHEN c2 THEN 2 WHEN c3 THEN 3 ELSE 4 END ELSE -1 END AS dominant_class,
+    coalesce(l.is_nu_tile, 0) AS is_nu_tile, nu_pdg, round(nu_energy_gev, 6) AS nu_energy_gev, is_cc, nu_vtx_wire, nu_vtx_time,
+    CASE WHEN e.event_id IS NULL THEN -1 ELSE coalesce(CAST(nu_vtx_wire - wire_lo >= win_w_lo AND nu_vtx_wire - wire_lo < win_w_hi AND nu_vtx_time - time_lo >= win_h_lo AND nu_vtx_time - time_lo < win_h_hi AS INTEGER), -1) END AS vtx_in_frame,
+    round(mw0 - nu_vtx_wire, 6) AS vtx_dwire, round(mt0 - nu_vtx_time, 6) AS vtx_dtime, round(sqrt(pow(mw0 - nu_vtx_wire, 2) + pow(mt0 - nu_vtx_time, 2)), 6) AS vtx_dist
+    FROM {source} w LEFT JOIN ({_padded_sql(pct) if pct else _geometry_sql(RAW_POINTS)}) g ON g.row = w.row LEFT JOIN (SELECT row, sum(adc) AS q FROM cpix GROUP BY 1) a ON a.row = w.row
+    LEFT JOIN (SELECT DISTINCT event_id FROM thits) e ON e.event_id = w.event_id LEFT JOIN (
     SELECT k.row, count(*) AS n, sum(charge) AS q, sum(charge * share) AS nu, count(*) FILTER (WHERE class = 0) AS c0, count(*) FILTER (WHERE class = 1) AS c1, count(*) FILTER (WHERE class = 2) AS c2,
-      count(*) FILTER (WHERE class = 3) AS c3, count(*) FILTER (WHERE class = 4) AS c4 FROM wins k JOIN thits h ON pct = 50 AND h.event_id = k.event_id AND wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi
-      AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi GROUP BY 1) x ON x.row = w.row) u ON u.row = w.row WHERE pct = 50""")
+      count(*) FILTER (WHERE class = 3) AS c3, count(*) FILTER (WHERE class = 4) AS c4 FROM {source} k JOIN thits h ON h.event_id = k.event_id AND {inside} GROUP BY 1) x ON x.row = w.row
+    LEFT JOIN (SELECT k.row, 1 AS is_nu_tile FROM kc k JOIN thits h ON h.event_id = k.event_id AND class <> 0 AND wire >= wire_lo AND wire < wire_hi AND t >= time_lo AND t < time_hi GROUP BY 1) l ON l.row = w.row
+    LEFT JOIN nus n ON n.event_id = w.event_id LEFT JOIN (SELECT row, sum(adc * wire) / sum(adc) AS mw0, sum(adc * t) / sum(adc) AS mt0 FROM ({"SELECT c.* FROM cpix c JOIN wins v ON v.row = c.row AND pct = " + str(pct) + " AND " + inside if pct else "SELECT * FROM cpix"}) GROUP BY 1) m ON m.row = w.row"""
+
+
+VARIANT = [
+    "row", "cluster_id", "source_event_index", "n_tiles", "crop_w", "crop_h", "frame_w", "frame_h", "was_cropped", *SHAPES, "frac_area_kept", "frac_charge_kept", "n_hits", "hit_charge", "nu_charge", "percent_nu", "percent_nu_hits",
+    "n_hits_cosmic", "n_hits_other", "n_hits_muon", "n_hits_pion", "n_hits_proton", "dominant_class", "is_nu_tile", "nu_pdg", "nu_energy_gev", "is_cc", "nu_vtx_wire", "nu_vtx_time", "vtx_in_frame", "vtx_dwire", "vtx_dtime", "vtx_dist",
+]
+
+
+def _variant(rows: DataFrame) -> DataFrame:
+    out = rounded(_shown(rows.select(*VARIANT)), "frac_area_kept", "frac_charge_kept", "percent_nu", "percent_nu_hits", "nu_energy_gev", "vtx_dwire", "vtx_dtime", "vtx_dist")
+    return rounded(out, "nu_charge", places=2)
+
+
+@query(_variant_sql(50))
 def truth_table_padded_50(spark, d):
-    rows = _full(_inputs(spark, d), 50)
-    shape = ["n_points", "total_charge", "bbox_w", "bbox_h", "linearity", "charge_conc", "hit_density", "charge_mean", "charge_max", "charge_std", "n_saturated", "pca_len1", "centroid_wire", "centroid_time"]
-    out = rows.select("row", "crop_w", "crop_h", "frame_w", "frame_h", "was_cropped", *shape, "n_hits", "hit_charge", "nu_charge", "percent_nu", "dominant_class")
-    out = rounded(out, "linearity", "charge_conc", "hit_density", "charge_mean", "charge_std", "centroid_wire", "centroid_time", "percent_nu")
-    return rounded(rounded(out, "pca_len1", places=4), "nu_charge", places=2)
+    return _variant(_full(_inputs(spark, d), 50))
 
 
 def _inputs(spark, d) -> tuple[DataFrame, ...]:
@@ -417,11 +537,11 @@ def _full(inputs: tuple[DataFrame, ...], pct: int | None) -> DataFrame:
     return full.truth_table(*inputs, targets)
 
 
-@query(None)
+@query(" UNION ALL BY NAME ".join(f"SELECT *, '{name}' AS variant FROM ({_variant_sql(pct)})" for name, pct in (("raw", 0), ("padded_50", 50), ("padded_75", 75))))
 def truth_table_all(spark, d):
-    """All columns of the three variants: raw, and padded to the 50 % and 75 % targets."""
+    """The three variants: raw, and padded to the 50 % and 75 % targets."""
     inputs = _inputs(spark, d)
-    parts = [_full(inputs, pct).withColumn("variant", F.lit(name)) for name, pct in (("raw", None), ("padded_50", 50), ("padded_75", 75))]
+    parts = [_variant(_full(inputs, pct)).withColumn("variant", F.lit(name)) for name, pct in (("raw", None), ("padded_50", 50), ("padded_75", 75))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -496,14 +616,16 @@ def roc_auc(spark, d):
     return rounded(ranking.auc(V.scored(spark, d), "raw", F.col("positive")), "auc")
 
 
-@query("""SELECT n AS least_tracks, count(*) FILTER (WHERE k >= n) AS n_pos, count(*) FILTER (WHERE k = 0) AS n_neg FROM (
-  SELECT coalesce(t.n_tracks, 0) AS k FROM kept LEFT JOIN (SELECT event_id, tile_index, count(*) AS n_tracks FROM (SELECT event_id, (wire // 18) * 40 + t // 16 AS tile_index, g4_id FROM thits WHERE g4_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 5) GROUP BY 1, 2) t
-  ON t.event_id = kept.event_id AND t.tile_index = kept.tile_index), (SELECT unnest([1, 2, 3]) AS n) GROUP BY 1""")
+@query("""SELECT least_tracks, n_pos, n_neg, round((ranks - n_pos * (n_pos + 1) / 2) / nullif(n_pos * n_neg, 0), 6) AS auc FROM (
+  SELECT n AS least_tracks, count(*) FILTER (WHERE k >= n) AS n_pos, count(*) FILTER (WHERE k = 0) AS n_neg, sum(r) FILTER (WHERE k >= n) AS ranks FROM (
+  SELECT n, k, rank() OVER (PARTITION BY n ORDER BY charge) + (count(*) OVER (PARTITION BY n, charge) - 1) / 2 AS r FROM (
+  SELECT coalesce(t.n_tracks, 0) AS k, charge FROM kept LEFT JOIN (SELECT event_id, tile_index, count(*) AS n_tracks FROM (SELECT event_id, (wire // 18) * 40 + t // 16 AS tile_index, g4_id FROM thits WHERE g4_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 5) GROUP BY 1, 2) t
+  ON t.event_id = kept.event_id AND t.tile_index = kept.tile_index), (SELECT unnest([1, 2, 3]) AS n) WHERE k >= n OR k = 0) GROUP BY 1)""")
 def roc_by_multiplicity(spark, d):
     rows = V.kept_tiles(spark, d).join(tracks_per_tile(spark, d), ["event_id", "tile_index"], "left").withColumn("k", F.coalesce("n_tracks", F.lit(0)))
     wide = rows.withColumn("least_tracks", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     sign = F.when(F.col("k") >= F.col("least_tracks"), True).when(F.col("k") == 0, False)  # null between: in neither class
-    return ranking.auc(wide.withColumn("pos", sign), "charge", F.col("pos"), ("least_tracks",)).select("least_tracks", "n_pos", "n_neg")
+    return rounded(ranking.auc(wide.withColumn("pos", sign), "charge", F.col("pos"), ("least_tracks",)), "auc")
 
 
 CONFUSION = """SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM (SELECT *, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0) AS fpr, coalesce(tp / nullif(tp + fp, 0), 0) AS precision FROM (
@@ -597,6 +719,55 @@ def cut_purity(spark, d):
     return rounded(scores.cut_purity(V.scored(spark, d), "event_type", F.col("raw") > 3), "share")
 
 
+@query("SELECT event_type, round(quantile_cont(raw, 0.5), 6) AS raw, round(quantile_cont(inten, 0.5), 6) AS inten FROM sc GROUP BY 1")
+def medians_by_class(spark, d):
+    return rounded(scores.medians(V.scored(spark, d), ("raw", "inten"), "event_type"), "raw", "inten")
+
+
+@query("SELECT event_id FROM sc WHERE raw > 1.5 AND raw > 0 AND inten > 0")
+def score_floor(spark, d):
+    return scores.above_floor(V.scored(spark, d), 1.5).select("event_id")
+
+
+@query(f"SELECT row FROM ({TRUTH}) WHERE percent_nu > 50")
+def neutrino_pool(spark, d):
+    return scores.pool(_truth(spark, d), "neutrino").select("row")
+
+
+@query("SELECT row FROM wins WHERE pct = 75 AND was_cropped")
+def cropped_pool(spark, d):
+    return scores.pool(_windows(stored(V.kept_clusters(spark, d))).filter("pct = 75"), "cropped").select("row")
+
+
+@query("SELECT event_id FROM sc WHERE raw > 2.500000 AND raw < 4.000000")
+def condition_at_run_time(spark, d):
+    return T.where(V.scored(spark, d), "%s > %f and %s < %f" % ("raw", 2.5, "raw", 4)).select("event_id")
+
+
+@query("SELECT vec_id FROM images WHERE len(list_filter(px, lambda v: v > 200)) > 0")
+def lit_images(spark, d):
+    return T.lit_only(V.images(spark, d).select("vec_id", F.transform("px", lambda v: F.greatest(v - 200, F.lit(0.0))).alias("px"))).select("vec_id")
+
+
+@query("""SELECT CAST(b AS INTEGER) AS bin, round(lo + (b + 0.5::DOUBLE) * step, 6) AS centre, count(raw) AS n, round(count(raw) / (step * (SELECT count(*) FROM sc)), 6) AS density FROM (SELECT unnest(range(100)) AS b) LEFT JOIN (
+  SELECT raw, least(floor((raw - lo) / ((hi - lo) / 100)), 99) AS cell FROM sc, (SELECT min(raw) AS lo, max(raw) AS hi FROM sc)) ON cell = b, (SELECT min(raw) AS lo, (max(raw) - min(raw)) / 100 AS step FROM sc) GROUP BY b, lo, step""")
+def hist_density(spark, d):
+    return rounded(histograms.density(V.scored(spark, d), "raw"), "centre", "density")
+
+
+@query("""WITH s AS (SELECT count(*) AS n, stddev_samp(raw) * pow(count(*), -0.2::DOUBLE) AS h, min(raw) AS lo, (max(raw) - min(raw)) / 2048 AS step, max(raw) AS hi FROM scd),
+  cells AS (SELECT lo + (cell + 0.5::DOUBLE) * step AS c, k FROM (SELECT least(floor((raw - lo) / step), 2047) AS cell, count(*) AS k FROM scd, s GROUP BY 1), s),
+  places AS (SELECT lo - 3 * h + i * ((hi + 3 * h - (lo - 3 * h)) / 99) AS x FROM (SELECT unnest(range(100)) AS i), s)
+  SELECT round(x, 6) AS x, round(sum(k * exp(-0.5::DOUBLE * pow((x - c) / h, 2))) / (max(n) * max(h) * sqrt(2 * pi())), 6) AS density FROM places, cells, s GROUP BY x""".replace("scd", "(SELECT value AS raw FROM events)"))
+def kernel_density(spark, d):
+    return rounded(histograms.smooth_density(V.scored(spark, d), "raw"), "x", "density")
+
+
+@query("SELECT event_id, 1 / count(*) OVER () AS weight FROM sc")
+def equal_weights(spark, d):
+    return histograms.equal_weights(V.scored(spark, d).select("event_id"))
+
+
 # picks, geometry, sampling
 
 
@@ -666,7 +837,7 @@ def tick_to_x(spark, d):
     return rounded(V.hits(spark, d).select(*V.KEYS, G.tick_to_x(F.col("local_time")).alias("x")), "x", places=8)
 
 
-@query("SELECT CASE WHEN r <= round_even(n * 0.5, 0) THEN 'train' WHEN r <= round_even(n * 0.5, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, row_number() OVER (ORDER BY (event_id * 7919 + 42) % 104729, event_id) AS r, count(*) OVER () AS n FROM events) GROUP BY 1")
+@query("SELECT CASE WHEN r <= round_even(n * 0.5, 0) THEN 'train' WHEN r <= round_even(n * 0.5, 0) + round_even(n * 0.1, 0) THEN 'val' ELSE 'test' END AS split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, row_number() OVER (ORDER BY (event_id % 104729 * 7919 + 42) % 104729, event_id) AS r, count(*) OVER () AS n FROM events) GROUP BY 1")
 def split_counts(spark, d):
     return sampling.split(V.table(spark, d, "events").select("event_id"), "event_id").groupBy("split").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 

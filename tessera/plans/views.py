@@ -63,8 +63,8 @@ def kept_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark, sf_dir).filter("state = 'kept'")
 
 
-def cluster_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.inside(kept_clusters(spark, sf_dir), cut_pixels(spark, sf_dir).filter("adc > 0"))
+def cluster_pixels(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    return C.inside(kept_clusters(spark, sf_dir) if found is None else found, cut_pixels(spark, sf_dir).filter("adc > 0"))
 
 
 def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,9 @@ def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("g4_id"), F.get(F.array(*map(F.lit, PDGS)), F.col("s_nationkey") % 7).alias("g4_pdg"))
+    """Every event has particles of the same ids, of other kinds."""
+    rows = table(spark, sf_dir, "supplier").withColumn("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+    return rows.select("event_id", F.col("s_suppkey").alias("g4_id"), F.get(F.array(*map(F.lit, PDGS)), ((F.col("s_nationkey") + F.col("event_id")) % 7).cast("int")).alias("g4_pdg"))
 
 
 def true_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,14 +138,14 @@ CTES = {
         greatest(frame_w - crop_w, 0) // 2 AS pad_w, greatest(frame_h - crop_h, 0) // 2 AS pad_h, crop_w > frame_w OR crop_h > frame_h AS was_cropped FROM kc k, targets)""",
     "edep": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 0 AS edep_row, l_suppkey AS g4_id, tenths0 AS tenths FROM hits WHERE l_linestatus = 'F'
       UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1, l_partkey % 10, tenths1 FROM hits WHERE l_linestatus = 'F'""",
-    "part_pdg": "SELECT s_suppkey AS g4_id, [13, -13, 211, -211, 2212, 11, 22][s_nationkey % 7 + 1] AS g4_pdg FROM supplier",
+    "part_pdg": "SELECT e AS event_id, s_suppkey AS g4_id, [13, -13, 211, -211, 2212, 11, 22][(s_nationkey + e) % 7 + 1] AS g4_pdg FROM supplier, (SELECT unnest(range(32)) AS e)",
     "dom": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY tenths DESC, edep_row) AS r FROM edep) WHERE r = 1",
     "shares": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, greatest(0.0::DOUBLE, least(1.0::DOUBLE, sum(tenths) / 10.0::DOUBLE)) AS share FROM edep GROUP BY ALL",
     "thits": """SELECT h.*, abs(h.integral) AS charge, coalesce(s.share, 0.0::DOUBLE) AS share, d.g4_id,
       CASE WHEN d.g4_id IS NULL THEN 0 WHEN abs(p.g4_pdg) = 13 THEN 2 WHEN abs(p.g4_pdg) = 211 THEN 3 WHEN abs(p.g4_pdg) = 2212 THEN 4 ELSE 1 END AS class
       FROM hits h LEFT JOIN shares s USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) LEFT JOIN dom d USING (l_orderkey, l_partkey, l_suppkey, l_linenumber)
-      LEFT JOIN part_pdg p ON p.g4_id = d.g4_id WHERE local_plane = 2""",
-    "nus": """SELECT o_orderkey AS event_id, o_orderstatus = 'F' AS is_cc, o_totalprice / 100000 AS nu_energy_gev, o_custkey * 37 % 3456 AS nu_vtx_wire,
+      LEFT JOIN part_pdg p ON p.event_id = h.event_id AND p.g4_id = d.g4_id WHERE local_plane = 2""",
+    "nus": """SELECT o_orderkey AS event_id, 14 AS nu_pdg, o_orderstatus = 'F' AS is_cc, o_totalprice / 100000 AS nu_energy_gev, o_custkey * 37 % 3456 AS nu_vtx_wire,
       (o_custkey * 61 % 6400) // 10 AS nu_vtx_time FROM orders WHERE o_orderkey < 31""",
     "images": "SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(abs(CAST(v AS DOUBLE)) * 400) AS DOUBLE)) AS px FROM embeddings",
     "el": "SELECT vec_id, label, unnest(px) AS v, unnest(range(len(px))) AS pos FROM images",

@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from os.path import abspath
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VARIANTS = ("crop", "downscale", "binary")
 
 
 def readable(spark: SparkSession, path: str) -> bool:
+    return status_of(spark, path) == "processed"
+
+
+def status_of(spark: SparkSession, path: str) -> str:
+    """processed, missing, or failed: there, but not readable as Parquet."""
     try:
-        return bool(spark.read.parquet(path).schema.fields)
-    except AnalysisException:
-        return False
+        return "processed" if spark.read.parquet(path).schema.fields else "failed"
+    except AnalysisException as e:
+        return "missing" if "PATH_NOT_FOUND" in (e.getCondition() or str(e)) else "failed"
+    except Exception:  # what a broken footer raises has no class of its own
+        return "failed"
+
+
+def first_readable(spark: SparkSession, candidates: Iterable[str]) -> str:
+    """The first candidate that is there, so that a notebook finds its tables from any folder."""
+    candidates = list(candidates)
+    for path in candidates:
+        if readable(spark, path):
+            return path
+    raise FileNotFoundError(", ".join(candidates))
 
 
 def read_files(spark: SparkSession, paths: Iterable[str], missing: str = "skip") -> tuple[DataFrame | None, DataFrame]:
-    """All readable files together, with file_id (place among the readable) and file; and a table of file, status.
+    """All readable files (or folders of files) in one scan, with file_id (place among the readable) and file; and a table
+    of file, status: processed, missing or failed.
 
-    missing: skip, or error to fail on the first that isn't there.
+    missing: skip, or error to fail on the first that can't be read. Paths are looked at one by one only if the scan of
+    all of them can't be planned.
     """
     paths = list(paths)
-    there = [p for p in paths if readable(spark, p)]
-    if missing == "error" and len(there) < len(paths):
-        raise FileNotFoundError(sorted(set(paths) - set(there))[0])
-    status = spark.createDataFrame([(p, "processed" if p in there else "missing") for p in paths], "file string, status string")
-    out = None
-    for k, p in enumerate(there):
-        part = spark.read.parquet(p).withColumns({"file_id": F.lit(k), "file": F.lit(p)})
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out, status
+    read = spark.read.option("mergeSchema", True)
+    try:
+        rows, status = (read.parquet(*paths) if paths else None), ["processed"] * len(paths)
+    except Exception:
+        status = [status_of(spark, p) for p in paths]
+        bad = [p for p, x in zip(paths, status, strict=True) if x != "processed"]
+        if missing == "error" and bad:
+            raise FileNotFoundError(bad[0]) from None
+        there = [p for p, x in zip(paths, status, strict=True) if x == "processed"]
+        rows = read.parquet(*there) if there else None
+    told = spark.createDataFrame(list(zip(paths, status, strict=True)), "file string, status string")
+    if rows is None:
+        return None, told
+    there = [p for p, x in zip(paths, status, strict=True) if x == "processed"]
+    plain = lambda p: re.sub(r"^[a-z0-9]+:/+", "/", p if ":" in p else abspath(p)).rstrip("/")
+    places = F.broadcast(spark.createDataFrame([(plain(p), k, p) for k, p in enumerate(there)], "_path string, file_id int, file string"))  # a row a file
+    here = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
+    rows = rows.select("*", here.alias("_here")).withColumn("_folder", F.regexp_replace("_here", "/[^/]*$", ""))
+    own = rows.join(places.withColumnsRenamed({"file_id": "_i", "file": "_n"}), F.col("_here") == F.col("_path"), "left").drop("_path")
+    own = own.join(places, F.col("_folder") == F.col("_path"), "left").drop("_path", "_here", "_folder")
+    return own.withColumns({"file_id": F.coalesce("_i", "file_id"), "file": F.coalesce("_n", "file")}).drop("_i", "_n"), told
 
 
 def events(df: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -66,23 +98,50 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
-def write(df: DataFrame, path: str, by: Iterable[str] = (), force: bool = False) -> None:
-    """Parquet, in folders by `by`; what is there is kept unless force."""
-    df.write.mode("overwrite" if force else "ignore").partitionBy(*by).parquet(path)
+def write(df: DataFrame, path: str, by: Iterable[str] = (), force: bool = False, rows_per_file: int = 0) -> None:
+    """Parquet, in folders by `by`; what is there is kept unless force. rows_per_file: the most in one file, 0 for any."""
+    df.write.mode("overwrite" if force else "ignore").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).parquet(path)
+
 
+def write_checked(df: DataFrame, path: str, rows: int, by: Iterable[str] = ()) -> None:
+    """write(), and an error unless the table then has so many rows."""
+    write(df, path, by, force=True)
+    if (n := df.sparkSession.read.parquet(path).count()) != rows:
+        raise AssertionError(f"{path} has {n} rows, not {rows}")
 
-def write_each(frames: dict[str, DataFrame], root: str) -> None:
-    """One table by name below root; none is written if any is there."""
+
+def write_each(frames: dict[str, DataFrame], root: str, rows: dict[str, int] | None = None) -> None:
+    """One table by name below root; none is written if any is there. rows: how many each must have."""
     for name, df in frames.items():
         if readable(df.sparkSession, f"{root}/{name}"):
             raise FileExistsError(f"{root}/{name}")
     for name, df in frames.items():
-        df.write.parquet(f"{root}/{name}")
+        if rows and name in rows:
+            write_checked(df, f"{root}/{name}", rows[name])
+        else:
+            df.write.parquet(f"{root}/{name}")
+
+
+def dense_bytes(images: int, pixels: int, item: int = 4) -> int:
+    """Size of a dense export, before it is made."""
+    return images * pixels * item
+
+
+def shortest(v: Column) -> Column:
+    """A number with six significant digits and no zeros at its end, as printf's %.6g gives it; null stays null."""
+    v = v.cast("double")
+    wide = F.format_string("%.5e", v)
+    power = F.regexp_extract(wide, "e(.*)$", 1).try_cast("int")
+    plain = wide.try_cast("double").try_cast("decimal(20,10)").cast("string")
+    fixed = F.regexp_replace(F.when(plain.contains("."), F.regexp_replace(plain, "0+$", "")).otherwise(plain), r"\.$", "")
+    fixed = F.when(fixed == "0", F.when(F.format_string("%s", v) == "-0.0", "-0").otherwise("0")).otherwise(fixed)
+    odd = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.when(v.isNull(), F.lit(None)).otherwise(F.coalesce(odd, F.when(power.between(-4, 5), fixed).otherwise(F.regexp_replace(wide, r"\.?0+e", "e"))))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Floats with six significant digits; nulls are empty."""
-    shown = [F.when(F.col(c).isNotNull(), F.format_string("%.6g", F.col(c).cast("double"))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
+    shown = [shortest(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
     df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
 
 
