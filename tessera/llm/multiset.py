@@ -88,25 +88,26 @@ def as_hex(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
-#: Descending key, nulls last; equal keys by the hash of the text.
-def in_order(key: str) -> list[Column]:
-    return [F.desc_nulls_last(key), F.asc("_h")]
+#: A place in the order: null keys last, the others descending, equal ones by the hash of the text.
+PLACE = ("_null", "_k", "_h")
 
 
-def receivers(places: DataFrame, key: str) -> DataFrame:
-    """places (distinct key, _h) with _to: key, _h and the other columns of the place before it in descending order; that of
-    the last one for the first.
+def in_order() -> list[Column]:
+    return [F.asc("_null"), F.desc("_k"), F.asc("_h")]
+
+
+def receivers(places: DataFrame) -> DataFrame:
+    """places (PLACE, distinct, and others) with _to: the columns of the place before it; of the last one for the first.
 
     Places are dealt to ranges; a window runs within each, and one over the ranges' last places, a row for each range.
     """
-    columns = places.columns
-    placed = stored(places.repartitionByRange(*in_order(key)).withColumn("_p", F.spark_partition_id()))
-    here = F.struct(*columns)
-    ends = placed.groupBy("_p").agg(F.max_by(here, F.struct(F.col(key).isNull(), F.bitwise_not(key), "_h")).alias("_end"))
+    placed = stored(places.repartitionByRange(*in_order()).withColumn("_p", F.spark_partition_id()))
+    here = F.struct(*places.columns)
+    ends = placed.groupBy("_p").agg(F.max_by(here, F.struct("_null", F.bitwise_not("_k"), "_h")).alias("_end"))
     by_range = Window.orderBy("_p")  # one row for each range
     every = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = ends.select("_p", F.coalesce(F.lag("_end").over(by_range), F.last("_end").over(every)).alias("_before"))
-    within = Window.partitionBy("_p").orderBy(*in_order(key))
+    within = Window.partitionBy("_p").orderBy(*in_order())
     return placed.join(F.broadcast(before), "_p").withColumn("_to", F.coalesce(F.lag(here).over(within), "_before")).drop("_p", "_before")
 
 
@@ -114,15 +115,12 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """key, text, head and next_lanes for every row: of the next document by descending key (after the last: the first), the
     first floor(n / 2) code points, n being the row's own length, and the lanes of its whole text.
 
-    Rows of one key are in order of their texts' hashes, null keys come last; rows that repeat key and text share a
-    place. Only a table of keys, hashes and lengths is put in order; texts meet by joins on key and hash, the next one's
+    Rows of one key (a whole number) are in order of their texts' hashes, null keys come last; rows that repeat key and text
+    share a place. Only a table of keys, hashes and lengths is put in order; texts meet by joins on places, the next one's
     cut to what is needed.
     """
-    rows = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text)).withColumn("_h", F.xxhash64(text))
-    places = rows.select(key, "_h", F.floor(F.length(text) / 2).cast("int").alias("_half")).distinct()
-    to = receivers(places, key).select(key, "_h", F.col(f"_to.{key}").alias("_to_key"), F.col("_to._h").alias("_to_h"), F.col("_to._half").alias("_to_half"))
-    a, b = rows.alias("a"), to.alias("b")
-    sent = a.join(b.hint("merge"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & (F.col("a._h") == F.col("b._h")))
-    sent = sent.select("_to_key", "_to_h", F.substring(F.col(f"a.{text}"), F.lit(1), F.col("_to_half")).alias("head"), F.col(f"a.{text}").alias("whole"))
-    sent = sent.dropDuplicates(["_to_key", "_to_h"]).select("_to_key", "_to_h", "head", lanes(F.col("whole")).alias("next_lanes"))
-    return rows.join(sent.hint("merge"), F.col(key).eqNullSafe(F.col("_to_key")) & (F.col("_h") == F.col("_to_h"))).select(key, text, "head", "next_lanes")
+    k = {"_null": F.col(key).isNull(), "_k": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_h": F.xxhash64(text)}
+    rows = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text)).withColumns(k)
+    to = receivers(rows.select(*PLACE, F.floor(F.length(text) / 2).cast("int").alias("_half")).distinct()).select(*PLACE, "_to")
+    sent = rows.join(to.hint("merge"), list(PLACE)).select(*(F.col(f"_to.{c}").alias(c) for c in PLACE), F.substring(text, F.lit(1), F.col("_to._half")).alias("head"), lanes(F.col(text)).alias("next_lanes"))
+    return rows.join(sent.dropDuplicates(list(PLACE)).hint("merge"), list(PLACE)).select(key, text, "head", "next_lanes")
