@@ -39,6 +39,8 @@ from tessera.llm.common import map_rows, stored
 
 HOT = 500_000
 PIECE = 1 << 21
+#: Different words that a task holds before it sends them off.
+KINDS = 200_000
 TRIGRAMS, MEMBER_ROWS = 1 << 14, 1 << 15
 #: Expected counts are whole numbers of 1 / UNIT.
 UNIT = 1 << 14
@@ -70,12 +72,19 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary; empty for the end), n; over all rows."""
 
+    def rows(found: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
     def run(batches):
+        found: Counter[bytes] = Counter()
         for batch in batches:
-            found: Counter[bytes] = Counter()
-            for _, x in pieces(batch.column("text").to_pylist()):
-                found.update(x)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            for start in range(0, batch.num_rows, 64):
+                for _, x in pieces(batch.column("text").slice(start, 64).to_pylist()):
+                    found.update(x)
+                    if len(found) > KINDS:
+                        yield rows(found)
+                        found = Counter()
+        yield rows(found)
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
