@@ -7,8 +7,8 @@ has weighs most. A file has the licence of the highest cosine, `threshold` at le
 sentences are there, then the smaller name. A file called LICENSE, LICENCE or COPYING speaks for its directory: a file
 without a licence of its own takes that of the nearest ancestor directory that has one.
 
-A cosine of `threshold` can't come from words alone whose weights' squares sum to less than threshold^2. Short words
-are put into that set first; only texts with one of the others are split at all, and none is lost by that.
+A cosine of `threshold` can't come from words alone whose weights' squares sum to less than threshold^2. Common words are
+put into that set first, then short ones; only texts with one of the others are split at all, and none is lost by that.
 
 Null and empty texts state no licence; a null path has no ancestors. All of it is DataFrame expressions and joins.
 """
@@ -49,9 +49,10 @@ TEMPLATES = {
     "MIT": [SUBJECT_TO, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.", "Released under the MIT License.", "The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"],
-    "WTFPL": ["DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "SPDX-License-Identifier: WTFPL"],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "SPDX-License-Identifier: Zlib"],
 }
+#: Words that any text may have, the likeliest first.
+COMMON = "the of and to a in is that it for on was be with as by this are or at not have from you all can what any do use only work your free later has will may under other following form written general public so possible want file person made available either except including provided specific terms whom without works anyone copies forms program version source".split()
 #: A line end within a paragraph, and the comment mark after it.
 LINE_END = r"\r?\n[ \t]*+(?:#++|/{2,}+|/?\*++/?+|;++|-{2,}+|%++)?+[ \t]*+(?=\S)"
 SENTENCE_END = r"\n|(?<=[.!?])\s"
@@ -76,7 +77,7 @@ def needed_words(rows: list[tuple[str, int, str, float]], threshold: float) -> l
     needed: set[str] = set()
     for key in {(name, k) for name, k, _, _ in rows}:
         light = 0.0
-        for _, word, weight in sorted((len(w), w, x) for name, k, w, x in rows if (name, k) == key):
+        for _, word, weight in sorted((COMMON.index(w) if w in COMMON else len(COMMON) + len(w), w, x) for name, k, w, x in rows if (name, k) == key):
             light += weight * weight
             if light >= (threshold - 1e-9) ** 2:
                 needed.add(word)
@@ -113,21 +114,21 @@ def stated(files: DataFrame, key: str = "path", text: str = "text", threshold: f
     )
     parts = stored(parts)
     # many files say the same: each different segment is weighed once
-    kinds = parts.select("segment").distinct()
-    words = kinds.select("segment", F.explode(F.filter(F.split("segment", NOT_WORD), lambda w: w != "")).alias("word")).groupBy("segment", "word").agg(F.count("*").alias("n"))
+    kinds = stored(parts.select("segment").distinct().withColumn("at", F.monotonically_increasing_id()))
+    words = kinds.select("at", F.explode(F.filter(F.split("segment", NOT_WORD), lambda w: w != "")).alias("word")).groupBy("at", "word").agg(F.count("*").alias("n"))
     known = spark.createDataFrame(sorted(idf.items()), StructType([StructField("word", StringType()), StructField("idf", DoubleType())]))
     terms = spark.createDataFrame([(n, k, w, x) for n, k, w, x in rows], "licence string, k int, word string, weight double")
-    weighed = stored(words.join(F.broadcast(known), "word", "left").select("segment", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x")))
-    norms = weighed.groupBy("segment").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(terms), "word").groupBy("segment", "licence", "k").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    weighed = stored(words.join(F.broadcast(known), "word", "left").select("at", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("x")))
+    norms = weighed.groupBy("at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(F.broadcast(terms), "word").groupBy("at", "licence", "k").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     cosine = F.round(F.least(F.lit(1.0), F.col("dot") / F.col("norm")), 6)
-    alike = dots.join(norms, "segment").select("segment", "licence", "k", cosine.alias("score")).filter(F.col("score") >= threshold)
-    found = parts.join(alike, "segment")
+    alike = dots.join(norms, "at").select("at", "licence", "k", cosine.alias("score")).filter(F.col("score") >= threshold)
+    found = parts.join(alike.join(kinds, "at").select("segment", "licence", "k", "score"), "segment")
     share = F.length("segment") / F.greatest("size", F.lit(1))
     each = found.groupBy(key, "licence").agg(F.max(F.struct("score", share.alias("share"))).alias("top"), F.count_distinct("k").alias("n"))
     best = F.min(F.struct((-F.col("top.score")).alias("score"), (-F.col("n")).alias("n"), "licence", F.col("top.share").alias("share"))).alias("b")
     out = stored(each.groupBy(key).agg(best).select(key, "b.licence", (-F.col("b.score")).alias("score"), "b.share"))
-    discard(parts, weighed)
+    discard(parts, kinds, weighed)
     return out
 
 
