@@ -119,8 +119,9 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     share a place. Only a table of keys, hashes and lengths is put in order; texts meet by joins on places, the next one's
     cut to what is needed.
     """
-    k = {"_null": F.col(key).isNull(), "_k": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_h": F.xxhash64(text)}
-    rows = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text)).withColumns(k)
+    place = F.col(key).isNull().alias("_null"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h")
+    rows = docs.select(*place, F.coalesce(text, F.lit("")).alias(text))  # no more columns: both joins read one exchange
     to = receivers(rows.select(*PLACE, F.floor(F.length(text) / 2).cast("int").alias("_half")).distinct()).select(*PLACE, "_to")
     sent = rows.join(to.hint("merge"), list(PLACE)).select(*(F.col(f"_to.{c}").alias(c) for c in PLACE), F.substring(text, F.lit(1), F.col("_to._half")).alias("head"), lanes(F.col(text)).alias("next_lanes"))
-    return rows.join(sent.dropDuplicates(list(PLACE)).hint("merge"), list(PLACE)).select(key, text, "head", "next_lanes")
+    found = rows.join(sent.dropDuplicates(list(PLACE)).hint("merge"), list(PLACE))
+    return found.select(F.when(~F.col("_null"), F.col("_k")).cast(docs.schema[key].dataType).alias(key), text, "head", "next_lanes")
