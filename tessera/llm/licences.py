@@ -85,13 +85,8 @@ def needed_words(rows: list[tuple[str, int, str, float]], threshold: float) -> l
 
 
 def has_word(text: Column, words: list[str]) -> Column:
-    """Whether text has one of the words: as a part, or, if short, not next to ASCII letters and digits."""
-    short = [w for w in words if len(w) < 4]
-    out = text.rlike(rf"(?<![a-z0-9])({'|'.join(short)})(?![a-z0-9])") if short else F.lit(False)
-    for w in words:
-        if len(w) >= 4:
-            out = text.contains(w) | out
-    return out
+    """Whether text has one of the words, by itself."""
+    return F.arrays_overlap(F.split(text, NOT_WORD), F.array(*map(F.lit, words)))
 
 
 def segments(text: Column) -> Column:
