@@ -135,7 +135,7 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
 
     gram = curvature(sums)
     moves: list[list[float]] = []
-    now, error = have, 0.0
+    now, error, best, since = have, 0.0, float("inf"), 0
 
     def rate() -> Column:
         start = F.lit(min(max(1.0, low), high))
@@ -154,7 +154,8 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
         now = [float(sums[f"t{d}"] or 0.0) for d in range(k)]
         miss = [x - g for x, g in zip(now, goal, strict=True)]
         error = max(map(abs, miss)) / max(total, 1e-300)
-        if error <= tolerance or step == steps:
+        best, since = (error, 0) if error < 0.999 * best else (best, since + 1)
+        if error <= tolerance or step == steps or since == 5:  # reached, or no nearer for some steps
             break
         down = sum((F.col(f"a{d}") * F.lit(m) for d, m in enumerate(solved(gram, miss))), F.lit(0.0))
         free = ~(((F.col("r") <= low) & (down > 0)) | ((F.col("r") >= high) & (down < 0)))
