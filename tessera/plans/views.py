@@ -69,7 +69,7 @@ def cluster_pixels(spark: SparkSession, sf_dir: str, found: DataFrame | None = N
 
 def deposits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hits(spark, sf_dir).filter("l_linestatus = 'F'")
-    two = F.array(F.struct(F.lit(0).alias("r"), F.col("l_suppkey").alias("g"), F.col("tenths0").alias("f")), F.struct(F.lit(1).alias("r"), (F.col("l_partkey") % 10).alias("g"), F.col("tenths1").alias("f")))
+    two = F.array(F.struct(F.lit(0).alias("r"), (F.col("l_suppkey") % 6 + 1).alias("g"), F.col("tenths0").alias("f")), F.struct(F.lit(1).alias("r"), (F.col("l_partkey") % 10).alias("g"), F.col("tenths1").alias("f")))
     return rows.select(*KEYS, F.explode(two).alias("d")).select(*KEYS, F.col("d.r").alias("edep_row"), F.col("d.g").alias("g4_id"), (F.col("d.f") / 10).alias("energy_fraction"))
 
 
@@ -136,7 +136,7 @@ CTES = {
     "wins": """SELECT *, wl AS win_w_lo, wl + least(crop_w, frame_w) AS win_w_hi, hl AS win_h_lo, hl + least(crop_h, frame_h) AS win_h_hi FROM (
       SELECT k.*, pct, frame_w, frame_h, greatest(crop_w - frame_w, 0) // 2 AS wl, greatest(crop_h - frame_h, 0) // 2 AS hl,
         greatest(frame_w - crop_w, 0) // 2 AS pad_w, greatest(frame_h - crop_h, 0) // 2 AS pad_h, crop_w > frame_w OR crop_h > frame_h AS was_cropped FROM kc k, targets)""",
-    "edep": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 0 AS edep_row, l_suppkey AS g4_id, tenths0 AS tenths FROM hits WHERE l_linestatus = 'F'
+    "edep": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 0 AS edep_row, l_suppkey % 6 + 1 AS g4_id, tenths0 AS tenths FROM hits WHERE l_linestatus = 'F'
       UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1, l_partkey % 10, tenths1 FROM hits WHERE l_linestatus = 'F'""",
     "part_pdg": "SELECT e AS event_id, s_suppkey AS g4_id, [13, -13, 211, -211, 2212, 11, 22][(s_nationkey + e) % 7 + 1] AS g4_pdg FROM supplier, (SELECT unnest(range(32)) AS e)",
     "dom": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY tenths DESC, edep_row) AS r FROM edep) WHERE r = 1",
