@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licences, lm, mixing, multiset, simhash, topk, toxicity, urls
+from tessera.llm import bpe, language, licences, lm, manifest, mixing, multiset, simhash, topk, toxicity, urls
 from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
@@ -122,6 +122,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fields = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(crc_mod("doc_id", 3) == 0, manifest.leaf(*(lowered if c == "text" else F.col(c) for c in fields)))
+    rows = manifest.manifest(docs, fields=fields, also={"tampered": tampered})
+    rows = rows.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 OP10_SQL = """
 WITH w AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -152,5 +161,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op12_manifest)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
