@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licences, lm, manifest, mixing, multiset, simhash, topk, toxicity, urls
+from tessera.llm import bpe, language, licences, lm, manifest, mixing, multiset, negatives, simhash, topk, toxicity, urls, whole
 from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
@@ -131,6 +131,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), whole.whole_numbers(F.col("embedding"), 256).alias("v")))
+
+
 OP10_SQL = """
 WITH w AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -143,6 +148,25 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP13_SQL = """
+WITH w AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM w a JOIN w c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
 OP4_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -161,5 +185,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op12_manifest)}
-SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op12_manifest, op13_hard_negatives)}
+SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL, "op13_hard_negatives": OP13_SQL}
