@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licences, lm, manifest, mixing, multiset, negatives, simhash, topk, toxicity, urls, whole
+from tessera.llm import bpe, language, licences, lm, manifest, mixing, multiset, negatives, simhash, suffixes, topk, toxicity, urls, whole
 from tessera.llm.common import crc_mod, stored, table
 
 TOXIC_AT = 0.7
@@ -122,6 +122,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter("vec_id % 100 = 0"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fields = table(spark, sf_dir, "documents"), ("doc_id", "source", "lang", "n_chars", "text")
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -185,5 +191,5 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits LEFT JOIN best USING (k)
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op12_manifest, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op11_suffixes, op12_manifest, op13_hard_negatives)}
 SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL, "op13_hard_negatives": OP13_SQL}
