@@ -202,7 +202,7 @@ def manifest(docs: DataFrame, group: str = "lang", key: str = "doc_id", fields:
     """
     also = also or {}
     own = docs.select(field(F.col(group)).alias("g"), F.col(key).alias("_key"), leaf(*map(F.col, fields)).alias("digest"), *(c.alias(f"_also_{name}") for name, c in also.items()))
-    inner = grown(own, [F.col("_key")])
+    inner = grown(stored(own), [F.col("_key")])  # the ranges' sample reads hashes, not texts
     name = F.when(F.col("g") != "-", F.expr("substring(g, instr(g, ':') + 1)"))
     tops = stored(inner.roots().select(F.lit("").alias("g"), F.col("g").alias("_group"), name.alias("_name"), "digest"))
     outer = grown(tops, [F.col("_name").asc_nulls_first()])
