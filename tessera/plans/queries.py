@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import pixels as P
 from tessera.operators import clusters as C
-from tessera.operators import features, frames, histograms, models, ranking, sampling, scores
+from tessera.operators import features, frames, histograms, models, ranking, sampling, scores, training
 from tessera.operators import tiles as T
 from tessera.operators import truth as H
 from tessera.plans import truth_table as full
@@ -855,10 +855,38 @@ def batches(spark, d):
 # models and streams: no SQL
 
 
+def _trained(spark, d):
+    """8 x 8 images (every fifth for validation), and the convolutional autoencoder after four epochs on them."""
+    images = stored(V.images(spark, d).select("vec_id", "label", F.transform("px", lambda v: v / 100).alias("px")))
+    network, held_out = training.convolutional(8, 8), F.col("vec_id") % 5 == 0
+    state = training.train(images.filter(~held_out), network, models.initial_weights(8, 8), 4, 2, 1e-3, images.filter(held_out), "vec_id")
+    return images, network, state
+
+
 @query(None)
 def ae_forward_score(spark, d):
-    images = V.images(spark, d).select("vec_id", F.transform("px", lambda v: v / 100).alias("px"))
-    return models.autoencoder_scores(images, models.initial_weights(8, 8), (8, 8), "vec_id")
+    """Scores by the weights of the least validation loss."""
+    images, network, state = _trained(spark, d)
+    return training.scored(images, network, state.best, "vec_id").select("vec_id", "raw", "inten")
+
+
+@query(None)
+def conv_latent_spread(spark, d):
+    """Spread of the trained network's codes by class."""
+    images, network, state = _trained(spark, d)
+    codes = training.scored(images, network, state.best, "vec_id", keep=("label",))
+    return training.code_spread(codes, ("label",)).select("label", "n", "mean_std", "rms_distance", F.size("mean").alias("code_size"))
+
+
+@query(None)
+def conv_training(spark, d):
+    """Loss by epoch of the convolutional autoencoder on the kept tiles of 18 x 16."""
+    kept = T.with_pixels_of(V.cut_pixels(spark, d), V.kept_tiles(spark, d), V.SIZE)
+    rows = T.dense(kept, V.SIZE).select((F.col("event_id") * 10000 + F.col("tile_index")).alias("row"), F.transform("px", lambda v: v / 100).alias("px"))
+    tiles = stored(rows)
+    held_out = F.pmod(F.xxhash64("row"), F.lit(10)) == 0
+    state = training.train(tiles.filter(~held_out), training.convolutional(*V.SIZE), models.initial_weights(*V.SIZE), 3, 2, 1e-3, tiles.filter(held_out))
+    return spark.createDataFrame([(k + 1, a, b) for k, (a, b) in enumerate(state.losses)], "epoch int, loss double, validation_loss double")
 
 
 @query(None)
