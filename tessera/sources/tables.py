@@ -61,7 +61,8 @@ def read_files(spark: SparkSession, paths: Iterable[str], missing: str = "skip")
     there = [p for p, x in zip(paths, status, strict=True) if x == "processed"]
     plain = lambda p: re.sub(r"^[a-z0-9]+:/+", "/", p if ":" in p else abspath(p)).rstrip("/")
     places = F.broadcast(spark.createDataFrame([(plain(p), k, p) for k, p in enumerate(there)], "_path string, file_id int, file string"))  # a row a file
-    here = F.regexp_replace("_metadata.file_path", "^[a-z0-9]+:/+", "/")
+    # the scan's own paths are URL-encoded, all but their plus signs
+    here = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
     rows = rows.select("*", here.alias("_here")).withColumn("_folder", F.regexp_replace("_here", "/[^/]*$", ""))
     own = rows.join(places.withColumnsRenamed({"file_id": "_i", "file": "_n"}), F.col("_here") == F.col("_path"), "left").drop("_path")
     own = own.join(places, F.col("_folder") == F.col("_path"), "left").drop("_path", "_here", "_folder")
