@@ -15,6 +15,7 @@ from tessera.operators import tiles as T
 from tessera.operators import truth as H
 from tessera.plans import truth_table as full
 from tessera.plans import views as V
+from tessera.sources import store
 from tessera.sources.storage import stored
 from tessera.streaming import monitor
 
@@ -364,9 +365,10 @@ def geom_features_raw(spark, d):
     return _raw_shapes(spark, d, V.kept_clusters(spark, d))
 
 
-def _raw_shapes(spark, d, found: DataFrame) -> DataFrame:
-    points = V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc", (F.col("crop_w") * F.col("crop_h")).alias("frame_area"))
-    return _shapes(stored(points))  # read three times
+def _raw_shapes(spark, d, found: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    points = V.cluster_pixels(spark, d, found) if points is None else points
+    rows = points.select("row", "wire", "t", "adc", (F.col("crop_w") * F.col("crop_h")).alias("frame_area"))
+    return _shapes(stored(rows))  # read three times
 
 
 def _padded_sql(pct: int) -> str:
@@ -446,12 +448,13 @@ VERTEX = """SELECT k.row, n.is_cc, round(n.nu_energy_gev, 6) AS nu_energy_gev, n
   FROM kc k LEFT JOIN (SELECT DISTINCT event_id FROM thits) e ON e.event_id = k.event_id LEFT JOIN nus n ON n.event_id = k.event_id LEFT JOIN (SELECT row, sum(adc * wire) / sum(adc) AS mw, sum(adc * t) / sum(adc) AS mt FROM cpix GROUP BY 1) m ON m.row = k.row"""
 
 
-def _vertices(spark, d, found: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
+def _vertices(spark, d, found: DataFrame | None = None, hits: DataFrame | None = None, points: DataFrame | None = None, nus: DataFrame | None = None) -> DataFrame:
     hits = V.true_hits(spark, d) if hits is None else hits
     found = stored(V.kept_clusters(spark, d)) if found is None else found
-    middle = V.cluster_pixels(spark, d, found).groupBy("row").agg(G.barycentre(F.col("wire"), F.col("adc")).alias("centroid_wire"), G.barycentre(F.col("t"), F.col("adc")).alias("centroid_time"))
+    points = V.cluster_pixels(spark, d, found) if points is None else points
+    middle = points.groupBy("row").agg(G.barycentre(F.col("wire"), F.col("adc")).alias("centroid_wire"), G.barycentre(F.col("t"), F.col("adc")).alias("centroid_time"))
     rows = found.join(middle, "row", "left")
-    out = H.vertices(rows, V.neutrinos(spark, d), hits).select("row", "is_cc", "nu_energy_gev", "nu_vtx_wire", "nu_vtx_time", "vtx_dwire", "vtx_dtime", "vtx_dist", "vtx_in_frame")
+    out = H.vertices(rows, V.neutrinos(spark, d) if nus is None else nus, hits).select("row", "is_cc", "nu_energy_gev", "nu_vtx_wire", "nu_vtx_time", "vtx_dwire", "vtx_dtime", "vtx_dist", "vtx_in_frame")
     return rounded(out, "nu_energy_gev", "vtx_dwire", "vtx_dtime", "vtx_dist")
 
 
@@ -460,13 +463,64 @@ def event_vertex_join(spark, d):
     return _vertices(spark, d)
 
 
-@query(f"""SELECT k.row, k.cluster_id, k.event_id AS source_event_index, k.n_tiles, k.wire_lo, k.wire_hi, k.time_lo, k.time_hi, k.crop_w, k.crop_h, g.* EXCLUDE (row), t.* EXCLUDE (row), v.* EXCLUDE (row)
-  FROM kc k LEFT JOIN ({_geometry_sql(RAW_POINTS)}) g ON g.row = k.row LEFT JOIN ({TRUTH}) t ON t.row = k.row LEFT JOIN ({VERTEX}) v ON v.row = k.row""")
+TABLE = f"""SELECT k.row, k.cluster_id, k.event_id AS source_event_index, k.n_tiles, k.wire_lo, k.wire_hi, k.time_lo, k.time_hi, k.crop_w, k.crop_h, g.* EXCLUDE (row), t.* EXCLUDE (row), v.* EXCLUDE (row)
+  FROM kc k LEFT JOIN ({_geometry_sql(RAW_POINTS)}) g ON g.row = k.row LEFT JOIN ({TRUTH}) t ON t.row = k.row LEFT JOIN ({VERTEX}) v ON v.row = k.row"""
+
+
+@query(TABLE)
 def truth_table(spark, d):
     found, hits = stored(V.kept_clusters(spark, d)), stored(V.true_hits(spark, d))
+    return _table(spark, d, found, hits, stored(V.cluster_pixels(spark, d, found).select("row", "wire", "t", "adc", "crop_w", "crop_h")))
+
+
+def _table(spark, d, found: DataFrame, hits: DataFrame, points: DataFrame, nus: DataFrame | None = None) -> DataFrame:
     base = found.select("row", "cluster_id", F.col("event_id").alias("source_event_index"), "n_tiles", *BOX, "crop_w", "crop_h")
-    shapes = _raw_shapes(spark, d, found)
-    return base.join(shapes, "row", "left").join(_truth(spark, d, found, hits), "row", "left").join(_vertices(spark, d, found, hits), "row", "left")
+    shapes = _raw_shapes(spark, d, found, points)
+    return base.join(shapes, "row", "left").join(_truth(spark, d, found, hits), "row", "left").join(_vertices(spark, d, found, hits, points, nus), "row", "left")
+
+
+def _event_store(spark, d) -> store.EventStore:
+    """Hits, deposits, particles and neutrinos in buckets by event, and what follows from them by event."""
+    kept = store.new_store(spark)
+    kept.add("hits", V.hits(spark, d))
+    events = V.hits(spark, d).select(*V.KEYS, "event_id")
+    kept.add("deposits", V.deposits(spark, d).join(events.distinct(), V.KEYS))
+    kept.add("particles", V.particles(spark, d))
+    kept.add("neutrinos", V.neutrinos(spark, d))
+    return kept
+
+
+def _hits_of(kept: store.EventStore) -> DataFrame:
+    """V.true_hits() of the store's tables: all joins are by event and more."""
+    rows, keys = T.select_plane(kept["hits"]).withColumn("charge", P.hit_charge(F.col("integral"))), ["event_id", *V.KEYS]
+    return H.hit_classes(H.hit_shares(rows, kept["deposits"], keys), kept["deposits"], kept["particles"], keys)
+
+
+def _store_truth(spark, d) -> DataFrame:
+    kept = _event_store(spark, d)
+    hits = kept.add("true_hits", _hits_of(kept), True)
+    pixels = kept.add("pixels", T.cut(T.sum_pixels(kept["hits"])).filter("adc > 0"), True)
+    found = C.boxes(C.with_state(C.summarise(C.label(T.keep(T.catalog(pixels, V.SIZE)))))).filter("state = 'kept'")
+    found = kept.add("clusters", found.withColumn("row", F.col("event_id") * 100000 + F.col("cluster_id")))
+    points = kept.add("points", C.inside(found, pixels).select("event_id", "row", "wire", "t", "adc", "crop_w", "crop_h"), True)
+    return _table(kept.spark, d, found, hits, points, kept["neutrinos"])
+
+
+@query(TABLE)
+def truth_table_store(spark, d):
+    """truth_table from an event store: of what is joined by event, only the labelled tiles, which Python gives, are dealt out again."""
+    return _store_truth(spark, d)
+
+
+@query("""SELECT e.event_id, n_hits, charge, coalesce(n_deposits, 0) AS n_deposits, coalesce(n_particles, 0) AS n_particles, nu_pdg FROM (
+  SELECT event_id, count(*) AS n_hits, CAST(sum(integral) AS BIGINT) AS charge FROM hits GROUP BY 1) e LEFT JOIN (
+  SELECT h.event_id, count(*) AS n_deposits FROM edep JOIN hits h USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) GROUP BY 1) d ON d.event_id = e.event_id LEFT JOIN (
+  SELECT event_id, count(*) AS n_particles FROM part_pdg GROUP BY 1) p ON p.event_id = e.event_id LEFT JOIN nus n ON n.event_id = e.event_id""")
+def nested_events(spark, d):
+    """What each event holds, from one row an event with arrays of hits, deposits, particles and neutrinos."""
+    rows = _event_store(spark, d).nested("hits", "deposits", "particles", "neutrinos").filter(F.size("hits") > 0)
+    charge = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + h["integral"])
+    return rows.select("event_id", F.size("hits").cast("long").alias("n_hits"), charge.alias("charge"), F.size("deposits").cast("long").alias("n_deposits"), F.size("particles").cast("long").alias("n_particles"), F.get("neutrinos", F.lit(0))["nu_pdg"].alias("nu_pdg"))
 
 
 @query("""SELECT event_id, tile_index, count(*) AS n_tracks FROM (SELECT h.event_id, (wire // 18) * 40 + t // 16 AS tile_index, g4_id FROM thits h WHERE g4_id IS NOT NULL

@@ -48,11 +48,11 @@ def found(df):
     return sorted([(r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in df.collect()], key=repr)
 
 
-@pytest.mark.parametrize(("shard", "often", "limit"), [(suffixes.SHARD, suffixes.OFTEN, suffixes.SLICE), (7, 2, 3000), (40, 1000, 1 << 24), (1000, 3, 2000)])
-def test_repeats(spark, shard, often, limit):
+@pytest.mark.parametrize(("shard", "often", "limit", "least"), [(suffixes.SHARD, suffixes.OFTEN, suffixes.SLICE, suffixes.COMMON), (7, 2, 3000, 2), (40, 1000, 1 << 24, 4), (1000, 3, 2000, 1000)])
+def test_repeats(spark, shard, often, limit, least):
     rows = made()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"mark": queries.F.lit(1), "at": queries.F.lit("x"), "bucket": queries.F.lit(None)}).repartition(5)
-    assert found(suffixes.repeats(docs, shard, often, limit)) == plain(rows)
+    assert found(suffixes.repeats(docs, shard, often, limit, least=least)) == plain(rows)
 
 
 def test_repeats_of_nothing(spark):
