@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as G
 from tessera.functions import pixels as P
 from tessera.operators import clusters as C
-from tessera.operators import features, frames, histograms, models, ranking, sampling, scores, training
+from tessera.operators import areas, features, frames, histograms, intervals, models, ranking, sampling, scores, training
 from tessera.operators import tiles as T
 from tessera.operators import truth as H
 from tessera.plans import truth_table as full
 from tessera.plans import views as V
-from tessera.sources import store
-from tessera.sources.storage import stored
+from tessera.sources import npy, store
+from tessera.sources.storage import shared_dir, stored
 from tessera.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,6 +240,30 @@ def frac_kept(spark, d):
     return frames.kept_shares(win, charges)
 
 
+FRAC = """SELECT w.row, CASE WHEN was_cropped THEN (win_w_hi - win_w_lo) * (win_h_hi - win_h_lo) / (crop_w * crop_h) ELSE 1.0::DOUBLE END AS frac_area_kept,
+  round(CASE WHEN NOT was_cropped THEN 1.0::DOUBLE WHEN q > 0 THEN k / q END, 6) AS frac_charge_kept FROM wins w LEFT JOIN (
+  SELECT w.row, sum(adc) AS q, coalesce(sum(adc) FILTER (WHERE wire - wire_lo >= win_w_lo AND wire - wire_lo < win_w_hi AND t - time_lo >= win_h_lo AND t - time_lo < win_h_hi), 0) AS k
+  FROM wins w JOIN cpix USING (row) WHERE pct = 50 GROUP BY 1) USING (row) WHERE pct = 50"""
+
+
+@query(FRAC)
+def frac_kept_areas(spark, d):
+    """frac_kept, its charges by four lookups each in summed-area tables."""
+    tables = stored(areas.summed_areas(V.cut_pixels(spark, d).filter("adc > 0")))
+    win = stored(_windows(stored(V.kept_clusters(spark, d))).filter("pct = 50"))
+    cut = win.select("row", "event_id", *((F.col(f"{a}_lo") + F.col(f"win_{b}_{e}")).alias(f"{a}_{e}") for a, b in (("wire", "w"), ("time", "h")) for e in ("lo", "hi")))
+    charges = areas.box_sums(tables, win, name="total_charge").join(areas.box_sums(tables, cut, name="kept_charge"), "row")
+    return rounded(frames.kept_shares(win, charges), "frac_charge_kept")
+
+
+@query("SELECT k.row, round(coalesce(sum(adc), 0.0), 6) AS charge, CAST(count(adc) AS DOUBLE) AS n_lit FROM kc k LEFT JOIN cpix USING (row) GROUP BY 1")
+def box_sums(spark, d):
+    """Charge and lit pixels of the clusters' boxes, from summed-area tables."""
+    pixels, found = stored(V.cut_pixels(spark, d).filter("adc > 0")), stored(V.kept_clusters(spark, d))
+    lit = areas.box_sums(areas.summed_areas(pixels.withColumn("one", F.lit(1)), "one"), found, name="n_lit")
+    return rounded(areas.box_sums(areas.summed_areas(pixels), found, name="charge").join(lit, "row"), "charge")
+
+
 @query("SELECT avg(CASE WHEN crop_w <= 144 AND crop_h <= 112 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fit_fraction FROM kc")
 def fit_fraction(spark, d):
     return frames.fit_share(V.kept_clusters(spark, d), 144, 112)
@@ -872,6 +897,26 @@ def wires_cross(spark, d):
     return _wire_pairs(spark, d).select("plane_a", "wire_a", "plane_b", "wire_b", G.z_overlap(F.col("plane_a"), a, F.col("plane_b"), b).alias("may_cross"))
 
 
+@query("""SELECT a.plane AS plane_a, a.wire AS wire_a, b.plane AS plane_b, count(*) AS n, CAST(sum(b.wire) AS BIGINT) AS wires FROM ends a JOIN ends b
+  ON a.plane < b.plane AND least(a.z0, a.z1) <= greatest(b.z0, b.z1) AND least(b.z0, b.z1) <= greatest(a.z0, a.z1) GROUP BY 1, 2, 3""")
+def wires_cross_all(spark, d):
+    """By wire and later plane, how many wires may cross it: all pairs that overlap in z."""
+    z = lambda f: f(F.col("start.z"), F.col("end.z"))
+    one = stored(_wires(spark, d).select("plane", "wire", z(F.least).alias("lo"), z(F.greatest).alias("hi")))
+    a, b = (one.select(*(F.col(c).alias(f"{c}_{x}") for c in one.columns)) for x in "ab")
+    pairs = intervals.overlapping(a, b, ("lo_a", "lo_b"), ("hi_a", "hi_b"), where=F.col("plane_a") < F.col("plane_b"))
+    return pairs.groupBy("plane_a", "wire_a", "plane_b").agg(F.count("*").alias("n"), F.sum("wire_b").alias("wires"))
+
+
+@query("SELECT vec_id AS row, v AS px FROM (SELECT vec_id, list_transform(px, lambda v: CAST(v AS FLOAT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM images) WHERE r >= n // 4 AND r < n // 2".replace("vec_id AS row", "r AS row"))
+def npy_rows(spark, d):
+    """The second quarter of the rows of a .npy export, read by its byte ranges."""
+    images, path = V.images(spark, d), f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    npy.write_npy(images, path, (8, 8), key="vec_id", rows_per_file=100_000)
+    n = images.count()
+    return npy.read_npy(spark, path, n // 4, n // 2)
+
+
 @query("""SELECT plane_a, wire_a, plane_b, wire_b, round(f * (by1 - by0) + by0, 4) AS y, round(f * (bz1 - bz0) + bz0, 4) AS z FROM (
   SELECT *, (-(az1 - az0) * (ay0 - by0) + (ay1 - ay0) * (az0 - bz0)) / nullif(-(az1 - az0) * (by1 - by0) + (ay1 - ay0) * (bz1 - bz0), 0) AS f FROM wpairs)""")
 def wire_crossing(spark, d):
