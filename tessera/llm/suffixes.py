@@ -1,7 +1,7 @@
 """Repeats of `MATCH` bytes or more across documents, by suffix arrays of shards.
 
-Every window of MATCH bytes has an anchor, the gram of GRAM bytes in it with the least hash. Equal windows have equal
-anchors, so only anchors that occur in two documents or more can belong to a repeat: about a fifth of all. Their contexts
+Every window of MATCH bytes has an anchor, the gram of GRAM bytes in it with the least hash, common grams after all others.
+Equal windows have equal anchors, so only anchors that occur in two documents or more can belong to a repeat. Their contexts
 (the bytes of the windows whose anchor they are) are dealt to shards of about `SHARD` contexts, neighbours in the order of the
 anchors' hashes. Each shard sorts the suffixes of its different contexts by Larsson and Sadakane's refinement (groups of equal
 prefixes are split by the ranks further on, and the prefix doubles), takes common prefixes of neighbours by Kasai's walk, and
@@ -23,18 +23,24 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sampled
+
 MATCH, GRAM = 50, 20
 #: Grams in a window.
 GRAMS = MATCH - GRAM + 1
 #: Contexts in a shard; bytes of text in a slice of a task; bytes of text for each bucket of anchors.
-SHARD, SLICE, BUCKET = 16_384, 1 << 24, 48_000_000
+SHARD, SLICE, BUCKET = 16_384, 1 << 23, 24_000_000
 #: An anchor that occurs more often than this in a slice is dealt to shards from there.
-OFTEN = 32
-#: Bytes of suffixes that are sorted at once.
-SORTED = 1 << 20
+OFTEN = 256
+#: Grams of COMMON texts or more out of a sample of about SAMPLE are common ones, COMMONEST at most. Any choice gives the
+#: same repeats; it keeps phrases that many texts share from being anchors of texts that are otherwise unlike.
+SAMPLE, COMMON, COMMONEST = 4096, 8, 200_000
+#: Bytes of suffixes that are sorted at once: more than SHARD contexts have.
+SORTED = 1 << 21
 
 Array = np.ndarray
 
@@ -78,8 +84,32 @@ def grams(data: Array) -> Array:
     return h
 
 
-def anchors(data: Array, ends: Array, block: int = 1 << 15) -> tuple[Array, Array, Array, Array]:
-    """place, hash, first window and number of windows of every anchor of the texts, in order."""
+def common_grams(docs: DataFrame, total: int, sample: int = SAMPLE, least: int = COMMON) -> Array:
+    """Sorted hashes of the common grams; docs: text, mark; total: rows of docs."""
+
+    def count(batches):
+        for batch in batches:
+            data, ends = binary(batch.column("text"))
+            for a, b in slices(ends):
+                start = ends[a - 1] if a else 0
+                if ends[b - 1] - start < GRAM:
+                    continue
+                h = grams(data[start : ends[b - 1]])
+                kinds, n = np.unique(h, return_counts=True)
+                kept = n > 1
+                yield pa.RecordBatch.from_arrays([pa.array(kinds[kept].view(np.int64)), pa.array(n[kept], pa.int64())], ["gram", "n"])
+
+    part = docs.filter(sampled(F.col("mark"), min(1.0, sample / max(total, 1)), 5)).select("text").distinct()
+    counts = part.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "gram").limit(COMMONEST).select("gram").toArrow()
+    return np.sort(rows.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def anchors(data: Array, ends: Array, common: Array | None = None, block: int = 1 << 15) -> tuple[Array, Array, Array, Array]:
+    """place, hash, first window and number of windows of every anchor of the texts, in order. common: hashes, sorted."""
+    if common is not None and len(common):
+        may = np.zeros(1 << 22, bool)
+        may[(common >> np.uint64(42)).astype(np.int64)] = True
     n = len(data) - MATCH + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -93,7 +123,11 @@ def anchors(data: Array, ends: Array, block: int = 1 << 15) -> tuple[Array, Arra
         high = min(low + block, n)
         h = grams(data[low : high + MATCH - 1])
         # hash and place in one number: of equal hashes the first is the least
-        least = (h & ~np.uint64(0x1FFFF)) | np.arange(len(h), dtype=np.uint64)
+        least = (h >> np.uint64(1) & ~np.uint64(0x1FFFF)) | np.arange(len(h), dtype=np.uint64)
+        if common is not None and len(common):
+            maybe = np.flatnonzero(may[(h >> np.uint64(42)).view(np.int64)])
+            found_ = common[np.minimum(np.searchsorted(common, h[maybe]), len(common) - 1)] == h[maybe]
+            least[maybe[found_]] |= np.uint64(1 << 63)
         width = 1
         while 2 * width <= GRAMS:
             least = np.minimum(least[:-width], least[width:])
@@ -150,7 +184,7 @@ def replies(doc: Array, mark: Array, at: Array, shard: Array) -> list[pa.Array]:
     return [pa.array(doc[new], pa.int64()), pa.array(mark[new], pa.int64()), lists(at, cuts, pa.int64()), lists(shard, cuts, pa.int64())]
 
 
-def blocks(docs: DataFrame, buckets: int, shards: int, often_: int = OFTEN, limit: int = SLICE) -> DataFrame:
+def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, often_: int = OFTEN, limit: int = SLICE) -> DataFrame:
     """Anchors of the texts by bucket, packed: sorted 40-bit hashes, places and texts. Of anchors that occur often in a slice,
     a hash without a text, and a row (bucket null) of texts, places and shards, for each slice."""
     names = ["bucket", "keys", "at", "texts", "ids", "marks", "wanted", "shards"]
@@ -161,7 +195,7 @@ def blocks(docs: DataFrame, buckets: int, shards: int, often_: int = OFTEN, limi
             ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
             for a, b in slices(ends, limit):
                 start = ends[a - 1] if a else 0
-                place, key, _, _ = anchors(data[start : ends[b - 1]], ends[a:b] - start)
+                place, key, _, _ = anchors(data[start : ends[b - 1]], ends[a:b] - start, common.value)
                 if len(place):
                     yield from packed(place, key, ends[a:b] - start, ids[a:b], marks[a:b])
 
@@ -174,7 +208,7 @@ def blocks(docs: DataFrame, buckets: int, shards: int, often_: int = OFTEN, limi
         times = np.diff(np.append(new, len(key)))
         often = np.repeat(times > often_, times)
         if often.any():
-            salt = np.uint64(int(ids[0]) & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(ids))
+            salt = np.array([ids[0]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(ids))
             mixed = (key[often] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
             shard = -1 - ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)  # below zero, beside the others
             doc, mark, where, to = replies(ids[text[often]], marks[text[often]], at[often], shard << 1 | 1)
@@ -212,13 +246,24 @@ def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
             held.setdefault(r.pop("bucket"), []).append(r)
     for bucket in sorted(held):
         parts = held.pop(bucket)
+        # first the hashes alone: most are there once
         key = np.concatenate([np.cumsum(from_planes(r["keys"], 5)) & np.uint64((1 << 40) - 1) for r in parts])
-        at = np.concatenate([from_planes(r["at"], 5).astype(np.int64) for r in parts])
-        local = [from_planes(r["texts"], 3).astype(np.int64) for r in parts]
-        often = np.concatenate([x == len(r["ids"]) for x, r in zip(local, parts, strict=True)])
-        doc, mark = (np.concatenate([np.append(np.array(r[c], np.int64), 0)[x] for x, r in zip(local, parts, strict=True)]) for c in ("ids", "marks"))
         order = np.argsort(key, kind="stable")
-        key, at, often, doc, mark = key[order], at[order], often[order], doc[order], mark[order]
+        key = key[order]
+        again = key[1:] == key[:-1]
+        order, key = (x[np.concatenate([again, [False]]) | np.concatenate([[False], again])] for x in (order, key))
+        if not len(key):
+            continue
+        ends, place = np.cumsum([len(r["keys"]) // 5 for r in parts]), np.zeros(len(key), np.int64)
+        doc, mark, often = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        of = np.searchsorted(ends, order, "right")
+        for k, r in enumerate(parts):
+            own = np.flatnonzero(of == k)
+            rows = order[own] - (ends[k - 1] if k else 0)
+            local = from_planes(r["texts"], 3)[rows].astype(np.int64)
+            place[own] = from_planes(r["at"], 5)[rows]
+            often[own] = local == len(r["ids"])
+            doc[own], mark[own] = (np.append(np.array(r[c], np.int64), 0)[local] for c in ("ids", "marks"))
         new = changes(key)
         times = np.diff(np.append(new, len(key)))
         many = np.logical_or.reduceat(often, new)
@@ -226,7 +271,7 @@ def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
         kept = np.flatnonzero(np.repeat(two, times) & ~often)
         if not len(kept):
             continue
-        group, turn = np.repeat(np.arange(len(new)), times)[kept], np.arange(len(kept)) // size
+        at, group, turn = place, np.repeat(np.arange(len(new)), times)[kept], np.arange(len(kept)) // size
         first = changes(group)
         last = np.append(first[1:], len(group)) - 1
         several = np.repeat((turn[first] != turn[last]) | many[group[first]], last - first + 1)
@@ -242,7 +287,7 @@ def ranges(starts: Array, lengths: Array) -> Array:
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contexts(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
     """doc_id, mark, text, at, shards (lists): the contexts of the anchors, packed by shard."""
     for batch in batches:
         data, ends = binary(batch.column("text"))
@@ -251,7 +296,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = (batch.column(c).values.to_numpy() for c in ("at", "shards"))
         for a, b in slices(ends):
             start = ends[a - 1] if a else 0
-            place, _, first, count = anchors(data[start : ends[b - 1]], ends[a:b] - start)
+            place, _, first, count = anchors(data[start : ends[b - 1]], ends[a:b] - start, common.value)
             text = np.repeat(np.arange(b - a), np.diff(of[a : b + 1]))
             base = np.concatenate([[0], ends[a : b - 1] - start])
             wanted, to = at[of[a] : of[b]] + base[text], shard[of[a] : of[b]]
@@ -269,7 +314,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_array(text: Array, wanted: Array) -> Array:
-    """The wanted positions, in the order of the MATCH bytes from each (zeros beyond the end), ties by place.
+    """The wanted positions, in the order of the MATCH bytes from each (zeros beyond the end). For texts of under 2^31 bytes.
 
     Sorted by five bytes at first; then groups that are still equal are split by the rank of what follows, until MATCH
     bytes are told apart. Suffixes whose order no wanted one depends on are left as they are.
@@ -287,7 +332,7 @@ def suffix_array(text: Array, wanted: Array) -> Array:
     needs.reverse()
     at = np.flatnonzero(needs[0])
     five = words(tail)[at].byteswap() >> np.uint64(24)
-    order = np.argsort(five, kind="stable")
+    order = np.argsort(five)
     sa, five = at[order], five[order]
     rank = np.zeros(n + MATCH, np.int64)
     starts = changes(five)
@@ -299,8 +344,8 @@ def suffix_array(text: Array, wanted: Array) -> Array:
             break
         who = sa[slot]
         mine = need[who]  # the others of a group go first, in any order
-        key = (rank[who] << bits | np.where(mine, rank[who + h], 0)) if 2 * bits < 62 else None
-        order = np.lexsort((who, key))
+        key = rank[who] << bits | np.where(mine, rank[who + h], 0)
+        order = np.argsort(key)
         who, key = who[order], key[order]
         sa[slot] = who
         new = changes(key)
@@ -459,7 +504,7 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, spans and kept from doc_id, text and runs."""
-    for batch in batches:
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(binary(whole.column("text"))[1])):
         data, ends = binary(batch.column("text"))
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         runs = batch.column("runs")
@@ -486,24 +531,29 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans), kept.cast(pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def repeats(docs: DataFrame, shard: int = SHARD, often: int = OFTEN, limit: int = SLICE) -> DataFrame:
+def repeats(docs: DataFrame, shard: int = SHARD, often: int = OFTEN, limit: int = SLICE, sample: int = SAMPLE, least: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, spans (start, end: the bytes that repeat a smaller document, as maximal runs) and kept (the other
-    bytes, one after another) of every row. docs: doc_id, text. shard, often, limit: sizes of the work, see above; the result is
-    the same for any."""
+    bytes, one after another) of every row. docs: doc_id, text. The others: sizes of the work,
+    see above; the result is the same for any."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
-    # rows with a mark of their text, since an id may repeat; each use of the texts below reads one exchange
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(key, text.alias("text"), F.xxhash64(text).alias("mark"))
+    # rows have a mark of their text, since an id may repeat; all uses of the texts below read one exchange
+    held = rows.filter("doc_id is not null")
+    number, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(rows, number, sample, least))
     buckets, shards = max(12, total // BUCKET), max(12, total // (shard * 60))
-    sized = rows.filter("doc_id is not null").select("doc_id", "mark", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")).filter(F.col("size") >= MATCH)
+    sized = held.select("doc_id", "mark", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")).filter(F.col("size") >= MATCH)
     firsts = sized.groupBy("digest").agg(F.min("doc_id").alias("first"))
     later = sized.join(firsts, "digest").filter("doc_id > first").select("doc_id", "mark", "size").distinct()
     every = later.select("doc_id", "mark")
-    own = rows.filter("doc_id is not null").join(every, ["doc_id", "mark"], "left_anti")
-    asked = blocks(own.select("doc_id", "text", "mark"), buckets, shards, often, limit).repartition(buckets, "bucket").mapInArrow(partial(shared, size=shard), REPLIES)
+    own = held.join(every, ["doc_id", "mark"], "left_anti")
+    asked = blocks(own.select("doc_id", "text", "mark"), common, buckets, shards, often, limit).repartition(buckets, "bucket").mapInArrow(partial(shared, size=shard), REPLIES)
     asked = asked.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("shards")).alias("shards"))
-    near = rows.join(asked, ["doc_id", "mark"]).select("doc_id", "text", "mark", "at", "shards").mapInArrow(contexts, CONTEXTS)
+    near = held.join(asked, ["doc_id", "mark"]).select("doc_id", "text", "mark", "at", "shards").mapInArrow(partial(contexts, common=common), CONTEXTS)
     found = near.groupBy("shard").applyInArrow(settle, FOUND).repartition("to").mapInArrow(merge, "doc_id long, mark long, start long, n long")
     copies = later.select("doc_id", "mark", F.lit(0).cast("long").alias("start"), (F.col("size") - (MATCH - 1)).cast("long").alias("n"))
     runs = found.union(copies).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return rows.join(runs, ["doc_id", "mark"], "left").select("doc_id", "text", "runs").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    told = held.join(runs, ["doc_id", "mark"], "left").select("doc_id", "text", "runs")
+    told = told.union(rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType)))
+    return told.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
