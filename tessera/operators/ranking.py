@@ -40,15 +40,15 @@ def attached(df: DataFrame, value: str, placed: DataFrame, out: str, what: Colum
     Frequent values, FREQUENT at most, are broadcast, so that none of them is a hot key of the join.
     """
     total = placed.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    table = placed.select("_v", "_n", what.alias(out))
+    table = placed.select("_v", "_n", what.alias("_out"))
     often = F.broadcast(table.filter(F.col("_n") * FREQUENT > total).drop("_n"))
-    rare = table.filter(F.col("_n") * FREQUENT <= total).drop("_n")
-    names = [*(c for c in df.columns if c != out), out]
-    known = df.filter(F.col(value).isNotNull()).drop(out)
-    hot = known.join(often, F.col(value) == often["_v"]).select(*names)
-    cold = known.join(often, F.col(value) == often["_v"], "left_anti").join(rare, F.col(value) == rare["_v"]).select(*names)
-    none = df.filter(F.col(value).isNull()).drop(out).withColumn(out, F.lit(None).cast(table.schema[out].dataType)).select(*names)
-    return hot.unionByName(cold).unionByName(none)
+    rare = table.filter(F.col("_n") * FREQUENT <= total).select(F.col("_v").alias("_key"), F.col("_out").alias("_other"), F.lit(0).cast("long").alias("_salt"))
+    names = [*(c for c in df.columns if c != out), F.coalesce("_out", "_other").alias(out)]
+    # one pass over df: rows that the broadcast has settled, and nulls, look for nothing and are spread by a number
+    rows = df.drop(out).join(often, F.col(value) == often["_v"], "left")
+    rows = rows.withColumn("_key", F.when(F.col("_v").isNull(), F.col(value)))
+    rows = rows.withColumn("_salt", F.when(F.col("_key").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0).cast("long")))
+    return rows.join(rare, ["_key", "_salt"], "left").select(*names)
 
 
 def value_ranks(df: DataFrame, value: str, out: str) -> DataFrame:

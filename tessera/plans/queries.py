@@ -16,7 +16,7 @@ from tessera.operators import tiles as T
 from tessera.operators import truth as H
 from tessera.plans import truth_table as full
 from tessera.plans import views as V
-from tessera.sources import npy, store
+from tessera.sources import cache, npy, ragged, store, tables
 from tessera.sources.storage import shared_dir, stored
 from tessera.streaming import monitor
 
@@ -134,6 +134,24 @@ def kept_fraction(spark, d):
     return T.kept_shares(T.catalog_sizes(cut), cut)
 
 
+@query(f"SELECT size, count(*) AS n, sum(charge) AS charge FROM ({SIZES}) GROUP BY size")
+def catalog_files(spark, d):
+    """The catalogues of all sizes, written by one pass with their rows counted as they go by, and read back."""
+    path, sizes = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}", [f"{w}x{t}" for w, t in P.TILE_SIZES]
+    n = tables.write_parts(T.catalog_sizes(V.cut_pixels(spark, d)), path, "size", sizes)
+    counts = F.create_map(*(x for size in sizes for x in (F.lit(size), F.lit(n[size]).cast("long"))))
+    rows = spark.read.parquet(path).groupBy("size").agg(F.sum("charge").alias("charge"))
+    return rows.select("size", F.element_at(counts, F.col("size")).alias("n"), "charge")
+
+
+@query("SELECT * FROM kept")
+def cached_tiles(spark, d):
+    """Kept tiles by way of the cache that goes by plan and input files: the second call reads what the first one wrote."""
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    cache.reused(V.kept_tiles(spark, d), folder)
+    return cache.reused(V.kept_tiles(spark, d), folder)
+
+
 @query("SELECT c.event_id, c.wire, c.t, c.adc FROM cut c JOIN kept k ON k.event_id = c.event_id AND k.tile_index = (wire // 18) * 40 + t // 16 WHERE adc > 0")
 def tile_roundtrip(spark, d):
     kept = T.with_pixels_of(V.cut_pixels(spark, d), V.kept_tiles(spark, d), V.SIZE)
@@ -416,6 +434,21 @@ def geom_features_padded_75(spark, d):
     return _padded(spark, d, 75)
 
 
+@query("""SELECT number, row, stop - n AS start, stop, part AS append FROM (SELECT row, CASE WHEN event_id < 16 THEN 'first' ELSE 'second' END AS part, crop_w * crop_h AS n,
+  row_number() OVER (ORDER BY event_id >= 16, row) - 1 AS number, CAST(sum(crop_w * crop_h) OVER (ORDER BY event_id >= 16, row) AS BIGINT) AS stop FROM kc WHERE row IN (SELECT row FROM cpix))""")
+def ragged_appends(spark, d):
+    """Offsets of the clusters' crops after two appends, the first of which was made twice."""
+    found = stored(V.kept_clusters(spark, d))
+    points = V.cluster_pixels(spark, d, found).select("row", "event_id", (F.col("wire") - F.col("wire_lo")).alias("x"), (F.col("t") - F.col("time_lo")).alias("y"), "adc", "crop_w", "crop_h")
+    points, folder = stored(points), f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    for name, part in (("first", "event_id < 16"), ("first", "event_id < 16"), ("second", "event_id >= 16")):
+        ragged.appended(T.packed(points.filter(part)), folder, name)
+    rows = ragged.read_ragged(spark, folder)
+    if rows is None:
+        return spark.createDataFrame([], "number long, row long, start long, stop long, append string")
+    return rows.select("number", "row", "start", "stop", "append")
+
+
 # truth
 
 

@@ -8,7 +8,7 @@ from os.path import abspath
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 VARIANTS = ("crop", "downscale", "binary")
@@ -93,7 +93,7 @@ def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path, made and written first if it isn't there."""
+    """The table at path, made and written first if it isn't there. It isn't made again when its inputs change: see cache.reused()."""
     if not readable(spark, path):
         make().write.parquet(path)
     return spark.read.parquet(path)
@@ -105,12 +105,28 @@ def write(df: DataFrame, path: str, by: Iterable[str] = (), force: bool = False,
 
 
 def write_checked(df: DataFrame, path: str, rows: int, by: Iterable[str] = ()) -> None:
-    """write(), and an error unless the table then has so many rows."""
-    write(df, path, by, force=True)
-    if (n := df.sparkSession.read.parquet(path).count()) != rows:
+    """write(), and an error unless so many rows were written; they are counted as they go by."""
+    seen = Observation()
+    write(df.observe(seen, F.count("*").alias("n")), path, by, force=True)
+    if (n := seen.get["n"]) != rows:
         raise AssertionError(f"{path} has {n} rows, not {rows}")
 
 
+def write_parts(df: DataFrame, path: str, by: str, values: Iterable, rows: dict | None = None, force: bool = False) -> dict:
+    """One folder for each of the values of `by`, all written by one pass over df, and the number of rows by value.
+
+    rows: how many some values must have; other numbers, and rows of other values, are an error, after writing. What is there is an
+    error unless force.
+    """
+    values, seen = list(values), Observation()
+    counts = [F.count_if(F.col(by).eqNullSafe(F.lit(v))).alias(f"n{k}") for k, v in enumerate(values)]
+    df.observe(seen, F.count("*").alias("n"), *counts).write.mode("overwrite" if force else "error").partitionBy(by).parquet(path)
+    found = {v: seen.get[f"n{k}"] for k, v in enumerate(values)}
+    if (others := seen.get["n"] - sum(found.values())) or any(found.get(v, 0) != n for v, n in (rows or {}).items()):
+        raise AssertionError(f"{path} has the rows {found} and {others} others, not {rows}")
+    return found
+
+
 def write_each(frames: dict[str, DataFrame], root: str, rows: dict[str, int] | None = None) -> None:
     """One table by name below root; none is written if any is there. rows: how many each must have."""
     for name, df in frames.items():
