@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import negatives, whole
+from tessera.llm import negatives, topk, whole
 
 
 def plain(rows, every=50, low=50, high=95):
@@ -86,3 +86,41 @@ def test_products_and_columns():
     assert sorted(zip(score, beyond, strict=True)) == list(zip(score, beyond, strict=True))
     assert [whole.from_columns(*x) for x in zip(score, beyond, strict=True)] == values
     assert whole.dense(pa.array([[1.0], [], [2.0, 3.0]], pa.list_(pa.float64()))).tolist() == [[1, 0], [0, 0], [2, 3]]
+
+
+@pytest.mark.parametrize("width", [3, 12])
+def test_topk_of_components_of_any_size(spark, width):
+    rng = random.Random(8)
+    rows = {k: [rng.choice([-1, 1]) * int(3e30) if rng.random() < 0.5 else rng.randrange(-900, 900) for _ in range(width)] for k in range(300)}
+    rows |= {k: [rng.randrange(-900, 900) for _ in range(width)] for k in range(300, 500)}
+    rows |= {600: [int(1e300)] * width, 601: [-int(1e300)] * width, 700: [1]}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows.items()], "vec_id long, v array<double>").repartition(3)
+    got = {}
+    for r in topk.search(df, df.filter("vec_id % 50 = 0"), wave=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q, found in got.items():
+        score = sorted((-sum(a * b for a, b in zip(rows[q], v, strict=False)), k) for k, v in rows.items() if k != q)[:10]
+        assert sorted(found) == [(i + 1, k, max(whole.LEAST, min(whole.MOST, -s))) for i, (s, k) in enumerate(score)], q
+    assert set(got) == {k for k in rows if k % 50 == 0}
+
+
+def test_topk_evaluates_few(spark):
+    """Most candidates are ruled out by their bounds: rows near a space of few dimensions."""
+    rng = np.random.default_rng(4)
+    x = np.floor(256 * (rng.normal(size=(3000, 6)) @ rng.normal(size=(6, 24)) + 0.05 * rng.normal(size=(3000, 24))))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, v array<double>").repartition(3)
+    taken = spark.sparkContext.accumulator(0)
+    found = topk.search(df, df.filter("vec_id % 100 = 0"), n_pivots=12, evaluated=taken).collect()
+    assert taken.value < 0.1 * 30 * 2999
+    s = x[::100] @ x.T
+    for r in found:
+        assert r["score"] == s[r["query_id"] // 100, r["vec_id"]]
+    for j in range(30):
+        s[j, 100 * j] = -np.inf
+        assert sorted(r["score"] for r in found if r["query_id"] == 100 * j) == sorted(np.sort(s[j])[-10:].astype(int).tolist())
+
+
+def test_topk_refuses_what_float64_does_not_hold(spark):
+    df = spark.createDataFrame([(100, [(1 << 53) + 1])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="float64"):
+        topk.search(df, df).collect()
