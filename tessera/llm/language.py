@@ -136,10 +136,13 @@ def train(docs: DataFrame, clusters: int = 4, max_docs: int = 500, seed: int = 5
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, size = counts(batch.column("text").to_pylist())
-            rows = [np.flatnonzero(x).astype(np.int32) for x in found]
-            columns = [pa.array(rows, pa.list_(pa.int32())), pa.array([x[r].astype(np.int32) for x, r in zip(found, rows, strict=True)], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(size), *columns], ["lang", "n", "slots", "counts"])
+            texts, rows, held, size = batch.column("text").to_pylist(), [], [], []
+            for a, b in by_size(texts):  # long texts by themselves
+                found, n = counts(texts[a:b])
+                own = [np.flatnonzero(x).astype(np.int32) for x in found]
+                rows, held, size = rows + own, held + [x[r].astype(np.int32) for x, r in zip(found, own, strict=True)], size + n.tolist()
+            columns = [pa.array(size, pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([batch.column("lang"), *columns], ["lang", "n", "slots", "counts"])
 
         return work
 

@@ -164,10 +164,22 @@ def fit_rates(members: DataFrame, model: DomainModel, target: dict[str, float],
     return Rates(rate(), {d: x / max(sum(now), 1e-300) for d, x in zip(model.domains, now, strict=True)}, error if total else 0.0)
 
 
-def mixed(docs: DataFrame, model: DomainModel, target: dict[str, float], allowed: float | None = None, **how) -> DataFrame:
-    """docs with n_words, posterior and rate. A miss of over `allowed` is an error; without it, a warning is logged."""
+def mixed(docs: DataFrame, model: DomainModel, target: dict[str, float], allowed: float | None = None, widen: int = 0, **how) -> DataFrame:
+    """docs with n_words, posterior and rate. A miss of over `allowed` is an error; without it, a warning is logged.
+
+    widen: how often the high bound may be doubled while the target is missed and that brings it nearer.
+    """
     members = stored(memberships(docs, model))
-    found = fit_rates(members.select("n_words", "posterior"), model, target, **how)
+    rows, high = members.select("n_words", "posterior"), how.pop("high", 20.0)
+    found = fit_rates(rows, model, target, high=high, **how)
+    for _ in range(widen):
+        if found.miss <= (ALLOWED if allowed is None else allowed):
+            break
+        high *= 2
+        wider = fit_rates(rows, model, target, high=high, **how)
+        if wider.miss > 0.999 * found.miss:
+            break
+        found = wider
     if found.miss > (ALLOWED if allowed is None else allowed):
         said = f"the target {target} is missed by {found.miss:.4f} of its words within these bounds; shares reached: {found.reached}"
         if allowed is not None:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import discard, map_rows, sampled, stored
+from tessera.llm.common import by_size, discard, map_rows, sampled, stored
 from tessera.operators.graph import connected_components
 
 SEED = 42
@@ -151,8 +151,11 @@ def common_shingles(docs: DataFrame, k: int, share: float = SHARE, least: int =
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [np.unique(shingle_hashes(words(t), k)) for t in batch.column("text").to_pylist()]
-            kinds, n = np.unique(np.concatenate(found), return_counts=True)
+            texts, parts = [t or "" for t in batch.column("text").to_pylist()], []
+            for a, b in by_size(texts):  # the words of so many characters at once
+                parts.append(np.unique(np.concatenate([np.unique(shingle_hashes(words(t), k)) for t in texts[a:b]]), return_counts=True))
+            kinds, where = np.unique(np.concatenate([x for x, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([x for _, x in parts] or [np.zeros(0)]), len(kinds)).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
 
         return work
