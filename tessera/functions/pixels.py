@@ -84,3 +84,8 @@ def lit_fraction(px: Column) -> Column:
 
 def vertex_distance(dw: Column, dt: Column) -> Column:
     return F.sqrt(dw * dw + dt * dt)
+
+
+def scaled(px: Column, by: float = 255.0, kind: str = "float") -> Column:
+    """Every pixel of an array divided by a number, as another type."""
+    return F.transform(px, lambda v: (v / F.lit(float(by))).cast(kind))

@@ -68,9 +68,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
 
 
-def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = (), counted: bool = False) -> DataFrame:
     """by, share, value: exact quantiles with linear interpolation, of each group; nulls don't count, groups without a value
-    give no row. No task holds a group: distinct values are counted, put in order by ranges, and two of them picked."""
+    give no row. counted: with n, the group's values. No task holds a group: distinct values are counted, put in order by ranges, and two of them picked."""
     counts = stored(df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
     earlier = Window.orderBy(*by, F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)  # one row a group
@@ -82,8 +82,8 @@ def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[st
     holds = lambda k: (to > k) & (to - F.col("_n") <= k)
     picks = F.array(*(F.struct(F.lit(float(s)).alias("share"), holds(F.floor(at(s))).alias("low"), holds(F.ceil(at(s))).alias("high"), (at(s) - F.floor(at(s))).alias("part")) for s in shares))
     found = rows.withColumn("_p", F.explode(F.filter(picks, lambda x: x["low"] | x["high"])))
-    ends = found.groupBy(*by, F.col("_p.share").alias("share")).agg(F.max(F.when(F.col("_p.low"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_p.high"), F.col("_v"))).alias("_b"), F.max("_p.part").alias("_f"))
-    return ends.select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
+    ends = found.groupBy(*by, F.col("_p.share").alias("share")).agg(F.max(F.when(F.col("_p.low"), F.col("_v"))).alias("_a"), F.max(F.when(F.col("_p.high"), F.col("_v"))).alias("_b"), F.max("_p.part").alias("_f"), F.max("_all").alias("n"))
+    return ends.select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"), *(["n"] if counted else []))
 
 
 def quantile_values(df: DataFrame, value: str, shares: tuple[float, ...]) -> list[float | None]:

@@ -22,6 +22,12 @@ def split(df: DataFrame, key: str, ratios: tuple[float, float] = (0.5, 0.1), see
     return ranked.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test")).drop("_o", "_r")
 
 
+def held_out(df: DataFrame, key: str, ratios: tuple[float, float] = (0.5, 0.1), seed: int = 42) -> DataFrame:
+    """df's rows that split() keeps for tests, with place: their number from 0 by ascending key (distinct)."""
+    rows = split(df, key, ratios, seed).filter("split = 'test'").drop("split")
+    return value_ranks(rows, key, "place").withColumn("place", F.col("place").cast("long") - 1)
+
+
 def nested_split(df: DataFrame, key: str, test: float = 0.4, val: float = 1 / 6, seed: int = 42) -> DataFrame:
     """Test first, then a share of the rest for validation."""
     return split(df, key, ((1 - test) * (1 - val), (1 - test) * val), seed)

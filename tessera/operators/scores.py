@@ -40,7 +40,7 @@ def charge_normalised(df: DataFrame, raw: str = "raw", inten: str = "inten", bin
 
     Logarithms of both; bins between the distinct quantiles of log charge; medians of bins with `least` rows or more are
     knots; linear interpolation between them, flat outside. Rows without a positive raw and inten have null. The
-    edges and knots, bins + 1 at most, are collected; everything else is one pass.
+    edges and knots, bins + 1 at most, are collected; the input is read for each of them, and for the result.
     """
     usable = (F.col(raw) > 0) & (F.col(inten) > 0)
     logs = df.filter(usable).select(F.log10(inten).alias("li"), F.log10(raw).alias("lr"))
@@ -51,9 +51,8 @@ def charge_normalised(df: DataFrame, raw: str = "raw", inten: str = "inten", bin
     for k, e in enumerate(edges[1:-1], 1):
         place = F.when(F.col("li") >= F.lit(e), k).otherwise(place)
     both = logs.select(place.alias("b"), F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("li").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("lr").alias("v")))).alias("p")).select("b", "p.axis", "p.v")
-    n = {r["b"]: r["n"] for r in both.filter("axis = 'x'").groupBy("b").agg(F.count("*").alias("n")).collect()}
-    middle = {(r["b"], r["axis"]): r["value"] for r in quantiles(both, "v", (0.5,), ("b", "axis")).collect()}
-    knots = sorted((middle[b, "x"], middle[b, "y"]) for b, k in n.items() if k >= least)
+    middle = {(r["b"], r["axis"]): (r["value"], r["n"]) for r in quantiles(both, "v", (0.5,), ("b", "axis"), counted=True).collect()}
+    knots = sorted((x, middle[b, "y"][0]) for (b, axis), (x, n) in middle.items() if axis == "x" and n >= least)
     if not knots:
         return df.withColumn("norm", F.lit(None).cast("double"))
     x = F.log10(inten)

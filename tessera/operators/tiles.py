@@ -113,6 +113,22 @@ def dense(pixels: DataFrame, size: tuple[int, int], keys: Iterable[str] = ("even
     return rows.select(*keys, "tile_index", F.concat(F.flatten(parts), gap(F.lit(sw * st - 1) - F.element_at("e", -1)["k"])).alias("px"))
 
 
+def order_check(pixels: DataFrame, size: tuple[int, int], keys: Iterable[str] = ("event_id",), shape: tuple[int, int] = (P.WIRES, P.TICKS), rtol: float = 1e-4) -> DataFrame:
+    """keys, tile_index, charge of catalog(), with an error on the first tile whose charge another numbering doesn't give: that of
+    the image cut into strips of wires, and those into ticks, one after another."""
+    keys, (sw, st) = list(keys), size
+    cuts = lambda n, step: F.sequence(F.lit(0).cast("long"), F.lit(n - step).cast("long"), F.lit(step).cast("long"))
+    starts = pixels.sparkSession.range(1).select(F.explode(F.flatten(F.transform(cuts(shape[0], sw), lambda w: F.transform(cuts(shape[1], st), lambda t: F.struct(w.alias("_w"), t.alias("_t")))))).alias("s"))
+    numbered = pixels.sparkSession.createDataFrame([(r["s"]["_w"], r["s"]["_t"], k) for k, r in enumerate(starts.collect())], "_w long, _t long, tile_index long")  # the tiles of one image
+    rows = pixels.withColumn("_w", (F.col("wire") - F.col("wire") % sw).cast("long")).withColumn("_t", (F.col("t") - F.col("t") % st).cast("long"))
+    other = rows.join(F.broadcast(numbered), ["_w", "_t"], "left").groupBy(*keys, "tile_index").agg(F.sum("adc").alias("_other"))
+    mine = catalog(pixels, size, keys, shape).select(*keys, "tile_index", "charge")
+    both = mine.join(other, [*keys, "tile_index"], "full_outer")
+    close = F.abs(F.col("charge") - F.col("_other")) <= F.lit(rtol) * F.abs("_other") + 1e-8
+    wrong = F.raise_error(F.concat(F.lit(f"the order of {sw}x{st} tiles differs at tile "), F.coalesce(F.col("tile_index").cast("string"), F.lit("?"))))
+    return both.select(*keys, "tile_index", F.when(F.coalesce(close, F.lit(False)), F.col("charge")).otherwise(wrong.cast("double")).alias("charge"))
+
+
 def lit_only(images: DataFrame, px: str = "px") -> DataFrame:
     """Images that aren't all zero."""
     return images.filter(F.exists(px, lambda x: x != 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,6 +145,24 @@ def catalog_files(spark, d):
     return rows.select("size", F.element_at(counts, F.col("size")).alias("n"), "charge")
 
 
+@query(f"SELECT size, count(*) AS n, sum(charge) AS charge FROM ({SIZES}) GROUP BY size")
+def tiling_order(spark, d):
+    """Tiles and charge by size, once both ways to number tiles agree on every tile."""
+    cut = stored(V.cut_pixels(spark, d))
+    parts = [T.order_check(cut, s).groupBy().agg(F.count("*").alias("n"), F.sum("charge").alias("charge")).withColumn("size", F.lit(f"{s[0]}x{s[1]}")) for s in P.TILE_SIZES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("SELECT vec_id, list_transform(px, lambda v: CAST(v / 255 AS FLOAT)) AS px FROM images")
+def scaled_images(spark, d):
+    return V.images(spark, d).select("vec_id", P.scaled(F.col("px")).alias("px"))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM (SELECT event_id, row_number() OVER (ORDER BY (event_id % 104729 * 7919 + 42) % 104729, event_id) AS r, count(*) OVER () AS n FROM events) WHERE r > round_even(n * 0.5, 0) + round_even(n * 0.1, 0)")
+def held_out_rows(spark, d):
+    return sampling.held_out(V.table(spark, d, "events").select("event_id"), "event_id").select("event_id", "place")
+
+
 @query("SELECT * FROM kept")
 def cached_tiles(spark, d):
     """Kept tiles by way of the cache that goes by plan and input files: the second call reads what the first one wrote."""
@@ -989,7 +1008,7 @@ def batches(spark, d):
 
 def _trained(spark, d):
     """8 x 8 images (every fifth for validation), and the convolutional autoencoder after four epochs on them."""
-    images = stored(V.images(spark, d).select("vec_id", "label", F.transform("px", lambda v: v / 100).alias("px")))
+    images = stored(V.images(spark, d).select("vec_id", "label", P.scaled(F.col("px"), 100, "double").alias("px")))
     network, held_out = training.convolutional(8, 8), F.col("vec_id") % 5 == 0
     state = training.train(images.filter(~held_out), network, models.initial_weights(8, 8), 4, 2, 1e-3, images.filter(held_out), "vec_id")
     return images, network, state
@@ -1014,7 +1033,7 @@ def conv_latent_spread(spark, d):
 def conv_training(spark, d):
     """Loss by epoch of the convolutional autoencoder on the kept tiles of 18 x 16."""
     kept = T.with_pixels_of(V.cut_pixels(spark, d), V.kept_tiles(spark, d), V.SIZE)
-    rows = T.dense(kept, V.SIZE).select((F.col("event_id") * 10000 + F.col("tile_index")).alias("row"), F.transform("px", lambda v: v / 100).alias("px"))
+    rows = T.dense(kept, V.SIZE).select((F.col("event_id") * 10000 + F.col("tile_index")).alias("row"), P.scaled(F.col("px"), 100, "double").alias("px"))
     tiles = stored(rows)
     held_out = F.pmod(F.xxhash64("row"), F.lit(10)) == 0
     state = training.train(tiles.filter(~held_out), training.convolutional(*V.SIZE), models.initial_weights(*V.SIZE), 3, 2, 1e-3, tiles.filter(held_out))
