@@ -173,6 +173,62 @@ n AS (
 SELECT * FROM n WHERE rank <= 3
 """
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT k, doc_id, s, array_slice(b, s, s + 49) AS w FROM (SELECT k, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS s FROM d WHERE doc_id IS NOT NULL AND octet_length(b) >= 50)),
+hit AS (SELECT k, s FROM (SELECT k, s, doc_id, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE first < doc_id),
+ends AS (SELECT k, s, max(s + 50) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit),
+runs AS (SELECT k, run, min(s) AS lo, max(s) + 50 AS hi FROM (SELECT k, s, count(*) FILTER (WHERE before IS NULL OR s > before) OVER (PARTITION BY k ORDER BY s) AS run FROM ends) GROUP BY k, run),
+cut AS (SELECT k, lo, hi, coalesce(lag(hi) OVER (PARTITION BY k ORDER BY lo), 1) AS from_ FROM runs),
+kept AS (SELECT k, string_agg(hex(array_slice(b, from_, lo - 1)), '' ORDER BY lo) || hex(array_slice(any_value(b), max(hi), octet_length(any_value(b)))) AS h, sum(hi - lo) AS gone, count(*) AS n FROM cut JOIN d USING (k) GROUP BY k)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(CASE WHEN kept.k IS NULL THEN b ELSE unhex(h) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+#: crc32 of a decimal number, a byte and a bit at a time.
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {CRC_SQL} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS digest FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+tops AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_ AS (
+  SELECT 0 AS level, pos, n, digest FROM tops
+  UNION ALL SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper_ WHERE n > 1 GROUP BY level, pos // 8, n),
+inner_runs AS (
+  SELECT lang, level, pos // 8 AS up, list(digest ORDER BY pos) AS digests FROM nodes WHERE n > 1 GROUP BY ALL),
+upper_runs AS (SELECT level, pos // 8 AS up, list(digest ORDER BY pos) AS digests FROM upper_ WHERE n > 1 GROUP BY ALL),
+steps AS (
+  SELECT k, level AS step, (pos >> CAST(3 * level AS BIGINT)) % 8 AS place, digests FROM leaves l JOIN inner_runs r ON r.lang IS NOT DISTINCT FROM l.lang AND r.up = pos >> CAST(3 * level + 3 AS BIGINT)
+  UNION ALL SELECT k, 1000 + level, (t.pos >> CAST(3 * level AS BIGINT)) % 8, digests FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN upper_runs r ON r.up = t.pos >> CAST(3 * level + 3 AS BIGINT)),
+turns AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY step) AS turn, array_to_string(digests[:place], '') AS before, array_to_string(digests[place + 2:], '') AS behind FROM steps),
+folds AS (
+  SELECT k, 0 AS turn, coalesce(tampered, leaf) AS digest FROM leaves
+  UNION ALL SELECT k, t.turn, sha256(before || digest || behind) FROM folds f JOIN turns t USING (k) WHERE t.turn = f.turn + 1),
+proofs AS (SELECT k, string_agg(before || behind, '' ORDER BY turn) AS proof FROM turns GROUP BY k)
+SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT digest FROM upper_ WHERE n = 1) r ON true
+LEFT JOIN proofs p ON p.k = l.k JOIN (SELECT k, arg_max(digest, turn) AS digest FROM folds GROUP BY k) f ON f.k = l.k
+"""
+
 OP4_SQL = """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -192,4 +248,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_byte_bpe, op4_url_filter, op5_lm_scoring, op6_fingerprint, op7_mixing, op8_simhash, op9_licences, op10_topk, op11_suffixes, op12_manifest, op13_hard_negatives)}
-SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+SQL = {"op4_url_filter": OP4_SQL, "op10_topk": OP10_SQL, "op11_suffixes": OP11_SQL, "op12_manifest": OP12_SQL, "op13_hard_negatives": OP13_SQL}
