@@ -511,3 +511,14 @@ def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
         after.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
     assert now.count() > 20 and "ids" in now.columns
+
+
+@pytest.mark.parametrize(("line", "licence"), [
+    ("Licensed under the MIT license.", "MIT"), ("This file is licensed under the Apache License 2.0", "Apache-2.0"), ("BSD License", "BSD-3-Clause"),
+    ("Distributed under the terms of the GNU General Public License v3", "GPL-3.0"), ("Licensed under GPLv3", "GPL-3.0"), ("// SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"),
+    ("All rights reserved. This program and the accompanying materials\n * are made available under the terms of the Eclipse Public License v1.0", "EPL-1.0"),
+    ("This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"), ("the license of the house was under the river", None),
+])
+def test_licence_phrases(spark, line, licence):
+    rows = spark.createDataFrame([("a/b.c", f"/*\n * {line}\n */\nint main() {{}}\n")], "path string, text string")
+    assert [r["licence"] for r in licences.stated(rows).collect()] == ([licence] if licence else [])
