@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tessera.sources.storage import discard, stored
 
-__all__ = ["by_size", "crc_mod", "discard", "map_rows", "with_columns", "sampled", "stored", "table"]
+__all__ = ["by_size", "crc_mod", "discard", "map_rows", "release", "with_columns", "sampled", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +65,10 @@ def by_size(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+def release() -> None:
+    """Give freed memory back to the system, as a task's last step: Python workers live on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such function
+        ctypes.CDLL(None).malloc_trim(0)

@@ -27,15 +27,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import sampled
+from tessera.llm.common import release, sampled
 
 MATCH, GRAM = 50, 20
 #: Grams in a window.
 GRAMS = MATCH - GRAM + 1
 #: Contexts in a shard; bytes of text in a slice of a task; bytes of text for each bucket of anchors.
-SHARD, SLICE, BUCKET = 16_384, 1 << 23, 24_000_000
+SHARD, SLICE, BUCKET = 16_384, 1 << 23, 20_000_000
 #: An anchor that occurs more often than this in a slice is dealt to shards from there.
 OFTEN = 256
+#: The contexts of such an anchor from so many slices go to one shard.
+SLICES = 8
 #: Grams of COMMON texts or more out of a sample of about SAMPLE are common ones, COMMONEST at most. Any choice gives the
 #: same repeats; it keeps phrases that many texts share from being anchors of texts that are otherwise unlike.
 SAMPLE, COMMON, COMMONEST = 4096, 8, 200_000
@@ -114,11 +116,7 @@ def anchors(data: Array, ends: Array, common: Array | None = None, block: int =
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts = np.concatenate([[0], ends[:-1]])
-    step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, np.maximum(starts, ends - MATCH + 1), 1)
-    np.add.at(step, ends, -1)
-    inside = np.cumsum(step[:n], dtype=np.int32) == 0  # windows that end with their text at the latest
-    found = []
+    late, found = np.maximum(starts, ends - MATCH + 1), []  # from there on windows go over their text's end
     for low in range(0, n, block):
         high = min(low + block, n)
         h = grams(data[low : high + MATCH - 1])
@@ -134,7 +132,11 @@ def anchors(data: Array, ends: Array, common: Array | None = None, block: int =
             width *= 2
         if rest := GRAMS - width:
             least = np.minimum(least[:-rest], least[rest:])
-        at = np.flatnonzero(inside[low:high])
+        some = slice(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(late, high)))
+        step = np.zeros(high - low + 1, np.int32)
+        np.add.at(step, np.clip(late[some] - low, 0, high - low), 1)
+        np.add.at(step, np.clip(ends[some] - low, 0, high - low), -1)
+        at = np.flatnonzero(np.cumsum(step[:-1]) == 0)
         if not len(at):
             continue
         place = (least[at] & np.uint64(0x1FFFF)).astype(np.int64)
@@ -152,8 +154,8 @@ def planes(numbers: Array, width: int) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def from_planes(held: bytes, width: int) -> Array:
-    part = np.frombuffer(held, np.uint8).reshape(width, -1)
+def from_planes(held: Array, width: int) -> Array:
+    part = held.reshape(width, -1)
     out = np.zeros((part.shape[1], 8), np.uint8)
     out[:, :width] = part.T
     return out.view("<u8").ravel()
@@ -184,7 +186,7 @@ def replies(doc: Array, mark: Array, at: Array, shard: Array) -> list[pa.Array]:
     return [pa.array(doc[new], pa.int64()), pa.array(mark[new], pa.int64()), lists(at, cuts, pa.int64()), lists(shard, cuts, pa.int64())]
 
 
-def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, often_: int = OFTEN, limit: int = SLICE) -> DataFrame:
+def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, groups: int, often_: int = OFTEN, limit: int = SLICE) -> DataFrame:
     """Anchors of the texts by bucket, packed: sorted 40-bit hashes, places and texts. Of anchors that occur often in a slice,
     a hash without a text, and a row (bucket null) of texts, places and shards, for each slice."""
     names = ["bucket", "keys", "at", "texts", "ids", "marks", "wanted", "shards"]
@@ -198,6 +200,7 @@ def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, often_
                 place, key, _, _ = anchors(data[start : ends[b - 1]], ends[a:b] - start, common.value)
                 if len(place):
                     yield from packed(place, key, ends[a:b] - start, ids[a:b], marks[a:b])
+        release()
 
     def packed(place, key, ends, ids, marks):
         order = np.argsort(key)
@@ -208,7 +211,8 @@ def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, often_
         times = np.diff(np.append(new, len(key)))
         often = np.repeat(times > often_, times)
         if often.any():
-            salt = np.array([ids[0]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(ids))
+            salt = np.array([ids[0]]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            salt = salt % np.uint64(groups) * np.uint64(0xC2B2AE3D27D4EB4F)
             mixed = (key[often] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
             shard = -1 - ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)  # below zero, beside the others
             doc, mark, where, to = replies(ids[text[often]], marks[text[often]], at[often], shard << 1 | 1)
@@ -233,6 +237,13 @@ def blocks(docs: DataFrame, common: Broadcast, buckets: int, shards: int, often_
     return docs.mapInArrow(work, BLOCKS)
 
 
+def pieces_of(column: pa.Array, kind: type) -> list[Array]:
+    """The values of an array of lists or bytes, as views."""
+    cut = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = column.values.to_numpy() if pa.types.is_list(column.type) else np.frombuffer(column.buffers()[2] or b"", kind)
+    return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.RecordBatch]:
     """REPLIES for the anchors of whole buckets that two documents or more have, with their shards: twice its number, and one
     more if the anchor is in several."""
@@ -242,8 +253,10 @@ def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
         if ready.num_rows:
             flat = [ready.column(c).flatten() for c in ("ids", "marks")]
             yield pa.RecordBatch.from_arrays([*flat, ready.column("wanted"), ready.column("shards")], ["doc_id", "mark", "at", "shards"])
-        for r in batch.filter(batch.column("bucket").is_valid()).select(["bucket", "keys", "at", "texts", "ids", "marks"]).to_pylist():
-            held.setdefault(r.pop("bucket"), []).append(r)
+        rows = batch.filter(batch.column("bucket").is_valid())
+        views = [pieces_of(rows.column(c), kind) for c, kind in (("keys", np.uint8), ("at", np.uint8), ("texts", np.uint8), ("ids", np.int64), ("marks", np.int64))]
+        for bucket, *parts in zip(rows.column("bucket").to_pylist(), *views, strict=True):
+            held.setdefault(bucket, []).append(dict(zip(("keys", "at", "texts", "ids", "marks"), parts, strict=True)))
     for bucket in sorted(held):
         parts = held.pop(bucket)
         # first the hashes alone: most are there once
@@ -263,7 +276,7 @@ def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
             local = from_planes(r["texts"], 3)[rows].astype(np.int64)
             place[own] = from_planes(r["at"], 5)[rows]
             often[own] = local == len(r["ids"])
-            doc[own], mark[own] = (np.append(np.array(r[c], np.int64), 0)[local] for c in ("ids", "marks"))
+            doc[own], mark[own] = (np.append(r[c], 0)[local] for c in ("ids", "marks"))
         new = changes(key)
         times = np.diff(np.append(new, len(key)))
         many = np.logical_or.reduceat(often, new)
@@ -277,9 +290,10 @@ def shared(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
         several = np.repeat((turn[first] != turn[last]) | many[group[first]], last - first + 1)
         columns = replies(doc[kept], mark[kept], at[kept], (bucket << 24 | turn) << 1 | several)
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "at", "shards"])
+    release()
 
 
-CONTEXTS = "shard long, docs array<long>, marks array<long>, starts array<long>, counts array<long>, several array<boolean>, bytes binary"
+CONTEXTS = "shard long, docs array<long>, marks array<long>, starts array<long>, counts array<long>, several array<boolean>, size long, bytes binary"
 
 
 def ranges(starts: Array, lengths: Array) -> Array:
@@ -289,6 +303,7 @@ def ranges(starts: Array, lengths: Array) -> Array:
 
 def contexts(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[pa.RecordBatch]:
     """doc_id, mark, text, at, shards (lists): the contexts of the anchors, packed by shard."""
+    zstd = pa.Codec("zstd")
     for batch in batches:
         data, ends = binary(batch.column("text"))
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
@@ -308,9 +323,10 @@ def contexts(batches: Iterator[pa.RecordBatch], common: Broadcast) -> Iterator[p
             lengths = count[k] + MATCH - 1
             size = np.concatenate([[0], np.cumsum(lengths)])[cuts]
             held = np.concatenate([data[start:][ranges(first[k][p : p + 50_000], lengths[p : p + 50_000])] for p in range(0, len(k), 50_000)])
-            texts = pa.Array.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(size.astype(np.int64)), pa.py_buffer(held)]).cast(pa.binary())
-            columns = [pa.array(to[new] >> 1, pa.int64()), *(lists(x, cuts, pa.int64()) for x in (ids[a:b][text], marks[a:b][text], first[k] - base[text], count[k])), lists((to & 1).astype(bool), cuts, pa.bool_()), texts]
-            yield pa.RecordBatch.from_arrays(columns, ["shard", "docs", "marks", "starts", "counts", "several", "bytes"])
+            texts = [zstd.compress(held[x:y], asbytes=True) for x, y in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+            columns = [pa.array(to[new] >> 1, pa.int64()), *(lists(x, cuts, pa.int64()) for x in (ids[a:b][text], marks[a:b][text], first[k] - base[text], count[k])), lists((to & 1).astype(bool), cuts, pa.bool_()), pa.array(np.diff(size)), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "docs", "marks", "starts", "counts", "several", "size", "bytes"])
+    release()
 
 
 def suffix_array(text: Array, wanted: Array) -> Array:
@@ -396,17 +412,13 @@ def settle(shard: pa.Table) -> pa.Table:
     the windows that no smaller document of this shard has."""
     rows = shard.combine_chunks()
     doc, mark, start, n, several = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("docs", "marks", "starts", "counts", "several"))
-    held = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
-    number, out = rows.column("shard")[0].as_py(), []
-    ends = np.cumsum(n + MATCH - 1)
-    pieces = list(slices(ends, SORTED))
-    for a, b in pieces:
-        base = ends[a - 1] if a else 0
-        out += settled(doc[a:b], mark[a:b], start[a:b], n[a:b], several[a:b] | (len(pieces) > 1), held[base : ends[b - 1]], number)
-    return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 6 + [pa.array([], pa.binary())], NAMES)
+    zstd = pa.Codec("zstd")
+    parts = [zstd.decompress(b, int(z), asbytes=True) for b, z in zip(rows.column("bytes").to_pylist(), rows.column("size").to_pylist(), strict=True)]
+    return pa.concat_tables(settled(doc, mark, start, n, several, np.frombuffer(b"".join(parts), np.uint8), rows.column("shard")[0].as_py()))
 
 
 def settled(doc: Array, mark: Array, start: Array, n: Array, several: Array, held: Array, number: int) -> list[pa.Table]:
+    """settle() of contexts of n windows each, end to end in held."""
     lengths = n + MATCH - 1
     low = np.cumsum(lengths) - lengths
     # equal contexts are one, with its smallest document
@@ -420,19 +432,25 @@ def settled(doc: Array, mark: Array, start: Array, n: Array, several: Array, hel
     np.logical_or.at(edge, kind, several)
     copies = np.flatnonzero(doc > least[kind])
     out = [table(doc[copies], mark[copies], start[copies], n[copies])]
-    # windows of the different contexts
+    # windows of the different contexts; in parts that are sorted one by one if there are too many bytes
     counts = n[one]
     size = counts + MATCH - 1
     text = held[ranges(low[one], size)]
     base = np.cumsum(size) - size
-    wanted = np.zeros(len(text), bool)
-    wanted[ranges(base, counts)] = True
-    owner = np.repeat(np.arange(len(one)), size)
-    sa = suffix_array(text, wanted)
-    first = np.flatnonzero(common_prefixes(text, sa, wanted, base, counts) < MATCH)
-    smallest = np.minimum.reduceat(least[owner[sa]], first) if len(sa) else least[:0]
-    again = np.zeros(len(text), bool)
-    again[sa] = np.repeat(smallest, np.diff(np.append(first, len(sa)))) < least[owner[sa]]
+    place, again = np.zeros(len(text), np.int64), np.zeros(len(text), bool)
+    parts = list(slices(base + size, SORTED))
+    edge |= len(parts) > 1
+    for a, b in parts:
+        begin, end = base[a], base[b - 1] + size[b - 1]
+        own = text[begin:end]
+        wanted = np.zeros(len(own), bool)
+        wanted[ranges(base[a:b] - begin, counts[a:b])] = True
+        owner = np.repeat(np.arange(a, b), size[a:b])
+        sa = suffix_array(own, wanted)
+        first = np.flatnonzero(common_prefixes(own, sa, wanted, base[a:b] - begin, counts[a:b]) < MATCH)
+        smallest = np.minimum.reduceat(least[owner[sa]], first)
+        again[begin + sa] = np.repeat(smallest, np.diff(np.append(first, len(sa)))) < least[owner[sa]]
+        place[begin + sa] = np.arange(len(sa)) + begin
     # rows of the contexts' smallest documents: runs of repeats
     keep = np.flatnonzero(doc == least[kind])
     row = np.repeat(keep, n[keep])
@@ -444,8 +462,6 @@ def settled(doc: Array, mark: Array, start: Array, n: Array, several: Array, hel
     out.append(table(doc[own], mark[own], start[own] + offset[new], np.diff(np.append(new, len(hit)))))
     left = np.flatnonzero(~again[window] & edge[kind[row]])
     if len(left):
-        place = np.zeros(len(text), np.int64)
-        place[sa] = np.arange(len(sa))
         left = left[np.argsort(place[window[left]], kind="stable")]  # a sorted list of windows
         bytes_ = text[window[left][:, None] + np.arange(MATCH)]
         eights = np.ascontiguousarray(np.pad(bytes_, ((0, 0), (0, -MATCH % 8)))).view("<u8")
@@ -504,7 +520,7 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, spans and kept from doc_id, text and runs."""
-    for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(binary(whole.column("text"))[1])):
+    for batch in (whole.slice(a, b - a) for whole in batches for a, b in slices(binary(whole.column("text"))[1], SLICE // 8)):
         data, ends = binary(batch.column("text"))
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         runs = batch.column("runs")
@@ -548,7 +564,7 @@ def repeats(docs: DataFrame, shard: int = SHARD, often: int = OFTEN, limit: int
     later = sized.join(firsts, "digest").filter("doc_id > first").select("doc_id", "mark", "size").distinct()
     every = later.select("doc_id", "mark")
     own = held.join(every, ["doc_id", "mark"], "left_anti")
-    asked = blocks(own.select("doc_id", "text", "mark"), common, buckets, shards, often, limit).repartition(buckets, "bucket").mapInArrow(partial(shared, size=shard), REPLIES)
+    asked = blocks(own.select("doc_id", "text", "mark"), common, buckets, shards, max(1, total // (SLICES * limit)), often, limit).repartitionById(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("ids"), F.lit(buckets))).cast("int")).mapInArrow(partial(shared, size=shard), REPLIES)
     asked = asked.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("shards")).alias("shards"))
     near = held.join(asked, ["doc_id", "mark"]).select("doc_id", "text", "mark", "at", "shards").mapInArrow(partial(contexts, common=common), CONTEXTS)
     found = near.groupBy("shard").applyInArrow(settle, FOUND).repartition("to").mapInArrow(merge, "doc_id long, mark long, start long, n long")
