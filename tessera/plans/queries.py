@@ -591,7 +591,7 @@ def truth_table_store(spark, d):
 
 @query("""SELECT e.event_id, n_hits, charge, coalesce(n_deposits, 0) AS n_deposits, coalesce(n_particles, 0) AS n_particles, nu_pdg FROM (
   SELECT event_id, count(*) AS n_hits, CAST(sum(integral) AS BIGINT) AS charge FROM hits GROUP BY 1) e LEFT JOIN (
-  SELECT h.event_id, count(*) AS n_deposits FROM edep JOIN hits h USING (l_orderkey, l_partkey, l_suppkey, l_linenumber) GROUP BY 1) d ON d.event_id = e.event_id LEFT JOIN (
+  SELECT l_orderkey % 32 AS event_id, count(*) AS n_deposits FROM edep GROUP BY 1) d ON d.event_id = e.event_id LEFT JOIN (
   SELECT event_id, count(*) AS n_particles FROM part_pdg GROUP BY 1) p ON p.event_id = e.event_id LEFT JOIN nus n ON n.event_id = e.event_id""")
 def nested_events(spark, d):
     """What each event holds, from one row an event with arrays of hits, deposits, particles and neutrinos."""
