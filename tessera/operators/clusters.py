@@ -120,18 +120,27 @@ def boxes(clusters: DataFrame, size: tuple[int, int] = (18, 16), pad: int = 1, s
     return out.withColumns({"crop_w": F.col("wire_hi") - F.col("wire_lo"), "crop_h": F.col("time_hi") - F.col("time_lo")})
 
 
+def touched(clusters: DataFrame, size: tuple[int, int] = (18, 16)) -> DataFrame:
+    """clusters once for each tile that their pixel box touches, with its tile_index; none for empty boxes."""
+    sw, st = size
+    clusters = clusters.filter((F.col("wire_lo") < F.col("wire_hi")) & (F.col("time_lo") < F.col("time_hi")))
+    r = F.sequence(F.floor(F.col("wire_lo") / sw), F.floor((F.col("wire_hi") - 1) / sw))
+    c = F.sequence(F.floor(F.col("time_lo") / st), F.floor((F.col("time_hi") - 1) / st))
+    tiles = clusters.withColumn("_r", F.explode(r)).withColumn("_c", F.explode(c))
+    return tiles.withColumn("tile_index", (F.col("_r") * (P.TICKS // st) + F.col("_c")).cast("long")).drop("_r", "_c")
+
+
+def within(tiles: DataFrame, points: DataFrame, size: tuple[int, int] = (18, 16), keys: Iterable[str] = ("event_id",)) -> DataFrame:
+    """inside() of the clusters that touched() gave these tiles."""
+    rows = points.withColumn("tile_index", P.tile_index(F.col("wire"), F.col("t"), *size))
+    box = (F.col("wire") >= F.col("wire_lo")) & (F.col("wire") < F.col("wire_hi")) & (F.col("t") >= F.col("time_lo")) & (F.col("t") < F.col("time_hi"))
+    return tiles.join(rows, [*keys, "tile_index"]).filter(box).drop("tile_index")
+
+
 def inside(clusters: DataFrame, points: DataFrame, size: tuple[int, int] = (18, 16), keys: Iterable[str] = ("event_id",)) -> DataFrame:
     """Each cluster with the points (keys, wire, t, ...) in its pixel box; a point may lie in several.
 
     The range join is an equality join on the tiles that a box touches, and the range itself for what is left: boxes may lie
     off the tile grid, and each point is found once.
     """
-    sw, st = size
-    clusters = clusters.filter((F.col("wire_lo") < F.col("wire_hi")) & (F.col("time_lo") < F.col("time_hi")))
-    r = F.sequence(F.floor(F.col("wire_lo") / sw), F.floor((F.col("wire_hi") - 1) / sw))
-    c = F.sequence(F.floor(F.col("time_lo") / st), F.floor((F.col("time_hi") - 1) / st))
-    tiles = clusters.withColumn("_r", F.explode(r)).withColumn("_c", F.explode(c))
-    tiles = tiles.withColumn("tile_index", (F.col("_r") * (P.TICKS // st) + F.col("_c")).cast("long")).drop("_r", "_c")
-    rows = points.withColumn("tile_index", P.tile_index(F.col("wire"), F.col("t"), sw, st))
-    within = (F.col("wire") >= F.col("wire_lo")) & (F.col("wire") < F.col("wire_hi")) & (F.col("t") >= F.col("time_lo")) & (F.col("t") < F.col("time_hi"))
-    return tiles.join(rows, [*keys, "tile_index"]).filter(within).drop("tile_index")
+    return within(touched(clusters, size), points, size, keys)

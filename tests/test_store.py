@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import clusters, truth
 from tessera.plans import queries
 from tessera.sources import store
+from tests.compare import both
 
 
 def plan(df):
@@ -52,6 +53,32 @@ def test_nested(kept):
         made.add("hits", hits)
 
 
+def test_nested_in_parts(kept):
+    """No array is longer than `most`, and every row is in one of them."""
+    made, _ = kept
+    rows = made.nested("hits", "deposits", "particles", most=7).collect()
+    assert max(len(r[n]) for r in rows for n in ("hits", "deposits", "particles")) == 7
+    assert sorted({r["part"] for r in rows if r["event_id"] == 3}) == list(range(6)) and len(rows) == 42
+    for name in ("hits", "deposits", "particles"):
+        found = sorted((r["event_id"], *x) for r in rows for x in r[name])
+        table = made[name]
+        assert found == sorted(tuple(r) for r in table.select("event_id", *(c for c in table.columns if c != "event_id")).collect())
+
+
+def test_nested_events_holds_no_event_whole(spark, monkeypatch):
+    plain, seen = store.EventStore.nested, []
+
+    def nested(self, *names, **options):
+        out = plain(self, *names, **options)
+        seen.append(out.select(*(F.max(F.size(n)) for n in names)).first())
+        return out
+
+    monkeypatch.setattr(store.EventStore, "nested", nested)
+    monkeypatch.setattr(queries, "NESTED", 4)
+    got, want = both(spark, "nested_events", queries.QUERIES["nested_events"], queries.SQL["nested_events"])
+    assert got == want and max(seen[0]) == 4
+
+
 def test_truth_table_exchanges_nothing_by_event(spark):
     df = queries._store_truth(spark, "/root/testdata/sf0.001")
     assert not re.findall(r"Exchange hashpartitioning\(event_id#\d+L?,", plan(df))
