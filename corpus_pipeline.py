@@ -47,12 +47,14 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of copies and near copies (five words, 0.8).
+    """One document, that of the smallest id, of each group of copies and near copies: those that the fingerprints of op8_simhash link,
+    and texts of a similarity of 0.8 (five words), which two bits can't find all of.
 
     Empty texts are copies of one another. Of rows that repeat an id one stays; rows with a null id can't be told apart and
     stay.
     """
-    return simhash.first_of_each(docs)
+    linked = stored(simhash.groups(simhash.fingerprints(docs)))
+    return simhash.first_of_each(docs, linked=linked)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,8 @@ def groups(prints: DataFrame) -> DataFrame:
 
 
 # Near copies. At a shingle similarity of 0.8 the fingerprints of two texts differ in ten bits on average: links of two
-# bits find few of such pairs. So texts are joined by a prefix filter on their shingles, which loses no pair.
+# bits find few of such pairs. So what the fingerprints' groups leave apart is joined by a prefix filter on shingles as well,
+# which loses no pair.
 
 #: Share of the texts that tells which shingles are common: those in COMMON of them or more, COMMONEST at most. Any choice
 #: gives the same groups, it settles the order of the prefixes only.
@@ -236,9 +237,10 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Da
     return both.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share: float = SHARE, least: int = COMMON, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share: float = SHARE, least: int = COMMON, most: int = MOST, linked: DataFrame | None = None) -> DataFrame:
     """doc_id, component_id: groups of copies and of texts whose k-word shingle sets have a Jaccard similarity of
-    `similarity` or more, linked through one another.
+    `similarity` or more, linked through one another. linked: doc_id, component_id of groups that stand already, like those of
+    groups(): they are part of the outcome, and pairs within one aren't verified.
 
     Copies (equal words) count as one text. Every pair that shares a shingle of both prefixes is a candidate, and all
     candidates are verified by their sets. Under keys of more than `most` texts, each meets two of them first; then the
@@ -250,6 +252,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share:
     texts = stored(known.groupBy("copy").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     rows, names = stored(known.select("doc_id", "copy")), stored(texts.select("copy", "id"))
     discard(known)
+    first = None
+    if linked is not None:
+        first = stored(names.join(linked, names.id == linked.doc_id).groupBy("id").agg(F.min("component_id").alias("c")))
+
+    def joined(edges: DataFrame) -> DataFrame:
+        return edges if first is None else edges.union(first.select(F.col("c").alias("a"), F.col("id").alias("b")).filter("a <> b"))
+
+    def still_apart(pairs: DataFrame) -> DataFrame:
+        if first is None:
+            return pairs
+        ca, cb = (first.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        return pairs.join(ca, "a", "left").join(cb, "b", "left").filter("not ca <=> cb").select("a", "b")
+
     shared = stored(shared_keys(texts))
     discard(texts)
     few, hot = shared.filter(F.col("n") <= most), shared.filter(F.col("n") > most)
@@ -262,8 +277,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share:
         alike_sizes = F.least("size", "r.size") + 1e-6 >= F.lit(similarity) * F.greatest("size", "r.size")
         stars = stars.filter((F.col("id") != F.col("r.id")) & alike_sizes)
         pairs = pairs.union(stars.select(F.least("id", "r.id").alias("a"), F.greatest("id", "r.id").alias("b")))
-    alike = stored(verified(docs, pairs.distinct(), k, similarity))
-    part = connected_components(alike)
+    alike = stored(verified(docs, still_apart(pairs.distinct()), k, similarity))
+    part = connected_components(joined(alike))
     if any_hot:
         part = stored(part)
         grouped = stored(hot.join(part, hot.id == part.node, "left").withColumn("c", F.coalesce("component", "id")).drop("node", "component"))
@@ -271,19 +286,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, share:
         out = stored(grouped.join(main, "key").filter("c <> main").drop("main"))  # not in the group of the key's centre
         if not out.isEmpty():
             more = candidates(out, grouped, similarity, True).union(candidates(grouped, out, similarity, True)).distinct()
-            part = connected_components(alike.union(verified(docs, more, k, similarity)))
+            part = connected_components(joined(alike.union(verified(docs, more, k, similarity))))
         discard(grouped, out)
     discard(shared)
     least_ = stored(names.join(part, names.id == part.node, "left").select("copy", F.coalesce("component", "id").alias("component_id")))
     return rows.join(least_, "copy").select("doc_id", "component_id")
 
 
-def first_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def first_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, linked: DataFrame | None = None) -> DataFrame:
     """docs without all but the smallest doc_id of each group of near_duplicates(); one row of each doc_id.
 
     Rows with a null doc_id can't be told apart and stay.
     """
-    groups_ = stored(near_duplicates(docs, k, similarity).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
+    groups_ = stored(near_duplicates(docs, k, similarity, linked=linked).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")))
     kept = groups_.filter("doc_id = c")
     out = docs.join(kept.filter("n = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not kept.filter("n > 1").isEmpty():

@@ -240,6 +240,27 @@ def test_pipeline_stages_equal_plain_python(spark, folder):
         assert (r["ids"] == ids) is True and r["n_tokens"] == len(ids)
 
 
+def test_near_copies_go_by_fingerprints_and_by_sets(spark, folder):
+    """The stage keeps one of each group of op8, and one of each of what all pairs of sets link besides."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    line, base = some(11), [some(120) for _ in range(3)]
+    texts = {k: f"{line} " * 100 + some(25) for k in range(6)}  # a line repeated: the same fingerprint, other sets
+    texts |= {10 + k: b for k, b in enumerate(base)} | {20 + k: f"{b} {some(12)}" for k, b in enumerate(base)}  # the same sets but for an end
+    texts |= {30 + k: some(60) for k in range(8)} | {40: texts[3] + " " + base[1]}
+    prints, sets = grouped({k: plain_print(t) for k, t in texts.items()}), by_all_pairs(texts)
+    assert {prints[k] for k in range(6)} == {0} and {sets[k] for k in range(6)} == set(range(6))
+    assert [prints[20 + k] for k in range(3)] == [20, 21, 22] and [sets[20 + k] for k in range(3)] == [10, 11, 12]
+    df = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, folder).collect()}
+    top = {k: k for k in texts}
+    for _ in texts:  # the smallest id that links of either kind reach
+        for part in (prints, sets):
+            least = {g: min(top[k] for k in texts if part[k] == g) for g in part.values()}
+            top = {k: least[part[k]] for k in texts}
+    assert kept == set(top.values()) and {0, 10, 11, 12} <= kept and not {1, 2, 3, 4, 5, 20, 21, 22} & kept
+
+
 def test_pipeline_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder)
     assert types(rows)[:3] == [("doc_id", "bigint"), ("lang", "string"), ("source", "string")]
