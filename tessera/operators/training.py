@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import models
+from tessera.sources.storage import stored
 
 Weights = dict[str, np.ndarray]
 #: Tasks whose sums are added up by one task.
 TOGETHER = 64
+#: Images of one part of what train() goes over, and of one product of arrays within a batch.
+PART, FEW = 512, 32
 #: Bytes of one row of a checkpoint.
 ROW = 1 << 25
 
@@ -43,9 +47,7 @@ class Network:
 
 def conv_back(x: np.ndarray, weight: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gradients of models.conv() with respect to its input, weights and biases."""
-    padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
-    windows = np.lib.stride_tricks.sliding_window_view(padded, (3, 3), axis=(1, 2))
-    to_weight = np.einsum("nwhcij,nwho->ijco", windows, back, optimize=True)
+    to_weight = (models.neighbourhoods(x).T @ back.reshape(-1, back.shape[-1])).reshape(weight.shape)
     to_input = models.conv(back, weight[::-1, ::-1].transpose(0, 1, 3, 2), np.zeros(x.shape[-1], x.dtype))
     return to_input, to_weight, back.sum(axis=(0, 1, 2))
 
@@ -98,12 +100,21 @@ def conv_gradients(v: Weights, x: np.ndarray) -> tuple[Weights, float]:
     return {k: g[k] for k in v}, float((miss.astype(np.float64) ** 2).mean(axis=(1, 2, 3)).sum())
 
 
+def few_at_once(v: Weights, x: np.ndarray) -> tuple[Weights, float]:
+    """conv_gradients() of a few images after another: their neighbourhoods stay small."""
+    total, loss = conv_gradients(v, x[:FEW])
+    for start in range(FEW, len(x), FEW):
+        found, lost = conv_gradients(v, x[start : start + FEW])
+        total, loss = {k: total[k] + a for k, a in found.items()}, loss + lost
+    return total, loss
+
+
 def convolutional(w: int, h: int) -> Network:
     """The convolutional autoencoder for frames of w x h, given as flat arrays."""
     shaped = lambda x: np.asarray(x).reshape(len(x), w, h)
     return Network(
-        lambda v, x: conv_layers(v, shaped(x))["conv5"].reshape(len(x), -1),
-        lambda v, x: conv_gradients(v, shaped(x)),
+        lambda v, x: np.concatenate([conv_layers(v, shaped(x[p : p + FEW]))["conv5"].reshape(len(x[p : p + FEW]), -1) for p in range(0, max(1, len(x)), FEW)]),
+        lambda v, x: few_at_once(v, shaped(x)),
         lambda v, x: {k: a.reshape(len(x), -1) for k, a in conv_layers(v, shaped(x)).items()},
         "dense1",
     )
@@ -223,6 +234,14 @@ def mean_loss(images: DataFrame, network: Network, weights: Weights, px: str = "
     return sum(x["loss"] for r in rows for x in r["l"]) / n if n else float("nan")
 
 
+def dealt(images: DataFrame, key: str = "row", px: str = "px") -> DataFrame:
+    """images (key, px) stored in parts of about PART, by the hash of the key: all cores have some of them, however few bytes they
+    are, and each part has the same images in the same order on every run."""
+    rows = images.select(key, px)
+    parts = max(1, ceil(rows.count() / PART))
+    return stored(rows.repartition(parts, key).sortWithinPartitions(key, px))
+
+
 def adam(state: State, gradient: Weights, rate: float) -> None:
     state.step += 1
     for name, g in gradient.items():
@@ -241,6 +260,8 @@ def train(images: DataFrame, network: Network, weights: Weights, epochs: int = 1
     """
     spark = images.sparkSession
     state = (resumed(spark, folder, epochs) if folder else None) or fresh(weights)
+    if state.epoch < epochs:
+        images, validation = dealt(images, key, px), None if validation is None else dealt(validation, key, px)
     while state.epoch < epochs:
         lost, seen = 0.0, 0
         for step in range(steps):

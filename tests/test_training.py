@@ -60,6 +60,22 @@ def test_loss_falls(spark, w, h):
     assert {len(r["code"]) for r in scored} == {80} and {len(r["pool"]) for r in scored} == {20 * w * h // 4}
 
 
+def test_steps_share_out_images_of_one_file(spark, monkeypatch):
+    """Images that lie in one part are trained on in many tasks, and how they lay makes no difference."""
+    plain, parts = training.gradient_sums, []
+
+    def seen(images, *how):
+        parts.append(images.select(F.input_file_name().alias("f")).distinct().count())
+        return plain(images, *how)
+
+    monkeypatch.setattr(training, "gradient_sums", seen)
+    rows, network, start = frame(spark, tiles(4, 4, 1200)), training.convolutional(4, 4), models.initial_weights(4, 4, 3)
+    one = training.train(rows.coalesce(1), network, start, 1, 2)
+    assert parts == [3, 3]
+    many = training.train(rows.repartition(7), network, start, 1, 2)
+    assert one.losses == many.losses and all(np.array_equal(one.weights[k], many.weights[k]) for k in start)
+
+
 def test_resume_gives_the_same_weights(spark, tmp_path):
     rows, network, start = frame(spark, tiles(4, 4, 30)), training.convolutional(4, 4), models.initial_weights(4, 4, 3)
     how = {"steps": 2, "validation": rows.filter("row % 4 = 0")}
