@@ -95,3 +95,12 @@ def test_boxes_off_the_grid(spark):
     b = spark.createDataFrame(boxes, "event_id long, row long, wire_lo long, wire_hi long, time_lo long, time_hi long")
     got = sorted((r["row"], r["wire"], r["t"]) for r in clusters.inside(b, p).collect())
     assert got == sorted((r, w, t) for e, r, a, c, x, y in boxes for f, w, t in points if e == f and a <= w < c and x <= t < y)
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    """What a task holds of few, large events is bounded: buckets are by slices too, and as many as the rows need."""
+    assert store.new_store(spark).buckets == 4 and store.new_store(spark, rows=9 * store.ROWS + 1).buckets == 10
+    monkeypatch.setattr(store, "ROWS", 500)
+    made = queries._event_store(spark, "/root/testdata/sf0.001")
+    each = made["hits"].select("event_id", F.spark_partition_id().alias("b")).groupBy("event_id").agg(F.countDistinct("b").alias("n")).collect()
+    assert made.buckets == 12 and min(r["n"] for r in each) > 1 and made.spark.conf.get("spark.sql.shuffle.partitions") == "12"
