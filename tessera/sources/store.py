@@ -19,7 +19,7 @@ from tessera.sources.storage import shared_dir
 #: Joins by event and other keys use the buckets too.
 SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.sources.bucketing.enabled": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
 #: Rows of a bucket, about, of a table that new_store() is told the size of.
-ROWS = 500_000
+ROWS = 250_000
 
 
 @dataclass

@@ -104,3 +104,14 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
     made = queries._event_store(spark, "/root/testdata/sf0.001")
     each = made["hits"].select("event_id", F.spark_partition_id().alias("b")).groupBy("event_id").agg(F.countDistinct("b").alias("n")).collect()
     assert made.buckets == 12 and min(r["n"] for r in each) > 1 and made.spark.conf.get("spark.sql.shuffle.partitions") == "12"
+
+
+def test_a_tile_has_several_buckets(spark, monkeypatch):
+    """Hits of a tile that many share go to several tasks, those of a pixel to one."""
+    monkeypatch.setattr(store, "ROWS", 500)
+    made = queries._event_store(spark, "/root/testdata/sf0.001")
+    tiles, pixels = {}, {}
+    for r in made["hits"].select("event_id", "slice", "wire", "t", F.spark_partition_id().alias("b")).collect():
+        tiles.setdefault((r["event_id"], r["wire"] // 18, r["t"] // 16), []).append(r["b"])
+        pixels.setdefault((r["event_id"], r["wire"], r["t"]), set()).add(r["b"])
+    assert len(set(max(tiles.values(), key=len))) > 3 and {len(b) for b in pixels.values()} == {1}
