@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from array import array
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
@@ -24,7 +25,10 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import by_size, with_columns
 
-KEPT = 500_000
+KEPT = 1_000_000
+#: Links of short pieces, to be copied.
+SHORT = 64
+NEXT, LAST = list(range(1, SHORT + 1)), list(range(-1, SHORT - 1))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -90,36 +94,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n, get = len(piece), ranks.get
     shift = n.bit_length()
     mask = (1 << shift) - 1
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at a byte; after is also its end
-    pair = [-1 if (r := get(piece[k : k + 2])) is None else r << shift | k for k in range(n - 1)]  # rank and place of a part with the next one
-    heap = [x for x in pair if x >= 0]
-    pair.append(-1)
+    if n <= SHORT:
+        after, before = NEXT[:n], LAST[:n]
+    else:
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # after and before: of the part that begins at a byte; after is also its end. own: its rank. pair: rank and place of it with the next one
+    own, pair, heap = [ranks[piece[k : k + 1]] for k in range(n)], [-1] * n, []
+    for k in range(n - 1):
+        if (r := get(piece[k : k + 2])) is not None:
+            pair[k] = x = r << shift | k
+            heap.append(x)
     heapify(heap)
     while heap:
         x = heappop(heap)
         k = x & mask
         if pair[k] != x:
             continue  # one of the two parts has changed since
-        mid = after[k]
+        own[k], mid = x >> shift, after[k]
         after[k] = end = after[mid]
-        pair[mid] = pair[k] = -1
+        pair[mid] = -1
         if end < n:
             before[end] = k
-            r = get(piece[k : after[end]])
-            if r is not None:
+            if (r := get(piece[k : after[end]])) is not None:
                 pair[k] = x = r << shift | k
                 heappush(heap, x)
+            else:
+                pair[k] = -1
+        else:
+            pair[k] = -1
         left = before[k]
         if left >= 0:
-            r = get(piece[left:end])
-            if r is None:
-                pair[left] = -1
-            else:
+            if (r := get(piece[left:end])) is not None:
                 pair[left] = x = r << shift | left
                 heappush(heap, x)
+            else:
+                pair[left] = -1
     out, k = [], 0
     while k < n:
-        out.append(ranks[piece[k : after[k]]])
+        out.append(own[k])
         k = after[k]
     return out
 
@@ -130,7 +142,8 @@ class Tokenizer:
     A text is cut before each space that follows something else than white space. No match of the split patterns in
     use spans such a cut or looks beyond it, so that a chunk, as a rule a word with what is attached to it,
     is split and encoded once and then kept, as is each pre-token. words: the pattern takes letters, with one space
-    before them or none, as one match, so that such a chunk needs no split.
+    before them or none, as one match, so that such a chunk needs no split and is its own pre-token. What hasn't been met
+    for a while makes room: of two tables, the older is dropped when the newer is full, and what it still serves is taken over.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, whole: PerfectHash, words: bool = True):
@@ -138,34 +151,62 @@ class Tokenizer:
         self.words, self.parts = words, {v: k for k, v in ranks.items()}
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        split, words = self.split, self.words
-        found = [(c,) if words and (c.isalpha() or c[:1] == " " and c[1:].isalpha()) else split(c) for c in chunks]
-        if new := list(set().union(*found).difference(self.pieces)):
-            raw = [p.encode("utf-8", "surrogatepass") for p in new]
-            for piece, key, rank in zip(new, raw, self.whole.find(raw).tolist(), strict=True):
-                # the hash finds the entry, its bytes confirm it
-                ids = [rank] if rank >= 0 and self.parts[rank] == key else merge(key, self.ranks)
-                self.pieces[piece] = array("i", ids).tobytes()
-        get = self.pieces.__getitem__
-        for chunk, own in zip(chunks, found, strict=True):
-            self.chunks[chunk] = b"".join(map(get, own))
+        self.older: dict[str, bytes] = {}
+
+    def is_word(self, piece: str) -> bool:
+        return self.words and (piece.isalpha() or piece[:1] == " " and piece[1:].isalpha())
+
+    def merged(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        for piece, key, rank in zip(pieces, raw, self.whole.find(raw).tolist(), strict=True):
+            # the hash finds the entry, its bytes confirm it
+            ids = [rank] if rank >= 0 and self.parts[rank] == key else merge(key, self.ranks)
+            into[piece] = array("i", ids).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Words are kept as chunks, other pre-tokens as pieces."""
+        chunks, older, pieces = self.chunks, self.older, self.pieces
+        known = {c for c in new if c in older}
+        for c in known:
+            chunks[c] = older[c]
+        mixed = [c for c in new - known if not self.is_word(c)]
+        found = [self.split(c) for c in mixed]
+        parts = set().union(*found)
+        words = {p for p in parts if self.is_word(p)}
+        for p in words:
+            if p in older and p not in chunks:
+                chunks[p] = older[p]
+        self.merged([*((new - known).difference(mixed) | words).difference(chunks)], chunks)
+        self.merged([*(parts - words).difference(pieces)], pieces)
+        for chunk, own in zip(mixed, found, strict=True):
+            chunks[chunk] = b"".join([chunks[p] if p in words else pieces[p] for p in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for a, b in by_size(texts, 400_000):
-            if len(self.pieces) + len(self.chunks) > KEPT:
-                self.pieces.clear()
-                self.chunks.clear()
+            if len(self.chunks) > KEPT // 2:
+                self.older, self.chunks = self.chunks, {}
+            if len(self.pieces) > KEPT // 16:
+                self.pieces = {}
             cut = [chunked(t) for t in texts[a:b]]
             if new := set().union(*cut).difference(self.chunks):
-                self.learn(list(new))
+                self.learn(new)
             get = self.chunks.__getitem__
             out += [b"".join(map(get, x)) for x in cut]
         return out
 
 
+#: The tokenizer of a worker's last task, by the number of the call that it belongs to: the next task goes on with its tables.
+LIVE: dict[str, Tokenizer] = {}
+
+
+def live(call: str, ranks: dict[bytes, int], pattern: str, whole: PerfectHash) -> Tokenizer:
+    if call not in LIVE:
+        LIVE.clear()
+        LIVE[call] = Tokenizer(ranks, pattern, whole)
+    return LIVE[call]
+
+
 def chunked(text: str) -> list[str]:
     """Chunks that give the text end to end."""
     if SPACES(text):
@@ -180,9 +221,10 @@ CUT = re.compile(r"(?<=\S)(?= )").split
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", whole_texts: int = 256) -> DataFrame:
     """df with a column of token ids (array<int>) for each text."""
-    whole = PerfectHash.build(list(ranks), list(ranks.values()))
+    whole, call = PerfectHash.build(list(ranks), list(ranks.values())), uuid.uuid4().hex
+
     def make():
-        tokenizer = Tokenizer(ranks, pattern, whole)
+        tokenizer = live(call, ranks, pattern, whole)
 
         def work(batch: pa.RecordBatch) -> list[pa.Array]:
             found = tokenizer.encode([t or "" for t in batch.column(text).to_pylist()])

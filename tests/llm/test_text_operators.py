@@ -522,3 +522,20 @@ def test_pipeline_on_awkward_rows(spark, docs, tmp_path):
 def test_licence_phrases(spark, line, licence):
     rows = spark.createDataFrame([("a/b.c", f"/*\n * {line}\n */\nint main() {{}}\n")], "path string, text string")
     assert [r["licence"] for r in licences.stated(rows).collect()] == ([licence] if licence else [])
+
+
+def test_tokenizer_keeps_what_recurs(monkeypatch):
+    """Full tables don't lose a word that each batch has, and a worker's next task goes on with them."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256}
+    whole, merged = bpe.PerfectHash.build(list(ranks), list(ranks.values())), []
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks, plain=bpe.merge: merged.append(piece) or plain(piece, ranks))
+    tokenizer = bpe.Tokenizer(ranks, r" ?\p{L}+|\s+", whole)
+    letters = "ghijklmnopqrstuvwxyz"
+    texts = ["abcab " + " ".join(f"{letters[k]}{a}{b}" for a in letters[:5] for b in letters[:5]) for k in range(12)]
+    found = [tokenizer.encode([t])[0] for t in texts]
+    assert merged.count(b"abcab") == 1 and len(tokenizer.chunks) + len(tokenizer.older) < 120
+    parts = {v: k for k, v in ranks.items()}
+    assert [b"".join(parts[i] for i in memoryview(x).cast("i")).decode() for x in found] == texts
+    assert memoryview(found[0]).cast("i")[:3].tolist() == [256, 99, 256]
+    assert bpe.live("a", ranks, r"\S+", whole) is bpe.live("a", ranks, r"\S+", whole) is not bpe.live("b", ranks, r"\S+", whole)
