@@ -44,6 +44,8 @@ KINDS = 200_000
 TRIGRAMS, MEMBER_ROWS = 1 << 14, 1 << 15
 #: Expected counts are whole numbers of 1 / UNIT.
 UNIT = 1 << 14
+#: Tokens whose histories a task holds before it works out what is expected after them.
+HISTORIES = 1 << 21
 #: Rows of a table that are added up together.
 BLOCK = 64
 #: No word is empty.
@@ -283,6 +285,26 @@ def class_odds(tables: list[np.ndarray], rows: list[np.ndarray]) -> np.ndarray:
     return a
 
 
+def expected(met: np.ndarray, tables: list[np.ndarray], sums: list[np.ndarray], shape: tuple[int, int], step: int = 1 << 14) -> None:
+    """Add to sums how often the model expects each class after each of these histories (last slot times slots, and the one
+    before it). What is expected follows from the history alone, so that each different one is worked out once."""
+    slots = shape[0] * shape[1]
+    kinds, times = np.unique(met, return_counts=True)
+    for low in range(0, len(kinds), step):
+        one, two = np.divmod(kinds[low : low + step], slots)
+        rows = features(one, two, one, shape)[: len(tables)]
+        p = class_odds(tables, rows)
+        np.exp(p, out=p)
+        p *= UNIT / p.sum(axis=1, keepdims=True)
+        whole = np.rint(p, out=p).astype(np.int64)
+        whole *= times[low : low + step, None]
+        for total, row in zip(sums, rows, strict=True):
+            order = np.argsort(row.astype(np.uint16), kind="stable")
+            same = row[order]
+            begin = np.flatnonzero(np.diff(same, prepend=-1))
+            total[same[begin]] += np.add.reduceat(whole[order], begin, axis=0)
+
+
 def gather(now, end: int, expect: bool):
     """A task's sums. Without `expect`: how often rows met classes and members; else how often classes were expected."""
 
@@ -291,21 +313,20 @@ def gather(now, end: int, expect: bool):
         tables, shape = [w.last + w.bias, *w.tables()[1:]], w.inner.shape
         members = shape[1]
         sums = [np.zeros(t.shape, np.int64) for t in (tables if expect else [*tables, w.member])]
+        met, held = [], 0
         for batch in batches:
             for _, own, rows in chunks(batch.column("slots"), end, shape):
                 if not expect:
                     for total, row, value in zip(sums, rows, [own // members] * 3 + [own % members], strict=True):
                         np.add.at(total.reshape(-1), row * total.shape[1] + value, 1)
                     continue
-                p = class_odds(tables, rows)
-                np.exp(p, out=p)
-                p *= UNIT / p.sum(axis=1, keepdims=True)
-                whole = np.rint(p, out=p).astype(np.int32)
-                for total, row in zip(sums, rows, strict=False):
-                    order = np.argsort(row.astype(np.uint16), kind="stable")
-                    kinds = row[order]
-                    begin = np.flatnonzero(np.diff(kinds, prepend=-1))
-                    total[kinds[begin]] += np.add.reduceat(whole[order], begin, axis=0)  # under 2^31: step * UNIT is 2^29
+                met.append(rows[0] * w.inner.size + rows[1])
+                held += len(own)
+                if held > HISTORIES:
+                    expected(np.concatenate(met), tables, sums, shape)
+                    met, held = [], 0
+        if met:
+            expected(np.concatenate(met), tables, sums, shape)
         part = TaskContext.get().partitionId() // 256
         for k, total in enumerate(sums):
             cut = total.reshape(-1, BLOCK * total.shape[1])

@@ -193,3 +193,21 @@ def test_query(spark, tmp_path):
     for r in found.collect():
         assert r["held_out"] == (r["doc_id"] in held) and r["train_tokens"] == plain.n
         assert r["score"] == pytest.approx(plain.score(text[r["doc_id"]]), rel=2e-3)
+
+
+def test_a_history_is_worked_out_once(monkeypatch):
+    """Expected counts are those of all tokens one by one, from one row of odds for each different history."""
+    rng, shape = np.random.default_rng(3), (4, 8)
+    tables, seen = [rng.normal(size=(n, 4)).astype(np.float32) for n in (32, 32, lm.TRIGRAMS)], []
+    monkeypatch.setattr(lm, "class_odds", lambda t, rows, plain=lm.class_odds: seen.append(len(rows[0])) or plain(t, rows))
+    met = rng.integers(0, 32, 5000) * 32 + rng.integers(0, 5, 5000)
+    sums = [np.zeros(t.shape, np.int64) for t in tables]
+    lm.expected(met, tables, sums, shape)
+    assert sum(seen) == len(set(met.tolist())) == 160
+    rows = lm.features(met // 32, met % 32, met // 32, shape)[:3]
+    p = np.exp(tables[0][rows[0]] + tables[1][rows[1]] + tables[2][rows[2]])
+    p *= lm.UNIT / p.sum(axis=1, keepdims=True)
+    for total, row in zip(sums, rows, strict=True):
+        want = np.zeros(total.shape, np.int64)
+        np.add.at(want, row, np.rint(p).astype(np.int64))
+        assert (total == want).all()
