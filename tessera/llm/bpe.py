@@ -23,6 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from tessera.llm import common
 from tessera.llm.common import by_size, with_columns
 
 KEPT = 600_000
@@ -196,15 +197,9 @@ class Tokenizer:
         return out
 
 
-#: The tokenizer of a worker's last task, by the number of the call that it belongs to: the next task goes on with its tables.
-LIVE: dict[str, Tokenizer] = {}
-
-
 def live(call: str, ranks: dict[bytes, int], pattern: str, whole: PerfectHash) -> Tokenizer:
-    if call not in LIVE:
-        LIVE.clear()
-        LIVE[call] = Tokenizer(ranks, pattern, whole)
-    return LIVE[call]
+    """The tokenizer of a worker's last task, if it belongs to the same call: the next task goes on with its tables."""
+    return common.live(call, lambda: Tokenizer(ranks, pattern, whole))
 
 
 def chunked(text: str) -> list[str]:
@@ -234,7 +229,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
         return work
 
-    return with_columns(df, f"`{ids}` array<int>", make, whole_texts)
+    return with_columns(df, f"`{ids}` array<int>", make, whole_texts, call)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:

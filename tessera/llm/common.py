@@ -30,19 +30,41 @@ def sampled(key: Column, share: Column | float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * share
 
 
-def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], step: int = 512) -> DataFrame:
-    """Apply make()'s function to slices of at most `step` rows of each Arrow batch; make runs once per task."""
+#: What a worker keeps from one task for the next ones, by the number of the call that these belong to.
+LIVE: dict[str, object] = {}
+
+
+def live(call: str, build: Callable[[], object]) -> object:
+    """What the worker's last task of the call left, or else a new one."""
+    only(call)
+    if call not in LIVE:
+        LIVE[call] = build()
+    return LIVE[call]
+
+
+def only(call: str | None) -> None:
+    """Drop what other calls left in this worker."""
+    for other in [k for k in LIVE if k != call]:
+        del LIVE[other]
+
+
+def map_rows(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], step: int = 512, call: str | None = None) -> DataFrame:
+    """Apply make()'s function to slices of at most `step` rows of each Arrow batch; make runs once per task. A worker gives back
+    its memory after each task, besides what is live for the same call."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(call)
         work = make()
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 yield work(batch.slice(start, step))
+        work = batch = None
+        release()
 
     return df.mapInArrow(run, schema)
 
 
-def with_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], step: int = 512) -> DataFrame:
+def with_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], step: int = 512, call: str | None = None) -> DataFrame:
     """df and new columns; a column of df that has the name of a new one is replaced."""
     added = StructType.fromDDL(fields)
     names = [c for c in df.columns if c not in added.fieldNames()]
@@ -52,14 +74,14 @@ def with_columns(df: DataFrame, fields: str, make: Callable[[], Callable[[pa.Rec
         work = make()
         return lambda batch: pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *work(batch)], schema.fieldNames())
 
-    return map_rows(df, schema, whole, step)
+    return map_rows(df, schema, whole, step, call)
 
 
-def by_size(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts that hold at most `limit` characters, or one longer text."""
+def by_size(texts: list[str], limit: int = 1_000_000, most: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` neighbouring texts that hold at most `limit` characters, or one longer text."""
     start = size = 0
     for k, text in enumerate(texts):
-        if k > start and size + len(text) > limit:
+        if k > start and (size + len(text) > limit or k - start == most):
             yield start, k
             start, size = k, 0
         size += len(text)

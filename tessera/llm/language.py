@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_size, map_rows, sampled, with_columns
+from tessera.llm.common import by_size, map_rows, release, sampled, with_columns
 
 DIM = 4096
 UNKNOWN = "und"
@@ -123,6 +123,7 @@ def train(docs: DataFrame, clusters: int = 4, max_docs: int = 500, seed: int = 5
             texts = batch.column("text").to_pylist()
             for a, b in by_size(texts, 1_000_000):
                 total += (counts(texts[a:b])[0] > 0).sum(axis=0)
+        release()
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["slot", "n"])
 
